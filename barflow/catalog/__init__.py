@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("windows",)
+MODULES = ("windows", "joins", "quality")
 
 
 def _merge(attribute: str) -> dict:

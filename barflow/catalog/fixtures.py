@@ -144,3 +144,21 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     kinds = dict(df.dtypes)
     pick = columns or df.columns
     return df.select(*[F.round(C(c), places).alias(c) if kinds[c] == "double" else C(c) for c in pick])
+
+
+def obars(spark, d):
+    """Daily bars over several years, one symbol per order priority."""
+    p = C("o_totalprice") / 100
+    key = C("o_orderkey")
+    return (table(spark, d, "orders")
+            .groupBy(C("o_orderpriority").alias("symbol"), F.window("o_orderdate", "1 day").alias("_w"))
+            .agg(F.min_by(p, key).alias("open"), F.max(p).alias("high"), F.min(p).alias("low"), F.max_by(p, key).alias("close"),
+                 F.count(F.lit(1)).cast("double").alias("volume"))
+            .select("symbol", C("_w.start").alias("dt"), "open", "high", "low", "close", "volume",
+                    F.to_date("_w.start").alias("trade_date"), F.lit(0).alias("minute_of_day")))
+
+
+SQL["obars"] = """obars AS (SELECT *, CAST(dt AS DATE) AS trade_date, 0 AS minute_of_day FROM (SELECT o_orderpriority AS symbol,
+      CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS dt, first(o_totalprice/100 ORDER BY o_orderkey) AS open, max(o_totalprice/100) AS high,
+      min(o_totalprice/100) AS low, last(o_totalprice/100 ORDER BY o_orderkey) AS close, CAST(count(*) AS DOUBLE) AS volume
+      FROM orders GROUP BY 1,2))"""

@@ -100,11 +100,12 @@ def forward_fill(df: DataFrame, columns: Sequence[str], *, keys: Sequence[str] =
 
 
 def backward_fill(df: DataFrame, columns: Sequence[str], *, keys: Sequence[str] = ("symbol",),
-                  order: str = "dt", bucket: str = "day") -> DataFrame:
+                  order: str | Sequence[str] = "dt", bucket: str = "day") -> DataFrame:
     """Fill leading gaps from the next known value.  Looks ahead: only for parity with a non-causal original."""
     tagged, inner, _, by = _levels(df, keys, order, bucket)
     ahead = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(1, Window.unboundedFollowing)
-    nxt = tagged.groupBy(*by).agg(*[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_l_{c}")
+    sort_key = F.struct(*[F.col(c) for c in ([order] if isinstance(order, str) else order)])
+    nxt = tagged.groupBy(*by).agg(*[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), sort_key)).alias(f"_l_{c}")
                                     for c in columns])
     carry = nxt.select(*by, *[F.first(f"_l_{c}", True).over(ahead).alias(f"_c_{c}") for c in columns])
     out = tagged.join(carry, by, "left")
