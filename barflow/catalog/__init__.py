@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("windows", "joins", "quality")
+MODULES = ("windows", "joins", "quality", "trading", "market")
 
 
 def _merge(attribute: str) -> dict:

@@ -134,16 +134,22 @@ def with_views(*names: str) -> str:
     return "WITH " + ",\n".join(SQL[x] for x in order)
 
 
+def tidy(x, places: int = 6):
+    """Round half up in plain double arithmetic, which every engine carries out alike (``round`` differs on ties)."""
+    scale = float(10 ** places)
+    return F.floor(x * scale + 0.5) / scale
+
+
 def sql_round(*columns: str, places: int = 6) -> str:
-    """``round(x, 6) AS x`` for each column; adding zero turns -0.0 into 0.0."""
-    return ", ".join(f"round({c}, {places}) + 0e0 AS {c}" for c in columns)
+    """The same rounding as SQL text, ``... AS x`` for each column."""
+    return ", ".join(f"floor(({c})*1e{places}+0.5e0)/1e{places} AS {c}" for c in columns)
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     """Keep the named columns, rounding the double ones once, at the end."""
     kinds = dict(df.dtypes)
     pick = columns or df.columns
-    return df.select(*[F.round(C(c), places).alias(c) if kinds[c] == "double" else C(c) for c in pick])
+    return df.select(*[tidy(C(c), places).alias(c) if kinds[c] == "double" else C(c) for c in pick])
 
 
 def obars(spark, d):

@@ -9,7 +9,6 @@ from barflow.catalog.windows import CCI, MACD_E, STO, dmi_steps, pick
 from barflow.operators import asof, kernels
 from barflow.operators.chunks import chunked
 from barflow.operators.rolling import Roller
-from barflow.operators.scans import drawdown
 from barflow.plans import bars as bp
 from barflow.plans import daily as dp
 from barflow.plans import features as ft
@@ -33,7 +32,7 @@ V = fx.with_views
 
 
 @register("j01_asof_join", V("bars", "bars_1d") + f"""
-SELECT b.symbol, b.dt, {R('b.close').replace('AS b.close', 'AS close')}, round(r.d_close,6)+0e0 AS d_close, r.d_dt
+SELECT b.symbol, b.dt, {R('b.close').replace('AS b.close', 'AS close')}, floor((r.d_close)*1e6+0.5e0)/1e6 AS d_close, r.d_dt
 FROM bars b ASOF LEFT JOIN (SELECT symbol, dt AS d_dt, dt + INTERVAL 1 DAY AS ready, close AS d_close FROM bars_1d) r
 ON b.symbol = r.symbol AND b.dt >= r.ready""")
 def j01(spark, d):
@@ -44,7 +43,7 @@ def j01(spark, d):
 
 
 @register("j01_asof_ticks", V("bars") + """
-SELECT t.symbol, t.seq, round(t.price,6)+0e0 AS price, round(b.close,6)+0e0 AS last_close
+SELECT t.symbol, t.seq, floor((t.price)*1e6+0.5e0)/1e6 AS price, floor((b.close)*1e6+0.5e0)/1e6 AS last_close
 FROM ticks t ASOF LEFT JOIN (SELECT symbol, dt + INTERVAL 1 HOUR AS ready, close FROM bars) b ON t.symbol=b.symbol AND t.ts >= b.ready""")
 def j01_ticks(spark, d):
     ready = fx.bars(spark, d).select("symbol", (C("dt") + F.expr("INTERVAL 1 HOUR")).alias("ready"), C("close").alias("last_close"))
@@ -207,7 +206,7 @@ DSTEPS = fix_cci(daily_steps())
 DTEXT, DLAST = stages("obars", *DSTEPS)
 DC = [c for c in dp.DAILY]
 DINT = {"day_above_ma50", "day_above_ma200"}
-DPICK = ", ".join(c if c in DINT else f"round({c},6)+0e0 AS {c}" for c in DC)
+DPICK = ", ".join(c if c in DINT else f"floor(({c})*1e6+0.5e0)/1e6 AS {c}" for c in DC)
 
 
 @register("w38_daily_pack", f"{V('obars')},\n{DTEXT}\nSELECT symbol, dt, {DPICK} FROM {DLAST}")
@@ -236,13 +235,13 @@ def attach_daily_sql(compat):
     src = f"(SELECT symbol, trade_date AS sd, {own} FROM {DLAST}" + (" WHERE prev_close IS NOT NULL)" if compat else ")")
     key = "dm.trade_date" if compat else "dm.prv"
     fills = ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS {c}" for c in DC)
-    zero = ", ".join(f"coalesce({c},0) AS {c}" if c in DINT else f"round(coalesce({c},0),6)+0e0 AS {c}" for c in DC)
+    zero = ", ".join(f"coalesce({c},0) AS {c}" if c in DINT else f"floor((coalesce({c},0))*1e6+0.5e0)/1e6 AS {c}" for c in DC)
     return f"""{V('obars')},\n{DTEXT}, {HALF}, dm AS (SELECT symbol, trade_date, lag(trade_date) OVER (PARTITION BY symbol ORDER BY trade_date) AS prv
   FROM (SELECT DISTINCT symbol, trade_date FROM hb)), jn AS (SELECT dm.symbol, dm.trade_date, {', '.join('x.' + c for c in DC)} FROM dm LEFT JOIN {src} x ON x.symbol=dm.symbol AND x.sd={key}),
   fl AS (SELECT symbol, trade_date, {fills} FROM jn), o AS (SELECT hb.*, first_value(hb.open) OVER (PARTITION BY symbol, trade_date ORDER BY dt) AS dop FROM hb),
   z AS (SELECT o.symbol, o.dt, o.close, o.dop, fl.* EXCLUDE (symbol, trade_date) FROM o JOIN fl USING (symbol, trade_date))
-SELECT symbol, dt, {zero}, round(coalesce((dop-prev_close)/(prev_close+1e-9)*100,0),6)+0e0 AS gap_pct, CASE WHEN close>prev_close THEN 1 ELSE 0 END AS above_prev_close,
-  round(coalesce((close-prev_high)/(close+1e-9)*100,0),6)+0e0 AS dist_prev_hi, round(coalesce((close-prev_low)/(close+1e-9)*100,0),6)+0e0 AS dist_prev_lo FROM z"""
+SELECT symbol, dt, {zero}, floor((coalesce((dop-prev_close)/(prev_close+1e-9)*100,0))*1e6+0.5e0)/1e6 AS gap_pct, CASE WHEN close>prev_close THEN 1 ELSE 0 END AS above_prev_close,
+  floor((coalesce((close-prev_high)/(close+1e-9)*100,0))*1e6+0.5e0)/1e6 AS dist_prev_hi, floor((coalesce((close-prev_low)/(close+1e-9)*100,0))*1e6+0.5e0)/1e6 AS dist_prev_lo FROM z"""
 
 
 @register("j05_join_daily", attach_daily_sql(False))
@@ -279,7 +278,7 @@ def htf_sql(tail):
             f"h AS (SELECT *, {ff('adx0')} AS adx, {ff('cci0')} AS cci, {ff('macd0')} AS macd_h FROM h0)\n{tail}")
 
 
-@register("w37_htf_pack", htf_sql("SELECT symbol, dt, " + ", ".join(f"round({c},6)+0e0 AS tf_{c}" for c in HN) + " FROM h"))
+@register("w37_htf_pack", htf_sql("SELECT symbol, dt, " + ", ".join(f"floor(({c})*1e6+0.5e0)/1e6 AS tf_{c}" for c in HN) + " FROM h"))
 def w37(spark, d):
     return fx.rounded(dp.htf_pack(fx.obars(spark, d), "tf_", bucket="year"), "symbol", "dt", *["tf_" + c for c in HN])
 
@@ -296,7 +295,7 @@ for _name, _compat, _shift in (("j02_attach_htf", False, "dt + INTERVAL 1 DAY"),
     QUERIES[_name] = _run
     ORACLES[_name] = htf_sql(f""", {HALF}, rdy AS (SELECT symbol AS rs, {_shift} AS rt, {', '.join(HN)} FROM {_hsrc} q WHERE rsi IS NOT NULL AND macd_h IS NOT NULL),
 aj AS (SELECT hb.symbol, hb.dt, {', '.join('rdy.' + c for c in HN)} FROM hb ASOF LEFT JOIN rdy ON hb.symbol=rdy.rs AND hb.dt>=rdy.rt), fz AS (SELECT symbol, dt, {HFILL} FROM aj)
-SELECT symbol, dt, """ + ", ".join(f"round({c},6)+0e0 AS tf_{c}" for c in HN) + " FROM fz")
+SELECT symbol, dt, """ + ", ".join(f"floor(({c})*1e6+0.5e0)/1e6 AS tf_{c}" for c in HN) + " FROM fz")
 
 # --- kernels --------------------------------------------------------------------------------------------------------
 RANK = ("CASE WHEN len(k)>={m} AND x IS NOT NULL THEN (len(list_filter(k, lambda y: y<x)) + (len(list_filter(k, lambda y: y=x))+1)/2e0)/len(k)*100 END")
@@ -317,8 +316,8 @@ _t, _l = stages("bars", {"r5": f"CASE WHEN trade_date={lag('trade_date', 5)} THE
                 {"r": "coalesce(r5,0)"}, {"cl": over("list(close)", "331 PRECEDING", "CURRENT ROW"), "rl": over("list(r)", "331 PRECEDING", "CURRENT ROW")})
 
 
-@register("w44_fracdiff", f"{FD}, {V('bars')[5:]},\n{_t}\nSELECT symbol, dt, CASE WHEN len(cl)=n THEN round(list_dot_product(cl, ws),6)+0e0 END AS close_fd, "
-          f"CASE WHEN len(rl)=n THEN round(list_dot_product(rl, ws),6)+0e0 END AS ret5m_fd FROM {_l}, wl")
+@register("w44_fracdiff", f"{FD}, {V('bars')[5:]},\n{_t}\nSELECT symbol, dt, CASE WHEN len(cl)=n THEN floor((list_dot_product(cl, ws))*1e6+0.5e0)/1e6 END AS close_fd, "
+          f"CASE WHEN len(rl)=n THEN floor((list_dot_product(rl, ws))*1e6+0.5e0)/1e6 END AS ret5m_fd FROM {_l}, wl")
 def w44(spark, d):
     out = ft.add_features(fx.bars(spark, d), "returns").withColumn("_r", F.coalesce("ret_5m", F.lit(0.0)))
     return fx.rounded(kernels.add_fracdiff(out, {"close_fd": "close", "ret5m_fd": "_r"}), "symbol", "dt", "close_fd", "ret5m_fd")
@@ -331,7 +330,7 @@ st AS (SELECT symbol, dt, rn, ub AS u, lb AS l, 1 AS dir FROM num WHERE rn=1 UNI
  SELECT symbol, dt, rn, u, l, CASE WHEN pdir=-1 AND close>u THEN 1 WHEN pdir=1 AND close<l THEN -1 ELSE pdir END FROM (
  SELECT n.symbol, n.dt, n.rn, n.close, st.dir AS pdir, CASE WHEN n.ub<st.u OR n.pc>st.u THEN n.ub ELSE st.u END AS u,
  CASE WHEN n.lb>st.l OR n.pc<st.l THEN n.lb ELSE st.l END AS l FROM st JOIN num n ON n.symbol=st.symbol AND n.rn=st.rn+1) x)
-SELECT b.symbol, b.dt, round(u,6)+0e0 AS st_upper, round(l,6)+0e0 AS st_lower, CAST(coalesce(dir,1) AS DOUBLE) AS supertrend FROM bars b LEFT JOIN st USING (symbol, dt)"""
+SELECT b.symbol, b.dt, floor((u)*1e6+0.5e0)/1e6 AS st_upper, floor((l)*1e6+0.5e0)/1e6 AS st_lower, CAST(coalesce(dir,1) AS DOUBLE) AS supertrend FROM bars b LEFT JOIN st USING (symbol, dt)"""
 
 
 @register("q01_supertrend", ST)
@@ -362,22 +361,11 @@ for _name, _within in (("w46_gap_fill", True), ("w46_gap_fill_overnight", False)
     QUERIES[_name] = _run
     ORACLES[_name] = f"""{V('bars')}, n AS (SELECT *, lead(dt) OVER (PARTITION BY {_by} ORDER BY dt) AS nx FROM bars),
 g AS (SELECT symbol, dt AS t0, close, volume, unnest(generate_series(dt, coalesce(nx - INTERVAL 1 HOUR, dt), INTERVAL 1 HOUR)) AS dt FROM n)
-SELECT symbol, dt, round(close,6)+0e0 AS close, volume, CASE WHEN dt<>t0 THEN 1 ELSE 0 END AS filled FROM g"""
-
-
-@register("w47_running_drawdown", V("trades") + """, p AS (SELECT *, CAST((exit_price-entry_price)*contracts*65 AS DECIMAL(28,8)) AS pnl FROM trades WHERE exit_ts IS NOT NULL),
-c AS (SELECT *, sum(pnl) OVER w AS cum FROM p WINDOW w AS (PARTITION BY regime ORDER BY exit_ts, trade_no ROWS UNBOUNDED PRECEDING)),
-m AS (SELECT *, max(cum) OVER (PARTITION BY regime ORDER BY exit_ts, trade_no ROWS UNBOUNDED PRECEDING) AS peak FROM c)
-SELECT trade_no, CAST(round(cum,6) AS DOUBLE) AS cum, CAST(round(peak,6) AS DOUBLE) AS peak, CAST(round(cum-peak,6) AS DOUBLE) AS drawdown FROM m""")
-def w47(spark, d):
-    t = fx.trades(spark, d).where("exit_ts is not null")
-    pnl = ((C("exit_price") - C("entry_price")) * C("contracts") * 65).cast("decimal(28,8)")
-    out = drawdown(t, pnl, keys=["regime"], order=["exit_ts", "trade_no"], bucket="month")
-    return out.select("trade_no", *[F.round(c, 6).cast("double").alias(c) for c in ("cum", "peak", "drawdown")])
+SELECT symbol, dt, floor((close)*1e6+0.5e0)/1e6 AS close, volume, CASE WHEN dt<>t0 THEN 1 ELSE 0 END AS filled FROM g"""
 
 
 @register("s09_merge_candles", V("bars") + """, f AS (SELECT symbol, dt, close*1.01e0 AS close FROM bars WHERE volume>4)
-SELECT b.symbol, b.dt, round(coalesce(f.close, b.close),6)+0e0 AS close, b.volume FROM bars b LEFT JOIN f USING (symbol, dt)""")
+SELECT b.symbol, b.dt, floor((coalesce(f.close, b.close))*1e6+0.5e0)/1e6 AS close, b.volume FROM bars b LEFT JOIN f USING (symbol, dt)""")
 def s09(spark, d):
     b = fx.bars(spark, d)
     fresh = b.where("volume > 4").withColumn("close", C("close") * 1.01)

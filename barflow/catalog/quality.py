@@ -74,7 +74,7 @@ def p05(spark, d):
 
 
 @register("p13_clean_value", V("bars") + f""", x AS (SELECT symbol, dt, CASE WHEN volume=1 THEN 'NaN'::DOUBLE WHEN volume=2 THEN 'Infinity'::DOUBLE WHEN volume=3 THEN NULL ELSE close END AS v FROM bars)
-SELECT symbol, dt, round(CASE WHEN v IS NULL OR isnan(v) OR isinf(v) THEN -1 ELSE v END,6)+0e0 AS v FROM x""")
+SELECT symbol, dt, floor((CASE WHEN v IS NULL OR isnan(v) OR isinf(v) THEN -1 ELSE v END)*1e6+0.5e0)/1e6 AS v FROM x""")
 def p13(spark, d):
     v = C("volume")
     raw = F.when(v == 1, float("nan")).when(v == 2, float("inf")).when(v != 3, C("close"))
@@ -107,7 +107,7 @@ def p14(spark, d):
     return out.select("symbol", "dt", "bad_features", "row_valid", "reject_reason")
 
 
-@register("p15_fill_for_scoring", f"{V('bars')},\n{FT} SELECT symbol, dt, " + ", ".join(f"round(coalesce({c},0),6)+0e0 AS {c}" for c in FEATS) + f" FROM {FL}")
+@register("p15_fill_for_scoring", f"{V('bars')},\n{FT} SELECT symbol, dt, " + ", ".join(f"floor((coalesce({c},0))*1e6+0.5e0)/1e6 AS {c}" for c in FEATS) + f" FROM {FL}")
 def p15(spark, d):
     return fx.rounded(featured(spark, d).na.fill(0.0, FEATS), "symbol", "dt", *FEATS)
 
@@ -119,7 +119,7 @@ def p10(spark, d):
     return df.select(*names).limit(0).select(F.lit("").alias("feature")).unionByName(spark.createDataFrame([(n,) for n in names], "feature string"))
 
 
-@register("p16_column_plumbing", f"{V('bars')} SELECT symbol, dt AS bar_time, {R('close')}, session_open, round(session_pct,6)+0e0 AS session_pct, session_pm FROM bars")
+@register("p16_column_plumbing", f"{V('bars')} SELECT symbol, dt AS bar_time, {R('close')}, session_open, floor((session_pct)*1e6+0.5e0)/1e6 AS session_pct, session_pm FROM bars")
 def p16(spark, d):
     b = fx.bars(spark, d)
     return fx.rounded(b.select("symbol", C("dt").alias("bar_time"), "close", *ft.feature_columns(b, "session_")))
@@ -137,7 +137,7 @@ def p11(spark, d):
 
 
 @register("p12_regime_tiers", f"{V('bars')},\n{FT}, g AS (SELECT *, CASE WHEN adx_14>25 THEN 0 WHEN adx_14>15 THEN 1 ELSE 2 END AS regime FROM {FL})\n"
-          "SELECT symbol, dt, regime, round(CASE WHEN regime=0 THEN vwap_dist END,6)+0e0 AS macd_h, round(CASE WHEN regime=1 THEN mfi_14 END,6)+0e0 AS stoch_k FROM g")
+          "SELECT symbol, dt, regime, floor((CASE WHEN regime=0 THEN vwap_dist END)*1e6+0.5e0)/1e6 AS macd_h, floor((CASE WHEN regime=1 THEN mfi_14 END)*1e6+0.5e0)/1e6 AS stoch_k FROM g")
 def p12(spark, d):
     reg = F.when(C("adx_14") > 25, 0).when(C("adx_14") > 15, 1).otherwise(2)
     df = featured(spark, d).withColumns({"regime": reg, "macd_h": C("vwap_dist"), "adx_macd": C("vwap_dist"), "ema9_slope": C("vwap_dist"),
@@ -146,19 +146,19 @@ def p12(spark, d):
 
 
 # --- dedup ----------------------------------------------------------------------------------------------------------
-@register("ad1_keep_last", """SELECT user_id, event_type, max(event_id) AS event_id, round(arg_max(value, event_id),6)+0e0 AS value FROM events GROUP BY 1,2""")
+@register("ad1_keep_last", """SELECT user_id, event_type, max(event_id) AS event_id, floor((arg_max(value, event_id))*1e6+0.5e0)/1e6 AS value FROM events GROUP BY 1,2""")
 def ad1(spark, d):
     e = fx.table(spark, d, "events").select("user_id", "event_type", "event_id", "value")
     return fx.rounded(bp.keep_last(e, ["user_id", "event_type"], "event_id"))
 
 
-@register("ad2_keep_last_minute", V("ticks") + " SELECT symbol, date_trunc('minute', ts) AS minute, round(last(price ORDER BY ts, seq),6)+0e0 AS price FROM ticks GROUP BY 1,2")
+@register("ad2_keep_last_minute", V("ticks") + " SELECT symbol, date_trunc('minute', ts) AS minute, floor((last(price ORDER BY ts, seq))*1e6+0.5e0)/1e6 AS price FROM ticks GROUP BY 1,2")
 def ad2(spark, d):
     t = fx.ticks(spark, d).withColumn("minute", F.window("ts", "1 minute")["start"])
     return fx.rounded(bp.keep_last(t, ["symbol", "minute"], ["ts", "seq"]), "symbol", "minute", "price")
 
 
-@register("ad3_keep_first_date", V("ticks") + " SELECT symbol, CAST(ts AS DATE) AS date, round(first(price ORDER BY seq),6)+0e0 AS price FROM ticks GROUP BY 1,2")
+@register("ad3_keep_first_date", V("ticks") + " SELECT symbol, CAST(ts AS DATE) AS date, floor((first(price ORDER BY seq))*1e6+0.5e0)/1e6 AS price FROM ticks GROUP BY 1,2")
 def ad3(spark, d):
     t = fx.ticks(spark, d).withColumn("date", F.to_date("ts"))
     return fx.rounded(bp.keep_first(t, ["symbol", "date"], "seq"), "symbol", "date", "price")
@@ -199,8 +199,8 @@ def a04r(spark, d):
 
 
 @register("a04_refresh_last_bar", f"""{V('bars')}, l AS (SELECT symbol, max(dt) AS m FROM bars GROUP BY 1), p AS (SELECT symbol, max(price) AS price FROM ticks GROUP BY 1)
-SELECT symbol, dt, round(CASE WHEN dt=m THEN greatest(high,price) ELSE high END,6)+0e0 AS high, round(CASE WHEN dt=m THEN least(low,price) ELSE low END,6)+0e0 AS low,
-round(CASE WHEN dt=m THEN price ELSE close END,6)+0e0 AS close FROM bars JOIN l USING (symbol) JOIN p USING (symbol)""")
+SELECT symbol, dt, floor((CASE WHEN dt=m THEN greatest(high,price) ELSE high END)*1e6+0.5e0)/1e6 AS high, floor((CASE WHEN dt=m THEN least(low,price) ELSE low END)*1e6+0.5e0)/1e6 AS low,
+floor((CASE WHEN dt=m THEN price ELSE close END)*1e6+0.5e0)/1e6 AS close FROM bars JOIN l USING (symbol) JOIN p USING (symbol)""")
 def a04l(spark, d):
     live = fx.ticks(spark, d).groupBy("symbol").agg(F.max("price").alias("price"))
     return fx.rounded(bp.refresh_last_bar(fx.bars(spark, d), live), "symbol", "dt", "high", "low", "close")
@@ -208,13 +208,13 @@ def a04l(spark, d):
 
 # --- stats, drift, warm-up ------------------------------------------------------------------------------------------
 @register("a05_feature_stats", f"{V('bars')},\n{FT} " + " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, round(avg({c}),6)+0e0 AS mean, round(stddev_samp({c}),6)+0e0 AS std, count({c}) AS n FROM {FL}" for c in FEATS))
+    f"SELECT '{c}' AS feature, floor((avg({c}))*1e6+0.5e0)/1e6 AS mean, floor((stddev_samp({c}))*1e6+0.5e0)/1e6 AS std, count({c}) AS n FROM {FL}" for c in FEATS))
 def a05(spark, d):
     return fx.rounded(ql.feature_stats(featured(spark, d), FEATS))
 
 
-@register("a06_feature_stability", f"""{V('bars')},\n{FT}, o AS (SELECT *, row_number() OVER (ORDER BY dt, symbol) AS pos, count(*) OVER () AS n FROM {FL}) """ + " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, round(coalesce(abs(avg({c}) FILTER (pos>n-500)-avg({c}) FILTER (pos<=2000))/nullif(stddev_samp({c}) FILTER (pos<=2000),0),0),6)+0e0 AS fsi FROM o" for c in FEATS))
+@register("a06_feature_stability", f"""{V('bars')},\n{FT}, o AS (SELECT *, row_number() OVER (ORDER BY dt, symbol) AS pos, count(*) OVER () AS ntot FROM {FL}) """ + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, floor((coalesce(abs(avg({c}) FILTER (pos>ntot-500)-avg({c}) FILTER (pos<=2000))/nullif(stddev_samp({c}) FILTER (pos<=2000),0),0))*1e6+0.5e0)/1e6 AS fsi FROM o" for c in FEATS))
 def a06(spark, d):
     return fx.rounded(ql.feature_stability(featured(spark, d), FEATS, 2000, 500))
 
@@ -224,7 +224,7 @@ ZS = {c: f"abs(({c}-(SELECT avg({c}) FROM {FL} WHERE dt < '2024-01-15'))/(SELECT
 
 @register("r10_drift", f"""{V('bars')},\n{FT.replace('AS (SELECT', 'AS MATERIALIZED (SELECT')}, zz AS (SELECT symbol, dt, {', '.join(f'{z} AS z_{c}' for c, z in ZS.items())} FROM {FL}),
 mz AS (SELECT *, greatest({', '.join(f'coalesce(z_{c},0)' for c in FEATS)}) AS max_z FROM zz)
-SELECT symbol, dt, round(max_z,6)+0e0 AS max_z, {'+'.join(f'(CASE WHEN z_{c}>8 THEN 1 ELSE 0 END)' for c in FEATS)} AS killed,
+SELECT symbol, dt, floor((max_z)*1e6+0.5e0)/1e6 AS max_z, {'+'.join(f'(CASE WHEN z_{c}>8 THEN 1 ELSE 0 END)' for c in FEATS)} AS killed,
 {'+'.join(f'(CASE WHEN z_{c}>2.5 AND z_{c}<=8 THEN 1 ELSE 0 END)' for c in FEATS)} AS warned,
 CASE WHEN max_z>=8 THEN 0.6e0 WHEN max_z>=5 THEN 0.5e0 WHEN max_z>=2.5 THEN 0.75e0 ELSE 1e0 END AS conf_mult FROM mz""")
 def r10(spark, d):

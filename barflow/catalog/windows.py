@@ -31,7 +31,7 @@ INTS = {"bb_squeeze", "ema9_21", "ema21_50", "rsi_div", "macd_cross", "stoch_cro
 
 
 def pick(columns):
-    return ", ".join(c if c in INTS else f"round({c}, 6) + 0e0 AS {c}" for c in columns)
+    return ", ".join(c if c in INTS else f"floor(({c})*1e6+0.5e0)/1e6 AS {c}" for c in columns)
 
 
 RET = (1, 3, 5, 10, 15, 30, 60)
@@ -244,7 +244,7 @@ ORACLES["w24_prior_day_pivot"] = fx.with_views("bars") + """,
 d AS (SELECT symbol, trade_date, max(high) AS h, min(low) AS l FROM bars GROUP BY 1,2),
 p AS (SELECT symbol, trade_date, lag(h) OVER (PARTITION BY symbol ORDER BY trade_date) AS ph,
       lag(l) OVER (PARTITION BY symbol ORDER BY trade_date) AS pl FROM d)
-SELECT b.symbol, b.dt, round((ph-close)/(close+1e-9)*100,6)+0e0 AS dist_pivot_hi, round((close-pl)/(close+1e-9)*100,6)+0e0 AS dist_pivot_lo
+SELECT b.symbol, b.dt, floor(((ph-close)/(close+1e-9)*100)*1e6+0.5e0)/1e6 AS dist_pivot_hi, floor(((close-pl)/(close+1e-9)*100)*1e6+0.5e0)/1e6 AS dist_pivot_lo
 FROM bars b LEFT JOIN p USING (symbol, trade_date)"""
 
 
@@ -294,7 +294,7 @@ QUERIES["w45_fill"] = w45_fill
 ORACLES["w45_fill"] = f"""{fx.with_views('bars')}, a AS (SELECT symbol, dt, CASE WHEN volume>3 THEN close END AS price FROM bars),
 b AS (SELECT *, last_value(price IGNORE NULLS) OVER ({P} ROWS UNBOUNDED PRECEDING) AS ff FROM a),
 c AS (SELECT *, first_value(ff IGNORE NULLS) OVER ({P} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fb FROM b)
-SELECT symbol, dt, {pick(['price', 'ff', 'fb'])}, round(coalesce(ff,0),6)+0e0 AS ff0 FROM c"""
+SELECT symbol, dt, {pick(['price', 'ff', 'fb'])}, floor((coalesce(ff,0))*1e6+0.5e0)/1e6 AS ff0 FROM c"""
 
 
 def w52_session_open(spark, d):
@@ -305,7 +305,7 @@ def w52_session_open(spark, d):
 
 
 QUERIES["w52_session_open"] = w52_session_open
-ORACLES["w52_session_open"] = f"""{fx.with_views('bars')} SELECT symbol, dt, round(first_value(close) OVER ({PD}),6)+0e0 AS day_open,
+ORACLES["w52_session_open"] = f"""{fx.with_views('bars')} SELECT symbol, dt, floor((first_value(close) OVER ({PD}))*1e6+0.5e0)/1e6 AS day_open,
 CAST(row_number() OVER ({PD}) - 1 AS INTEGER) AS bars_since_open FROM bars"""
 
 SQRT24 = math.sqrt(24)

@@ -156,15 +156,15 @@ def mfi(df, w):
     return out.withColumn("mfi_14", 100 - 100 / (1 + ratio)).drop("_tp", "_p", "_n")
 
 
-def dmi_columns(df, w, n: int, adx: str, pdi: str = "_pdi", ndi: str = "_ndi") -> DataFrame:
+def dmi_columns(df, w, n: int, adx: str, pdi: str = "_pdi", ndi: str = "_ndi", eps: float = EPS_IND) -> DataFrame:
     """Directional index columns from simple means: three stacked windows."""
     up, down = w.diff("high"), -w.diff("low")
     out = df.withColumns({"_tr": true_range(w), "_up": up, "_dn": down})
     out = out.withColumns({"_pm": F.when((C("_up") > C("_dn")) & (C("_up") > 0), C("_up")).otherwise(0.0),
                            "_nm": F.when((C("_dn") > C("_up")) & (C("_dn") > 0), C("_dn")).otherwise(0.0)})
-    base = w.roll(F.avg, "_tr", n) + EPS_IND
+    base = w.roll(F.avg, "_tr", n) + eps
     out = out.withColumns({pdi: 100 * w.roll(F.avg, "_pm", n) / base, ndi: 100 * w.roll(F.avg, "_nm", n) / base})
-    out = out.withColumn("_dx", 100 * F.abs(C(pdi) - C(ndi)) / (C(pdi) + C(ndi) + EPS_IND))
+    out = out.withColumn("_dx", 100 * F.abs(C(pdi) - C(ndi)) / (C(pdi) + C(ndi) + eps))
     out = out.withColumn(adx, w.roll(F.avg, "_dx", n)).drop("_tr", "_up", "_dn", "_pm", "_nm", "_dx")
     return out.drop(*[c for c in (pdi, ndi) if c.startswith("_")])
 
