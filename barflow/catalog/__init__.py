@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("windows", "joins", "quality", "trading", "market")
+MODULES = ("windows", "joins", "quality", "trading", "market", "signals", "audits")
 
 
 def _merge(attribute: str) -> dict:

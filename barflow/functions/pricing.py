@@ -41,7 +41,7 @@ def minutes_to_expiry(now: Column, expiry: Column | None = None, open_minute: in
 
 def premium(spot: Column, iv_pct: Column, minutes: Column, strike: Column, option_type: Column) -> Column:
     """Black-Scholes premium on a trading-minute clock, floored at 2 and capped at half of spot (call) or strike (put)."""
-    strike = F.when(strike > 0, strike).otherwise(F.bround(spot / k.STRIKE_STEP) * k.STRIKE_STEP)
+    strike = F.when(strike > 0, strike).otherwise(F.greatest(F.lit(float(k.STRIKE_STEP)), F.bround(spot / k.STRIKE_STEP) * k.STRIKE_STEP))
     t = F.greatest(minutes, F.lit(1.0)) / (k.TRADING_DAYS * k.SESSION_MINUTES)
     sigma = F.greatest(iv_pct, F.lit(0.1)) / 100
     d1 = (F.ln(spot / strike) + (k.RISK_FREE + 0.5 * sigma * sigma) * t) / (sigma * F.sqrt(t))

@@ -11,6 +11,7 @@ from barflow.constants import FRACDIFF_CUT, FRACDIFF_D
 from barflow.operators.chunks import CHUNK, HALO, chunked, drop_halo, with_chunks
 from barflow.operators.rolling import Roller
 from barflow.operators.scans import running
+from barflow.operators.stage import materialize
 
 SMALL_WINDOW = 512
 
@@ -138,6 +139,7 @@ def add_supertrend(bars: DataFrame, n: int = 10, mult: float = 3.0, bucket: str
     true entry value.  The direction is then the last crossing, found with a running maximum.
     """
     w = Roller()
+    narrow = bars.select("symbol", "dt", "high", "low", "close")
 
     def basics(df):
         prev = w.lag("close")
@@ -148,7 +150,7 @@ def add_supertrend(bars: DataFrame, n: int = 10, mult: float = 3.0, bucket: str
         out = out.withColumns({"_ub": mid + mult * F.col("_a"), "_lb": mid - mult * F.col("_a")})
         return out.withColumn("_seed", F.col("_a").isNotNull() & w.lag("_a").isNull()).drop("_tr", "_a")
     # The first valid ATR starts the bands; inside later chunks the halo makes _a valid before the real rows begin.
-    rows = (basics(with_chunks(bars, n + 1, bucket=bucket, rows_per_chunk=rows_per_chunk))
+    rows = (basics(with_chunks(narrow, n + 1, bucket=bucket, rows_per_chunk=rows_per_chunk))
             .where(~F.col(HALO)).drop(HALO))
     arr = ArrayType(DoubleType())
     key = [rows.schema["symbol"], StructField(CHUNK, LongType())]
@@ -183,7 +185,7 @@ def add_supertrend(bars: DataFrame, n: int = 10, mult: float = 3.0, bucket: str
         pdf["st_upper"] = _walk(pc, pdf["_ub"].to_numpy(float), seed, pdf["_u0"].iloc[0])
         pdf["st_lower"] = -_walk(-pc, -pdf["_lb"].to_numpy(float), seed, -pdf["_l0"].iloc[0])
         return pdf.drop(columns=["_u0", "_l0"])
-    out = entered.groupBy("symbol", CHUNK).applyInPandas(bands, final).drop(CHUNK, "_pc", "_ub", "_lb")
+    out = materialize(entered.groupBy("symbol", CHUNK).applyInPandas(bands, final).drop(CHUNK, "_pc", "_ub", "_lb"))
     up = F.col("close") > F.when(~F.isnan("st_upper"), F.col("st_upper"))
     down = F.col("close") < F.when(~F.isnan("st_lower"), F.col("st_lower"))
     up, down = F.coalesce(up, F.lit(False)) & ~F.col("_seed"), F.coalesce(down, F.lit(False)) & ~F.col("_seed")
@@ -196,9 +198,9 @@ def add_supertrend(bars: DataFrame, n: int = 10, mult: float = 3.0, bucket: str
     out = running(out, maxes={"_last": code}, bucket=bucket)
     base = F.when(F.col("_last").isNull() | (F.col("_last") % 4 >= 2), 1).otherwise(-1)
     odd = (F.col("_turns") - F.coalesce(F.col("_last") % 2, F.lit(0))) % 2 != 0
-    return (out.withColumn("supertrend", F.when(odd, -base).otherwise(base).cast("double"))
-            .withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("st_upper", "st_lower")})
-            .drop("_seed", "_up", "_dn", "_k", "_turns", "_last"))
+    done = (out.withColumn("supertrend", F.when(odd, -base).otherwise(base).cast("double"))
+            .withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("st_upper", "st_lower")}))
+    return bars.join(done.select("symbol", "dt", "st_upper", "st_lower", "supertrend"), ["symbol", "dt"], "left")
 
 
 # --- dominant cycle -------------------------------------------------------------------------------------------------

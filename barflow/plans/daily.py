@@ -14,6 +14,7 @@ from barflow.operators.ema import add_emas, ema_halo, sign_of
 from barflow.operators.kernels import rolling_rank
 from barflow.operators.rolling import Roller, flag
 from barflow.operators.scans import backward_fill, forward_fill, running
+from barflow.operators.stage import materialize
 from barflow.plans import features as ft
 
 C, K, H, L = F.col, ft.K, ft.H, ft.L
@@ -95,7 +96,7 @@ def htf_pack(bars: DataFrame, prefix: str, ret_periods=(1, 3), bucket: str = "mo
             "_close_chg": w.lag("close") - w.lag("close", 2)})
     out = chunked(total, run, ema_halo(26) + ema_halo(9), bucket=bucket, rows_per_chunk=rows_per_chunk)
     names = [f"ret_{n}" for n in ret_periods] + list(HTF)
-    out = out.select("symbol", "dt", *[C(f"_{n}").cast("double").alias(prefix + n) for n in names])
+    out = materialize(out.select("symbol", "dt", *[C(f"_{n}").cast("double").alias(prefix + n) for n in names]))
     slow = [prefix + n for n in ("adx", "cci", "macd_h")]
     out = forward_fill(out, slow, bucket=bucket)
     return backward_fill(out, slow, bucket=bucket) if compat else out
@@ -110,7 +111,7 @@ def attach_htf(bars: DataFrame, htf: DataFrame, prefix: str, width: str, ret_per
     if not compat:
         ready = ready.withColumn("dt", C("dt") + F.expr(f"INTERVAL {width}"))
     base = bars.drop(*[c for c in bars.columns if c.startswith(prefix)])
-    out = asof_join(base, ready, names, bucket=bucket)
+    out = materialize(asof_join(base, ready, names, bucket=bucket))
     return forward_fill(out, names, bucket=bucket, default=0.0)
 
 

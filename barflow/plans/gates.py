@@ -27,12 +27,14 @@ def first_failing(gates: list[tuple[str, Column]]) -> Column:
 def with_atm_premium(df: DataFrame) -> DataFrame:
     """Dearer of the ATM call and put: recorded price where there is one, model price otherwise."""
     iv = F.when(C("iv_proxy") > 0, C("iv_proxy")).when(C("atr_14_pct") > 0, C("atr_14_pct")).otherwise(0.06) * math.sqrt(252)
-    minutes, strike = pricing.minutes_to_expiry(C("dt")), pricing.atm_strike(C("close"))
+    # Own columns, so that the optimizer keeps one copy of what the premium formula uses many times.
+    df = df.withColumns({"_min": pricing.minutes_to_expiry(C("dt")), "_k": pricing.atm_strike(C("close")).cast("double"), "_iv": iv})
 
     def leg(column, kind):
         known = C(column) if column in df.columns else F.lit(0.0)
-        return F.when(known > 0, known).otherwise(pricing.premium(C("close"), iv, minutes, strike, F.lit(kind)))
-    return df.withColumn("atm_premium", F.greatest(leg("atm_ce_ltp", "CE"), leg("atm_pe_ltp", "PE")))
+        return F.when(known > 0, known).otherwise(pricing.premium(C("close"), C("_iv"), C("_min"), C("_k"), F.lit(kind)))
+    out = df.withColumns({"_ce": leg("atm_ce_ltp", "CE"), "_pe": leg("atm_pe_ltp", "PE")})
+    return out.withColumn("atm_premium", F.greatest("_ce", "_pe")).drop("_min", "_k", "_iv", "_ce", "_pe")
 
 
 def penalties(df: DataFrame) -> DataFrame:

@@ -57,8 +57,7 @@ def _paper_rules(stop: Column, partial: Column) -> list[tuple[str, Column]]:
             ("MAX_HOLD_EXIT", normal & (((hold >= 25) & (C("pnl_pct") < 0)) | (hold >= 45))),
             ("TRAIL_STOP", (ltp <= trail) & (trail > stop)), ("STOP_LOSS", ltp <= stop), ("TRAIL_TAKE_PROFIT", (dist > 0) & take),
             ("TARGET", (ltp >= C("target")) & (partial | (C("contracts") <= 1))),
-            ("EXPANSION_FAILURE", (C("bars_held") >= 15) & (C("atr_ratio") < 0.60) & (C("_prev_ratio") < 0.60) & (C("pnl_pct") < 0)
-             & ~((ltp >= C("target")) & ~partial & (C("contracts") > 1)))]
+            ("EXPANSION_FAILURE", (C("bars_held") >= 15) & (C("atr_ratio") < 0.60) & (C("_prev_ratio") < 0.60) & (C("pnl_pct") < 0))]
 
 
 def _live_rules(stop: Column, partial: Column) -> list[tuple[str, Column]]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barflow import constants as k
 from barflow.functions.costs import rupees
 from barflow.operators.scans import forward_fill, running, streaks
+from barflow.operators.stage import materialize
 
 C = F.col
 
@@ -38,7 +39,7 @@ def state_at_entries(ledger: DataFrame, scope: tuple[str, ...] = ("account",), t
     Everything is a two-level scan over the merged timeline, so no trade is joined with all trades before it.
     """
     from barflow.operators.chunks import CHUNK, chunked
-    closed = loss_streaks(ledger, scope, trigger, minutes, bucket=bucket)
+    closed = materialize(loss_streaks(ledger, scope, trigger, minutes, bucket=bucket))
     w = Window.partitionBy(*scope, CHUNK).orderBy("ts", "trade_no").rowsBetween(-(window - 1), 0)
     win = F.when(C("net_p") > 0, 1.0).otherwise(0.0)
     rate = F.when(F.count(F.lit(1)).over(w) >= window, F.avg(win).over(w))
@@ -48,7 +49,7 @@ def state_at_entries(ledger: DataFrame, scope: tuple[str, ...] = ("account",), t
     marks = closed.select(*scope, "ts", F.lit(0).alias("kind"), "trade_no", "net_p", "value", "direction", "day", *carried)
     entries = line.where("kind = 1")
     both = marks.unionByName(entries, allowMissingColumns=True)
-    both = forward_fill(both, carried, keys=scope, order=ORDER, bucket=bucket)
+    both = materialize(forward_fill(both, carried, keys=scope, order=ORDER, bucket=bucket))
     is_exit, is_entry = C("kind") == 0, C("kind") == 1
     both = running(both, {"open_positions": F.when(is_entry, 1).otherwise(-1), "exposure": C("value")}, keys=scope, order=ORDER, bucket=bucket)
     day = {"trades_closed": F.when(is_exit, 1).otherwise(0), "wins": F.when(is_exit & (C("net_p") > 0), 1).otherwise(0),
