@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("windows", "joins", "quality", "trading", "market", "signals", "audits")
+MODULES = ("windows", "joins", "quality", "trading", "market", "signals", "audits", "sources")
 
 
 def _merge(attribute: str) -> dict:

@@ -96,7 +96,7 @@ def base_pipeline(features: Sequence[str], trees: int = 300, seed: int = 42, wei
              StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)]
     common = dict(labelCol="y", weightCol=weight)
     parts += [GBTClassifier(featuresCol="raw", maxIter=trees, maxDepth=4, stepSize=0.03, subsamplingRate=0.8, minInstancesPerNode=50, seed=seed,
-                            predictionCol="p0", probabilityCol="q0", rawPredictionCol="r0", **common),
+                            predictionCol="p0", **common).setProbabilityCol("q0").setRawPredictionCol("r0"),
               RandomForestClassifier(featuresCol="raw", numTrees=trees, maxDepth=8, minInstancesPerNode=50, seed=seed, predictionCol="p1",
                                      probabilityCol="q1", rawPredictionCol="r1", **common),
               LogisticRegression(featuresCol="scaled", regParam=0.01, maxIter=50, predictionCol="p2", probabilityCol="q2", rawPredictionCol="r2", **common)]
@@ -148,7 +148,7 @@ def calibrate(model: PipelineModel, df: DataFrame, name: str = "calibrated") ->
 def fit_context_model(df: DataFrame, columns: Sequence[str], label: str, trees: int = 100, weight: str | None = None) -> PipelineModel:
     """Small boosted model on probability plus context: the stacker and the correctness predictor."""
     gbt = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=3, stepSize=0.05, subsamplingRate=0.8, minInstancesPerNode=20, seed=42,
-                        predictionCol="_p", probabilityCol="_q", rawPredictionCol="_r")
+                        predictionCol="_p").setProbabilityCol("_q").setRawPredictionCol("_r")
     if weight:
         gbt = gbt.setWeightCol(weight)
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="keep"), gbt]).fit(df)
