@@ -59,12 +59,12 @@ def s05(spark, d):
     return fx.rounded(rd.read_daily_series(spark, path, ["vix_close", "close"]), places=9)
 
 
-@register("s06_read_trade_events", f"{V('trades')} SELECT trade_no AS session_trade_number, direction, {R('entry_price')}, contracts, CAST(entry_ts AS DATE) AS file_date FROM trades")
+@register("s06_read_trade_events", f"{V('trades')} SELECT trade_no AS session_trade_number, direction, {R('entry_price')}, contracts, CAST(date_trunc('month', entry_ts) AS DATE) AS file_date FROM trades")
 def s06(spark, d):
     path = folder(spark)
     t = fx.trades(spark, d)
     line = F.to_json(F.struct(F.lit("ENTRY").alias("event"), C("trade_no").alias("session_trade_number"), "direction", "entry_price", "contracts"))
-    day = F.date_format("entry_ts", "yyyy-MM-dd").alias("day")
+    day = F.date_format(F.date_trunc("month", "entry_ts"), "yyyy-MM-dd").alias("day")
     # Every seventh trade is followed by a broken line and a blank one, as interrupted writers leave them.
     good = t.select(day, line.alias("value"))
     bad = t.where("trade_no % 7 = 0").select(day, F.explode(F.array(F.lit('{"event": "ENTRY", "session_tra'), F.lit(""))).alias("value"))
@@ -90,7 +90,8 @@ def s08(spark, d):
 @register("s10_write_trades", f"{LV} SELECT trade_no, net_p, exit_reason, file_date FROM ledger WHERE is_closed")
 def s10(spark, d):
     path = folder(spark)
-    sinks.write_trades(ledger(spark, d).repartition("file_date"), path)
+    rows = ledger(spark, d).withColumn("file_month", F.date_format("file_date", "yyyy-MM"))
+    sinks.write_trades(rows.repartition("file_month"), path, by="file_month")
     return spark.read.parquet(path).select("trade_no", "net_p", "exit_reason", "file_date")
 
 

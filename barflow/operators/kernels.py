@@ -183,7 +183,7 @@ def add_supertrend(bars: DataFrame, n: int = 10, mult: float = 3.0, bucket: str
         pdf = pdf.sort_values("dt", kind="stable")
         pc, seed = pdf["_pc"].to_numpy(float), pdf["_seed"].to_numpy(bool)
         pdf["st_upper"] = _walk(pc, pdf["_ub"].to_numpy(float), seed, pdf["_u0"].iloc[0])
-        pdf["st_lower"] = -_walk(-pc, -pdf["_lb"].to_numpy(float), seed, -pdf["_l0"].iloc[0])
+        pdf["st_lower"] = -_walk(-pc, -pdf["_lb"].to_numpy(float), seed, pdf["_l0"].iloc[0])  # already negated
         return pdf.drop(columns=["_u0", "_l0"])
     out = materialize(entered.groupBy("symbol", CHUNK).applyInPandas(bands, final).drop(CHUNK, "_pc", "_ub", "_lb"))
     up = F.col("close") > F.when(~F.isnan("st_upper"), F.col("st_upper"))

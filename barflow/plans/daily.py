@@ -17,7 +17,7 @@ from barflow.operators.scans import backward_fill, forward_fill, running
 from barflow.operators.stage import materialize
 from barflow.plans import features as ft
 
-C, K, H, L = F.col, ft.K, ft.H, ft.L
+C = F.col
 DAILY = ("day_ret_1", "day_ret_5", "day_ret_20", "day_rsi", "day_atr_pct", "day_bb_pos", "day_above_ma50", "day_above_ma200",
          "day_vol_20", "prev_close", "prev_high", "prev_low", "day_iv_proxy", "day_iv_rank", "day_adx", "day_trend_strength",
          "weekly_ret", "monthly_ret", "day_cci", "day_stoch_k")
@@ -35,16 +35,16 @@ def daily_pack(bars: DataFrame, bucket: str = "year", rows_per_chunk: int | None
         out = out.withColumns({"_tr": ft.true_range(w), "_r": w.change("close"), "_ma20": w.roll(F.avg, "close", 20),
                                "_sd": w.roll(F.stddev_samp, "close", 20), "_ma50": w.roll(F.avg, "close", 50),
                                "_ma200": w.roll(F.avg, "close", 200)})
-        out = out.withColumns({"day_atr_pct": w.roll(F.avg, "_tr", 14) / (K + 1e-9) * 100,
+        out = out.withColumns({"day_atr_pct": w.roll(F.avg, "_tr", 14) / (C("close") + 1e-9) * 100,
                                "day_vol_20": w.roll(F.stddev_samp, "_r", 20) * 100})
         out = out.withColumns({
             **{f"day_ret_{n}": w.change("close", n) * 100 for n in (1, 5, 20)},
             "weekly_ret": w.change("close", 5) * 100, "monthly_ret": w.change("close", 21) * 100,
-            "day_bb_pos": (K - (C("_ma20") - 2 * C("_sd"))) / (4 * C("_sd") + 1e-9),
-            "day_above_ma50": flag(K > C("_ma50")), "day_above_ma200": flag(K > C("_ma200")),
+            "day_bb_pos": (C("close") - (C("_ma20") - 2 * C("_sd"))) / (4 * C("_sd") + 1e-9),
+            "day_above_ma50": flag(C("close") > C("_ma50")), "day_above_ma200": flag(C("close") > C("_ma200")),
             "prev_close": w.lag("close"), "prev_high": w.lag("high"), "prev_low": w.lag("low"),
             "day_iv_proxy": C("day_atr_pct") * math.sqrt(252),
-            "day_trend_strength": (K - C("_ma200")) / (C("day_vol_20") * C("_ma200") / 100 + 1e-9)})
+            "day_trend_strength": (C("close") - C("_ma200")) / (C("day_vol_20") * C("_ma200") / 100 + 1e-9)})
         return rolling_rank(out, "day_iv_proxy", "day_iv_rank", 252, 50, w)
     out = chunked(bars, run, 280, bucket=bucket, rows_per_chunk=rows_per_chunk)
     return out.drop("_tr", "_r", "_ma20", "_sd", "_ma50", "_ma200")
@@ -60,13 +60,13 @@ def attach_daily(bars: DataFrame, daily: DataFrame, compat: bool = False) -> Dat
     if compat:
         out = join_same_date(bars, pack.where(C("prev_close").isNotNull()), DAILY)
     else:
-        own = pack.withColumns({"prev_close": K, "prev_high": H, "prev_low": L})
+        own = pack.withColumns({"prev_close": C("close"), "prev_high": C("high"), "prev_low": C("low")})
         out = join_previous_session(bars, own, DAILY, default=None, keys=("symbol",))
     day_open = F.first("open").over(Window.partitionBy("symbol", "trade_date").orderBy("dt"))
     out = out.withColumns({"gap_pct": (day_open - C("prev_close")) / (C("prev_close") + 1e-9) * 100,
-                           "above_prev_close": flag(K > C("prev_close")),
-                           "dist_prev_hi": (K - C("prev_high")) / (K + 1e-9) * 100,
-                           "dist_prev_lo": (K - C("prev_low")) / (K + 1e-9) * 100})
+                           "above_prev_close": flag(C("close") > C("prev_close")),
+                           "dist_prev_hi": (C("close") - C("prev_high")) / (C("close") + 1e-9) * 100,
+                           "dist_prev_lo": (C("close") - C("prev_low")) / (C("close") + 1e-9) * 100})
     return out.na.fill(0.0, [*DAILY, "gap_pct", "dist_prev_hi", "dist_prev_lo"])
 
 
@@ -90,9 +90,9 @@ def htf_pack(bars: DataFrame, prefix: str, ret_periods=(1, 3), bucket: str = "mo
                                "_sd": w.roll(F.stddev_samp, "close", 20)})
         return out.withColumns({
             **{f"_ret_{n}": ft.lagged_return(w, n) for n in ret_periods},
-            "_bb_pos": (K - (C("_ma") - 2 * C("_sd"))) / (4 * C("_sd") + 1e-9),
-            "_atr_pct": w.roll(F.avg, "_tr", 14) / (K + 1e-9) * 100, "_ema9_21": sign_of(C("_e9"), C("_e21")),
-            "_vol_10": w.roll(F.stddev_samp, "_r", 10) * 100, "_above_vwap": flag(K > C("_ctp") / C("_one")),
+            "_bb_pos": (C("close") - (C("_ma") - 2 * C("_sd"))) / (4 * C("_sd") + 1e-9),
+            "_atr_pct": w.roll(F.avg, "_tr", 14) / (C("close") + 1e-9) * 100, "_ema9_21": sign_of(C("_e9"), C("_e21")),
+            "_vol_10": w.roll(F.stddev_samp, "_r", 10) * 100, "_above_vwap": flag(C("close") > C("_ctp") / C("_one")),
             "_close_chg": w.lag("close") - w.lag("close", 2)})
     out = chunked(total, run, ema_halo(26) + ema_halo(9), bucket=bucket, rows_per_chunk=rows_per_chunk)
     names = [f"ret_{n}" for n in ret_periods] + list(HTF)

@@ -19,22 +19,21 @@ from barflow.operators.rolling import Roller, clip, flag
 from barflow.operators.scans import running, streaks
 
 C = F.col
-O, H, L, K, V = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
 RETURN_STEPS = (1, 3, 5, 10, 15, 30, 60)
 
 
 def typical() -> Column:
-    return (H + L + K) / 3
+    return (C("high") + C("low") + C("close")) / 3
 
 
 def bar_range() -> Column:
-    return F.greatest(H - L, F.lit(EPS))
+    return F.greatest(C("high") - C("low"), F.lit(EPS))
 
 
 def true_range(w: Roller) -> Column:
     """Largest of the bar range and the distances to the previous close; the first bar has only its range."""
     prev = w.lag("close")
-    return F.greatest(H - L, F.abs(H - prev), F.abs(L - prev))
+    return F.greatest(C("high") - C("low"), F.abs(C("high") - prev), F.abs(C("low") - prev))
 
 
 def lagged_return(w: Roller, n: int) -> Column:
@@ -54,7 +53,7 @@ def returns(df, w):
 def atr(df, w, bars_per_day: int = 375):
     out = df.withColumn("_tr", true_range(w))
     out = out.withColumns({"atr_5": w.roll(F.avg, "_tr", 5), "atr_14": w.roll(F.avg, "_tr", 14)}).drop("_tr")
-    out = out.withColumns({"atr_14_pct": C("atr_14") / (K + EPS) * 100, "atr_ratio": C("atr_5") / (C("atr_14") + EPS)})
+    out = out.withColumns({"atr_14_pct": C("atr_14") / (C("close") + EPS) * 100, "atr_ratio": C("atr_5") / (C("atr_14") + EPS)})
     out = out.withColumn("iv_proxy", C("atr_14_pct") * math.sqrt(bars_per_day))
     iv = F.coalesce(C("iv"), C("iv_proxy")) if "iv" in df.columns else C("iv_proxy")
     out = out.withColumn("iv_final", clip(iv, 0.02, 3.0))
@@ -68,7 +67,7 @@ def volatility(df, w):
 
 def bollinger(df, w):
     out = df.withColumns({"_ma": w.roll(F.avg, "close", 20), "_sd": w.roll(F.stddev_samp, "close", 20)})
-    out = out.withColumns({"bb_pos": (K - (C("_ma") - 2 * C("_sd"))) / (4 * C("_sd") + EPS),
+    out = out.withColumns({"bb_pos": (C("close") - (C("_ma") - 2 * C("_sd"))) / (4 * C("_sd") + EPS),
                            "bb_width": 4 * C("_sd") / (C("_ma") + EPS) * 100})
     return out.withColumn("bb_squeeze", flag(C("bb_width") < w.roll(F.avg, "bb_width", 125))).drop("_ma", "_sd")
 
@@ -76,14 +75,14 @@ def bollinger(df, w):
 def keltner(df, w):
     out = df.withColumn("_tr", true_range(w))
     out = out.withColumns({"_atr": w.roll(F.avg, "_tr", 14), "_ma": w.roll(F.avg, "close", 20)})
-    return (out.withColumn("kc_pos", (K - (C("_ma") - 2 * C("_atr"))) / (4 * C("_atr") + EPS_IND))
+    return (out.withColumn("kc_pos", (C("close") - (C("_ma") - 2 * C("_atr"))) / (4 * C("_atr") + EPS_IND))
             .drop("_tr", "_atr", "_ma"))
 
 
 def ema_family(df, w):
     spans = (9, 21, 50, 200)
     out = add_emas(df, {f"ema{s}": ("close", s) for s in spans}, keys=w.keys, order=w.order[0])
-    out = out.withColumns({f"ema{s}_dist": (K - C(f"ema{s}")) / (K + EPS) * 100 for s in spans})
+    out = out.withColumns({f"ema{s}_dist": (C("close") - C(f"ema{s}")) / (C("close") + EPS) * 100 for s in spans})
     return out.withColumns({
         "ema9_21": sign_of(C("ema9"), C("ema21")), "ema21_50": sign_of(C("ema21"), C("ema50")),
         "ema9_slope": w.diff("ema9", 3) / (w.lag("ema9", 3) + EPS) * 100,
@@ -110,7 +109,7 @@ def macd_column(df, w, name: str, fast=12, slow=26, signal=9) -> DataFrame:
     """MACD histogram as a percentage of the close."""
     out = add_emas(df, {"_e1": ("close", fast), "_e2": ("close", slow)}, keys=w.keys, order=w.order[0])
     out = add_emas(out.withColumn("_m", C("_e1") - C("_e2")), {"_s": ("_m", signal)}, keys=w.keys, order=w.order[0])
-    return out.withColumn(name, (C("_m") - C("_s")) / (K + EPS_IND) * 100).drop("_e1", "_e2", "_m", "_s")
+    return out.withColumn(name, (C("_m") - C("_s")) / (C("close") + EPS_IND) * 100).drop("_e1", "_e2", "_m", "_s")
 
 
 def flips(w: Roller, state: Column) -> Column:
@@ -125,8 +124,8 @@ def macd(df, w):
 
 def stochastic_columns(df, w, k: str, r: str, eps: float = EPS) -> DataFrame:
     out = df.withColumns({"_lo": w.roll(F.min, "low", 14), "_hi": w.roll(F.max, "high", 14)})
-    return out.withColumns({k: (K - C("_lo")) / (C("_hi") - C("_lo") + eps) * 100,
-                            r: -100 * (C("_hi") - K) / (C("_hi") - C("_lo") + eps)}).drop("_lo", "_hi")
+    return out.withColumns({k: (C("close") - C("_lo")) / (C("_hi") - C("_lo") + eps) * 100,
+                            r: -100 * (C("_hi") - C("close")) / (C("_hi") - C("_lo") + eps)}).drop("_lo", "_hi")
 
 
 def stochastic(df, w):
@@ -149,7 +148,7 @@ def cci(df, w):
 
 def mfi(df, w):
     out = df.withColumn("_tp", typical())
-    flow = C("_tp") * (V + 1)
+    flow = C("_tp") * (C("volume") + 1)
     out = out.withColumns({"_p": F.when(C("_tp") > w.lag("_tp"), flow).otherwise(0.0),
                            "_n": F.when(C("_tp") < w.lag("_tp"), flow).otherwise(0.0)})
     ratio = w.roll(F.sum, "_p", 14) / (w.roll(F.sum, "_n", 14) + EPS_IND)
@@ -175,16 +174,16 @@ def dmi(df, w):
 
 
 def candle_shape(df, w):
-    body = F.abs(K - O)
+    body = F.abs(C("close") - C("open"))
     share = body / bar_range()
-    out = df.withColumns({"body": share * 100, "upper_wick": (H - F.greatest(K, O)) / bar_range() * 100,
-                          "lower_wick": (F.least(K, O) - L) / bar_range() * 100, "is_green": flag(K >= O),
+    out = df.withColumns({"body": share * 100, "upper_wick": (C("high") - F.greatest(C("close"), C("open"))) / bar_range() * 100,
+                          "lower_wick": (F.least(C("close"), C("open")) - C("low")) / bar_range() * 100, "is_green": flag(C("close") >= C("open")),
                           "big_candle": flag(share > 0.7), "doji": flag(share < 0.1)})
     return out.withColumn("hammer", flag((C("lower_wick") > 60) & (C("upper_wick") < 20) & (share < 0.3)))
 
 
 def range_sums(df, w):
-    out = df.withColumns({"_r": bar_range(), "_b": K - O, "_d": w.diff("close")})
+    out = df.withColumns({"_r": bar_range(), "_b": C("close") - C("open"), "_d": w.diff("close")})
     return out.withColumns({"range_1m": C("_r"), "range_5m": w.roll(F.sum, "_r", 5), "range_15m": w.roll(F.sum, "_r", 15),
                             "price_accel": w.diff("_d"),
                             "body_momentum": w.roll(F.sum, "_b", 5) / (w.roll(F.sum, "_r", 5) + EPS) * 100}
@@ -192,35 +191,35 @@ def range_sums(df, w):
 
 
 def session_vwap(w: Roller) -> Column:
-    return w.session(F.sum, typical() * V) / (w.session(F.sum, V) + EPS)
+    return w.session(F.sum, typical() * C("volume")) / (w.session(F.sum, C("volume")) + EPS)
 
 
 def vwap(df, w):
     out = df.withColumn("vwap", session_vwap(w))
-    out = out.withColumns({"vwap_dist": (K - C("vwap")) / (C("vwap") + EPS) * 100, "above_vwap": flag(K > C("vwap"))})
+    out = out.withColumns({"vwap_dist": (C("close") - C("vwap")) / (C("vwap") + EPS) * 100, "above_vwap": flag(C("close") > C("vwap"))})
     out = out.withColumns({"vwap_slope": w.diff("vwap_dist", 5), "vwap_dev_vel": w.diff("vwap_dist", 3),
-                           "vwap_vol_pressure": C("vwap_dist") * V / (w.roll(F.avg, "volume", 20) + EPS)})
+                           "vwap_vol_pressure": C("vwap_dist") * C("volume") / (w.roll(F.avg, "volume", 20) + EPS)})
     return out.withColumn("vwap_dev_accel", w.diff("vwap_dev_vel", 3))
 
 
 def opening_range(df, w, minutes: int = 15, compat: bool = False):
     """High and low of the first minutes of a session, seen as they form (``compat``: known from the first bar)."""
     early = C("minute_of_day") < minutes
-    hi = w.session(F.max, F.when(early, H), running=not compat)
-    lo = w.session(F.min, F.when(early, L), running=not compat)
-    out = df.withColumns({"or_high": F.coalesce(hi, H), "or_low": F.coalesce(lo, L)})
+    hi = w.session(F.max, F.when(early, C("high")), running=not compat)
+    lo = w.session(F.min, F.when(early, C("low")), running=not compat)
+    out = df.withColumns({"or_high": F.coalesce(hi, C("high")), "or_low": F.coalesce(lo, C("low"))})
     width = F.greatest(C("or_high") - C("or_low"), F.lit(EPS))
-    out = out.withColumns({"or_range": width / (K + EPS) * 100, "or_pos": (K - C("or_low")) / (width + EPS),
-                           "or_break_up": flag(K > C("or_high")), "or_break_dn": flag(K < C("or_low"))})
-    scale = F.greatest(C("or_range"), F.lit(EPS)) / 100 * K + EPS
-    dist = (F.when(C("or_break_up") == 1, (K - C("or_high")) / scale)
-            .when(C("or_break_dn") == 1, (K - C("or_low")) / scale).otherwise(0.0))
+    out = out.withColumns({"or_range": width / (C("close") + EPS) * 100, "or_pos": (C("close") - C("or_low")) / (width + EPS),
+                           "or_break_up": flag(C("close") > C("or_high")), "or_break_dn": flag(C("close") < C("or_low"))})
+    scale = F.greatest(C("or_range"), F.lit(EPS)) / 100 * C("close") + EPS
+    dist = (F.when(C("or_break_up") == 1, (C("close") - C("or_high")) / scale)
+            .when(C("or_break_dn") == 1, (C("close") - C("or_low")) / scale).otherwise(0.0))
     return out.withColumn("orb_dist", clip(dist, -5.0, 5.0))
 
 
 def extremes(df, w):
-    return df.withColumns({**{f"dist_hi_{n}": (w.roll(F.max, "high", n) - K) / (K + EPS) * 100 for n in (20, 60, 120)},
-                           **{f"dist_lo_{n}": (K - w.roll(F.min, "low", n)) / (K + EPS) * 100 for n in (20, 60, 120)}})
+    return df.withColumns({**{f"dist_hi_{n}": (w.roll(F.max, "high", n) - C("close")) / (C("close") + EPS) * 100 for n in (20, 60, 120)},
+                           **{f"dist_lo_{n}": (C("close") - w.roll(F.min, "low", n)) / (C("close") + EPS) * 100 for n in (20, 60, 120)}})
 
 
 def volume_pack(df, w):
@@ -231,14 +230,14 @@ def volume_pack(df, w):
     steady = (F.stddev_samp(x).over(fr) > 0) & (F.stddev_samp(y).over(fr) > 0)
     corr = F.when((F.count(x).over(fr) >= 20) & steady, F.corr(x, y).over(fr))
     mean = F.greatest(w.roll(F.avg, "volume", 20), F.lit(1.0))
-    ratio = F.when(w.roll(F.avg, "volume", 20).isNotNull(), V / (mean + EPS))
+    ratio = F.when(w.roll(F.avg, "volume", 20).isNotNull(), C("volume") / (mean + EPS))
     return out.withColumns({"vol_ratio": ratio, "vol_price_corr": corr}).drop("_dc", "_dv")
 
 
 def tick_imbalance(df, w):
     out = df.withColumn("_t", F.signum(F.coalesce(w.diff("close"), F.lit(0.0))))
     out = out.withColumns({"tick_imbalance": w.roll(F.avg, "_t", 20),
-                           "_b": F.when(C("_t") > 0, V + 1).otherwise(0.0), "_s": F.when(C("_t") < 0, V + 1).otherwise(0.0)})
+                           "_b": F.when(C("_t") > 0, C("volume") + 1).otherwise(0.0), "_s": F.when(C("_t") < 0, C("volume") + 1).otherwise(0.0)})
     out = out.withColumns({"tick_imbal_slope": w.diff("tick_imbalance", 5),
                            "buy_pressure": w.roll(F.sum, "_b", 10), "sell_pressure": w.roll(F.sum, "_s", 10)})
     return out.withColumns({"pressure_ratio": C("buy_pressure") / (C("sell_pressure") + EPS),
@@ -247,8 +246,8 @@ def tick_imbalance(df, w):
 
 def three_bar(df, w):
     c1, c2, o1, o2 = w.lag("close"), w.lag("close", 2), w.lag("open"), w.lag("open", 2)
-    return df.withColumns({"bear_3bar": flag((c2 > c1) & (c1 > K) & (c2 > o2) & (c1 > o1) & (K < O)),
-                           "bull_3bar": flag((c2 < c1) & (c1 < K) & (c2 < o2) & (c1 < o1) & (K > O))})
+    return df.withColumns({"bear_3bar": flag((c2 > c1) & (c1 > C("close")) & (c2 > o2) & (c1 > o1) & (C("close") < C("open"))),
+                           "bull_3bar": flag((c2 < c1) & (c1 < C("close")) & (c2 < o2) & (c1 < o1) & (C("close") > C("open")))})
 
 
 def pivots(df, w, side: int = 3):
@@ -262,8 +261,8 @@ def structure(df, w, lookback: int = 20):
     """+1 / -1 / 0 from the last two pivot highs and lows before the bar, smoothed over three bars."""
     out = pivots(df, w)
     past = w.frame(-lookback, -1)
-    out = out.withColumns({"_hs": F.collect_list(F.when(C("pivot_hi") > 0, K)).over(past),
-                           "_ls": F.collect_list(F.when(C("pivot_lo") > 0, K)).over(past),
+    out = out.withColumns({"_hs": F.collect_list(F.when(C("pivot_hi") > 0, C("close"))).over(past),
+                           "_ls": F.collect_list(F.when(C("pivot_lo") > 0, C("close"))).over(past),
                            "_deep": w.lag("close", lookback).isNotNull()})
 
     def last(a, k):
@@ -276,12 +275,12 @@ def structure(df, w, lookback: int = 20):
 
 
 def gaps_and_sweeps(df, w):
-    out = df.withColumns({"_gb": flag(w.lag("high", 2) < L).cast("double"), "_gs": flag(w.lag("low", 2) > H).cast("double"),
+    out = df.withColumns({"_gb": flag(w.lag("high", 2) < C("low")).cast("double"), "_gs": flag(w.lag("low", 2) > C("high")).cast("double"),
                           "_eh": w.roll(F.max, "high", 20), "_el": w.roll(F.min, "low", 20), "_r": bar_range()})
     return out.withColumns({
         "fvg_bull": w.roll(F.max, "_gb", 5, 1), "fvg_bear": w.roll(F.max, "_gs", 5, 1),
-        "liq_sweep_up": flag((H >= C("_eh") * (1 - 0.0005)) & (K < C("_eh"))).cast("double"),
-        "liq_sweep_dn": flag((L <= C("_el") * (1 + 0.0005)) & (K > C("_el"))).cast("double"),
+        "liq_sweep_up": flag((C("high") >= C("_eh") * (1 - 0.0005)) & (C("close") < C("_eh"))).cast("double"),
+        "liq_sweep_dn": flag((C("low") <= C("_el") * (1 + 0.0005)) & (C("close") > C("_el"))).cast("double"),
         "nr4": flag(C("_r") == w.roll(F.min, "_r", 4)), "nr7": flag(C("_r") == w.roll(F.min, "_r", 7))}
     ).drop("_gb", "_gs", "_eh", "_el", "_r")
 
@@ -311,12 +310,12 @@ def ta_scores(df, w=None, compat: bool = False):
 
 def trend_pack(df, w, vix: Column | None = None):
     """Trend-following features in four groups: structure, momentum, swing regime, context."""
-    rng = F.when(H != L, H - L)
+    rng = F.when(C("high") != C("low"), C("high") - C("low"))
     out = df.withColumns({f"ret_{n}b": same_session_only(w, n, lagged_return(w, n)) for n in (1, 3, 6, 12)})
     out = out.withColumns({"_tr": true_range(w), "_vw": session_vwap(w), "_pc": w.lag("close"),
                            "_new": flag(~C("trade_date").eqNullSafe(w.lag("trade_date"))),
-                           "_dh": w.session(F.max, "high"), "_dl": w.session(F.min, "low"), "_grn": flag(K > O).cast("double"),
-                           "_hl": H - L})
+                           "_dh": w.session(F.max, "high"), "_dl": w.session(F.min, "low"), "_grn": flag(C("close") > C("open")).cast("double"),
+                           "_hl": C("high") - C("low")})
     out = out.withColumn("_atr", w.roll(F.avg, "_tr", 14))
     out = dmi_columns(out, w, 20, "adx_20")
     hi5, lo5 = F.max("high").over(w.frame(-4, 0)), F.min("low").over(w.frame(-4, 0))
@@ -324,22 +323,22 @@ def trend_pack(df, w, vix: Column | None = None):
     enough = F.count("high").over(old) >= 5
     ph, pl = F.when(enough, F.max("high").over(old)), F.when(enough, F.min("low").over(old))
     out = out.withColumns({
-        "vwap_dist_pct": (K - C("_vw")) / (C("_vw") + EPS) * 100,
+        "vwap_dist_pct": (C("close") - C("_vw")) / (C("_vw") + EPS) * 100,
         "vwap_slope_3b": w.diff("_vw", 3) / (w.lag("_vw", 3) + EPS) * 100,
-        "bar_range_norm": (H - L) / (C("_atr") + EPS),
-        "bar_body_ratio": clip(F.coalesce(F.abs(K - O) / rng, F.lit(0.5)), 0.0, 1.0),
-        "gap_from_prev_close": F.when(C("_new") == 1, (K - C("_pc")) / (C("_pc") + EPS) * 100).otherwise(0.0),
-        "day_position": (K - C("_dl")) / (C("_dh") - C("_dl") + EPS),
+        "bar_range_norm": (C("high") - C("low")) / (C("_atr") + EPS),
+        "bar_body_ratio": clip(F.coalesce(F.abs(C("close") - C("open")) / rng, F.lit(0.5)), 0.0, 1.0),
+        "gap_from_prev_close": F.when(C("_new") == 1, (C("close") - C("_pc")) / (C("_pc") + EPS) * 100).otherwise(0.0),
+        "day_position": (C("close") - C("_dl")) / (C("_dh") - C("_dl") + EPS),
         "roc_1b": w.change("close") * 100, "roc_3b": w.change("close", 3) * 100,
-        "bar_close_vs_open": (K - O) / (C("_atr") + EPS),
-        "buying_pressure": clip(F.coalesce((K - L) / rng, F.lit(0.5)), 0.0, 1.0),
-        "vol_ratio_10": clip(V / (w.roll(F.avg, "volume", 10, 1) + EPS), 0.0, 10.0),
+        "bar_close_vs_open": (C("close") - C("open")) / (C("_atr") + EPS),
+        "buying_pressure": clip(F.coalesce((C("close") - C("low")) / rng, F.lit(0.5)), 0.0, 1.0),
+        "vol_ratio_10": clip(C("volume") / (w.roll(F.avg, "volume", 10, 1) + EPS), 0.0, 10.0),
         "up_vol_frac": w.roll(F.avg, "_grn", 3, 1),
         "adx_slope_3b": w.diff("adx_20", 3),
         "higher_high_flag": flag(hi5 > ph), "higher_low_flag": flag(lo5 > pl),
         "lower_high_flag": flag(hi5 < ph), "lower_low_flag": flag(lo5 < pl),
-        "swing_high_dist": (w.roll(F.max, "high", 20, 5) - K) / (C("_atr") + EPS),
-        "swing_low_dist": (K - w.roll(F.min, "low", 20, 5)) / (C("_atr") + EPS),
+        "swing_high_dist": (w.roll(F.max, "high", 20, 5) - C("close")) / (C("_atr") + EPS),
+        "swing_low_dist": (C("close") - w.roll(F.min, "low", 20, 5)) / (C("_atr") + EPS),
         "time_normalized": clip(C("minute_of_day") / F.lit(375.0), 0.0, 1.0),
         "dow_encoded": clip(F.weekday("dt").cast("double"), 0.0, 4.0) / 4.0,
         "intraday_vol": w.roll(F.avg, "_hl", 10, 1),
@@ -378,7 +377,7 @@ def obv(bars: DataFrame, bucket: str = "day", rows_per_chunk: int | None = None)
     """On-balance volume needs the total since the first bar: signed volume, two-level running sum, ten-bar slope."""
     w = Roller()
     opts = dict(bucket=bucket, rows_per_chunk=rows_per_chunk)
-    signed = chunked(bars, lambda d: d.withColumn("_sv", F.signum(F.coalesce(w.diff("close"), F.lit(0.0))) * (V + 1)), 1, **opts)
+    signed = chunked(bars, lambda d: d.withColumn("_sv", F.signum(F.coalesce(w.diff("close"), F.lit(0.0))) * (C("volume") + 1)), 1, **opts)
     total = running(signed, {"obv": C("_sv")}, bucket=bucket).drop("_sv").withColumn("_a", F.abs("obv"))
     slope = w.diff("obv", 10) / (w.roll(F.avg, "_a", 10) + EPS)
     return chunked(total, lambda d: d.withColumn("obv_slope", slope), 10, **opts).drop("_a")
@@ -388,7 +387,7 @@ def streak_features(bars: DataFrame, bucket: str = "day", rows_per_chunk: int |
     """Runs of green / red bars and of rising / falling closes, of any length."""
     w = Roller()
     moved = chunked(bars, lambda d: d.withColumn("_d", w.diff("close")), 1, bucket=bucket, rows_per_chunk=rows_per_chunk)
-    return streaks(moved, {"consec_green": K >= O, "consec_red": K < O, "consec_up": C("_d") > 0, "consec_dn": C("_d") < 0},
+    return streaks(moved, {"consec_green": C("close") >= C("open"), "consec_red": C("close") < C("open"), "consec_up": C("_d") > 0, "consec_dn": C("_d") < 0},
                    bucket=bucket).drop("_d")
 
 
@@ -399,8 +398,8 @@ def prior_session_pivots(bars: DataFrame) -> DataFrame:
     by = Window.partitionBy("symbol").orderBy("trade_date")
     prev = days.select("symbol", "trade_date", F.lag("_h").over(by).alias("prev_high"), F.lag("_l").over(by).alias("prev_low"))
     out = bars.join(prev, ["symbol", "trade_date"], "left")
-    return out.withColumns({"dist_pivot_hi": (C("prev_high") - K) / (K + EPS) * 100,
-                            "dist_pivot_lo": (K - C("prev_low")) / (K + EPS) * 100})
+    return out.withColumns({"dist_pivot_hi": (C("prev_high") - C("close")) / (C("close") + EPS) * 100,
+                            "dist_pivot_lo": (C("close") - C("prev_low")) / (C("close") + EPS) * 100})
 
 
 def feature_columns(df: DataFrame, prefix: str) -> Sequence[str]:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from barflow import constants as k
 from barflow.operators.chunks import CHUNK, chunked
 from barflow.operators.rolling import Roller, flag
-from barflow.plans.features import K
 
 C = F.col
 
@@ -65,10 +64,10 @@ def triple_barrier(df: DataFrame, horizon: int, *, bars_per_day: int = 375, bars
     atr_width = mult * C("atr_14")
     width = atr_width
     if "iv" in df.columns:
-        by_iv = K * C("iv") * F.sqrt("_steps") * (1 / math.sqrt(bars_per_day + 1e-9)) * mult
+        by_iv = C("close") * C("iv") * F.sqrt("_steps") * (1 / math.sqrt(bars_per_day + 1e-9)) * mult
         width = F.when(C("iv") > 0, by_iv).otherwise(atr_width)
     out = out.withColumn("_steps", steps).withColumn("_width", width)
-    out = out.withColumns({"_tp": K + C("_width") * upper, "_sl": K - C("_width")})
+    out = out.withColumns({"_tp": C("close") + C("_width") * upper, "_sl": C("close") - C("_width")})
 
     def ahead(d):
         nxt = F.collect_list(F.struct("high", "low", "close")).over(_future(longest, within_session))
@@ -77,13 +76,13 @@ def triple_barrier(df: DataFrame, horizon: int, *, bars_per_day: int = 375, bars
     out = chunked(out, ahead, longest + 1, forward=True, bucket=bucket, rows_per_chunk=rows_per_chunk)
     tp, sl = C("_tp"), C("_sl")
     codes = F.transform("_next", lambda x: F.when(x["high"] >= tp, 1).when(x["low"] <= sl, -1).otherwise(0))
-    usable = C("_full") & (K > 0) & (C("_width") > 0)
+    usable = C("_full") & (C("close") > 0) & (C("_width") > 0)
     out = out.withColumn("_codes", F.when(usable, codes))
     at = F.array_position(F.transform("_codes", lambda c: c != 0), True)
     out = out.withColumn("_at", F.when(at > 0, at.cast("int")))
     out = out.withColumns({"_side": F.get("_codes", C("_at") - 1), "_exit": F.get("_next", C("_at") - 1)["close"]})
-    ret = (C("_exit") - K) / K * 100
-    moved = F.abs(C("_exit") - K) / (K * 0.01 + 1e-9) / (C("_width") / K * 100 + 1e-9)
+    ret = (C("_exit") - C("close")) / C("close") * 100
+    moved = F.abs(C("_exit") - C("close")) / (C("close") * 0.01 + 1e-9) / (C("_width") / C("close") * 100 + 1e-9)
     side = F.when(C("_side") == 1, 1.0).when(C("_side") == -1, (1.0 - k.TB_STOP_TIME_DECAY * (C("_steps") / base)) * 0.85)
     ev = F.exp(-k.TB_VELOCITY_LAMBDA * moved) * side
     s = f"_{horizon}m"
@@ -98,14 +97,14 @@ def fixed_barrier(df: DataFrame, horizon: int = 6, upper_pct: float = 0.005, low
     def ahead(d):
         return d.withColumn("_next", F.collect_list("close").over(_future(horizon, within_session)))
     out = chunked(df, ahead, horizon, forward=True, bucket=bucket, rows_per_chunk=rows_per_chunk)
-    up, down = K * (1 + upper_pct), K * (1 - lower_pct)
-    usable = (F.size("_next") >= horizon) & (K > 0)
+    up, down = C("close") * (1 + upper_pct), C("close") * (1 - lower_pct)
+    usable = (F.size("_next") >= horizon) & (C("close") > 0)
     codes = F.transform("_next", lambda p: F.when(p >= up, 1).when(p <= down, -1).otherwise(0))
     out = out.withColumn("_codes", F.when(usable, codes))
     at = F.array_position(F.transform("_codes", lambda c: c != 0), True)
     out = out.withColumn("_at", F.when(C("_codes").isNotNull(), F.when(at > 0, at.cast("int")).otherwise(horizon)))
     out = out.withColumn("_side", F.get("_codes", C("_at") - 1))
-    moves = F.transform(F.slice("_next", F.lit(1), C("_at")), lambda p: (p - K) / (K + 1e-9) * 100)
+    moves = F.transform(F.slice("_next", F.lit(1), C("_at")), lambda p: (p - C("close")) / (C("close") + 1e-9) * 100)
     known = C("_at").isNotNull()
     return out.withColumns({
         "label": F.when(known, flag(C("_side") == 1)),

@@ -15,7 +15,7 @@ from barflow.operators.rolling import Roller, flag
 from barflow.operators.scans import forward_fill, running, streaks
 from barflow.plans import features as ft
 
-C, K = F.col, ft.K
+C = F.col
 INPUTS = ("vol", "atr", "trend", "rsi", "adx")
 
 
@@ -28,8 +28,8 @@ def regime_inputs(daily: DataFrame, bucket: str = "year", rows_per_chunk: int |
         out = ft.dmi_columns(out, w, 14, "adx")
         out = out.withColumns({"_tr": ft.true_range(w), "_r": w.change("close"), "_ma": w.roll(F.avg, "close", 50)})
         return out.withColumns({"vol": w.roll(F.stddev_samp, "_r", 20) * math.sqrt(252) * 100,
-                                "atr": w.roll(F.avg, "_tr", 14) / (K + 1e-9) * 100,
-                                "trend": (K - C("_ma")) / (C("_ma") + 1e-9) * 100}).drop("_tr", "_r", "_ma")
+                                "atr": w.roll(F.avg, "_tr", 14) / (C("close") + 1e-9) * 100,
+                                "trend": (C("close") - C("_ma")) / (C("_ma") + 1e-9) * 100}).drop("_tr", "_r", "_ma")
     out = chunked(daily, run, 60, bucket=bucket, rows_per_chunk=rows_per_chunk)
     return forward_fill(out, list(INPUTS), bucket=bucket)
 
@@ -180,7 +180,7 @@ def micro_regime(bars: DataFrame, bucket: str = "day", rows_per_chunk: int | Non
                               "_now": F.last("atr_14", True).over(fr), "_then": F.first("close").over(w.frame(-19, 0)),
                               "_prior": F.avg("atr_14").over(w.frame(-10, -1))})
         ratio = C("_now") / (C("_mean") + 1e-9)
-        net = (K - C("_then")) / (C("_mean") + 1e-9)
+        net = (C("close") - C("_then")) / (C("_mean") + 1e-9)
         prior = F.when(C("_na") > 11, C("_prior") / (C("_mean") + 1e-9)).otherwise(1.0)
         label = (F.when((C("_n") < 30) | (C("_na") < 10), "UNKNOWN").when((prior < 0.70) & (ratio > 1.10), "BREAKOUT")
                  .when(ratio > 1.30, F.when(net > 0.3, "TRENDING_UP").otherwise("TRENDING_DN")).when(ratio < 0.70, "RANGING")

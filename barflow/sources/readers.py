@@ -89,9 +89,9 @@ def read_instruments(spark: SparkSession, path: str, segment: str | None = None,
     return rows.where(C("name") == name) if name else rows
 
 
-def tick_price(ltp=C("last_traded_price"), other=C("ltp")):
+def tick_price(first: str = "last_traded_price", other: str = "ltp"):
     """Price of a tick message, sent in hundredths under one of two names."""
-    return F.coalesce(ltp, other) / 100.0
+    return F.coalesce(C(first), C(other)) / 100.0
 
 
 def stream_ticks(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:

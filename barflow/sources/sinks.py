@@ -57,13 +57,13 @@ def write_bar_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("date").option("header", True).csv(path)
 
 
-def write_trades(ledger: DataFrame, path: str, fmt: str = "parquet", single_file: bool = False) -> None:
-    """Closed trades: parquet partitioned by session date, or CSV with a header; one file only for small exports."""
+def write_trades(ledger: DataFrame, path: str, fmt: str = "parquet", single_file: bool = False, by: str = "file_date") -> None:
+    """Closed trades: parquet partitioned by session date (or a coarser column where sessions are small), or CSV with a header; one file only for small exports."""
     closed = ledger.where("is_closed")
     if fmt == "csv":
         (closed.coalesce(1) if single_file else closed).write.mode("overwrite").option("header", True).csv(path)
     else:
-        closed.write.mode("overwrite").partitionBy("file_date").parquet(path)
+        closed.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
 def write_trade_events(events: DataFrame, path: str) -> None:
