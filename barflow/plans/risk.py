@@ -39,6 +39,8 @@ def state_at_entries(ledger: DataFrame, scope: tuple[str, ...] = ("account",), t
     Everything is a two-level scan over the merged timeline, so no trade is joined with all trades before it.
     """
     from barflow.operators.chunks import CHUNK, chunked
+    # The scans below read the trades several times; pairing and charging them is done once.
+    ledger = materialize(ledger.select(*scope, "trade_no", "direction", "entry_ts", "exit_ts", "entry_price", "qty", "net_p", "is_closed"))
     closed = materialize(loss_streaks(ledger, scope, trigger, minutes, bucket=bucket))
     w = Window.partitionBy(*scope, CHUNK).orderBy("ts", "trade_no").rowsBetween(-(window - 1), 0)
     win = F.when(C("net_p") > 0, 1.0).otherwise(0.0)
