@@ -72,7 +72,7 @@ def fit_states(z: DataFrame, columns=tuple(f"z_{c}" for c in INPUTS), seed: int
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
     # The fit passes over the rows many times; kept rows are recomputed if an executor is lost.
-    data = VectorAssembler(inputCols=list(columns), outputCol="features").transform(z.select("symbol", "dt", *columns)).persist()
+    data = VectorAssembler(inputCols=list(columns), outputCol="features").transform(z.select("symbol", "dt", *columns).na.drop()).persist()
     model = GaussianMixture(k=3, seed=seed, maxIter=50).fit(data)
     params = [(np.array(r["mean"].toArray()), np.array(r["cov"].toArray())) for r in model.gaussiansDF.collect()]  # three rows
     order = np.argsort([np.diag(c).mean() for _, c in params])
@@ -110,7 +110,7 @@ def filter_states(z: DataFrame, states: dict) -> DataFrame:
         best = post.argmax(axis=1)
         return pd.DataFrame({"symbol": pdf["symbol"].values, "dt": pdf["dt"].values, "regime": [names[int(b)] for b in best],
                              "confidence": post.max(axis=1)})
-    return z.groupBy("symbol").applyInPandas(kernel, schema)
+    return z.na.drop(subset=cols).groupBy("symbol").applyInPandas(kernel, schema)
 
 
 # --- per-row rules --------------------------------------------------------------------------------------------------
