@@ -1,9 +1,9 @@
 """Registered queries of the text operators, each over its whole table, with SQL where SQL can say the same."""
 from __future__ import annotations
 
-import os
+from pyspark.sql import functions as F
 
-from barflow.llm import cascade, licences, sharding, tree_dedup
+from barflow.llm import bpe, cascade, licences, packing, sharding, tree_dedup
 
 
 def table(spark, sf_dir: str, name: str):
@@ -18,6 +18,21 @@ def op5_exact_dedup(spark, sf_dir):
     return tree_dedup.duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> str:
+    """Path of the public vocabulary that the contracts name."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_backtracking_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op8_retrieval_packing(spark, sf_dir):
+    pieces = packing.packed(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_licence_scan(spark, sf_dir):
     return licences.licence_scan(table(spark, sf_dir, "documents"))
 
@@ -80,7 +95,7 @@ SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(sentence_ids, '
 FROM t LEFT JOIN g USING (rid) LEFT JOIN a USING (rid) LEFT JOIN b USING (rid) LEFT JOIN c USING (rid)"""
 
 
-QUERIES = {f.__name__: f for f in (op4_rule_cascade, op5_exact_dedup, op9_licence_scan, op10_extendible_shards)}
+QUERIES = {f.__name__: f for f in (op4_rule_cascade, op5_exact_dedup, op6_backtracking_bpe, op8_retrieval_packing, op9_licence_scan, op10_extendible_shards)}
 
 ORACLES = {
     "op4_rule_cascade": "WITH " + RULES_SQL.format(source="documents") + """
