@@ -3,13 +3,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barflow.llm import bpe, cascade, licences, packing, sharding, tree_dedup
+from barflow.llm import bpe, cascade, licences, packing, sharding, superminhash, tree_dedup, warc
 
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_superminhash(spark, sf_dir):
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_warc_segments(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "segments")
+
+
 def op4_rule_cascade(spark, sf_dir):
     return cascade.rule_report(table(spark, sf_dir, "documents"))
 
@@ -95,7 +103,7 @@ SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(sentence_ids, '
 FROM t LEFT JOIN g USING (rid) LEFT JOIN a USING (rid) LEFT JOIN b USING (rid) LEFT JOIN c USING (rid)"""
 
 
-QUERIES = {f.__name__: f for f in (op4_rule_cascade, op5_exact_dedup, op6_backtracking_bpe, op8_retrieval_packing, op9_licence_scan, op10_extendible_shards)}
+QUERIES = {f.__name__: f for f in (op2_superminhash, op3_warc_segments, op4_rule_cascade, op5_exact_dedup, op6_backtracking_bpe, op8_retrieval_packing, op9_licence_scan, op10_extendible_shards)}
 
 ORACLES = {
     "op4_rule_cascade": "WITH " + RULES_SQL.format(source="documents") + """
