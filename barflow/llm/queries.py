@@ -3,13 +3,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barflow.llm import bpe, cascade, licences, packing, sharding, superminhash, tree_dedup, warc
+from barflow.llm import bpe, cascade, crf, licences, packing, sharding, superminhash, toxicity, tree_dedup, warc
 
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_compression_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_superminhash(spark, sf_dir):
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op6_backtracking_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_line_crf(spark, sf_dir):
+    return crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_retrieval_packing(spark, sf_dir):
     pieces = packing.packed(table(spark, sf_dir, "documents"), vocabulary(), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -103,7 +111,9 @@ SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(sentence_ids, '
 FROM t LEFT JOIN g USING (rid) LEFT JOIN a USING (rid) LEFT JOIN b USING (rid) LEFT JOIN c USING (rid)"""
 
 
-QUERIES = {f.__name__: f for f in (op2_superminhash, op3_warc_segments, op4_rule_cascade, op5_exact_dedup, op6_backtracking_bpe, op8_retrieval_packing, op9_licence_scan, op10_extendible_shards)}
+QUERIES = {f.__name__: f for f in (
+    op1_compression_toxicity, op2_superminhash, op3_warc_segments, op4_rule_cascade, op5_exact_dedup, op6_backtracking_bpe, op7_line_crf,
+    op8_retrieval_packing, op9_licence_scan, op10_extendible_shards)}
 
 ORACLES = {
     "op4_rule_cascade": "WITH " + RULES_SQL.format(source="documents") + """

@@ -5,6 +5,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barflow.operators.stage import materialize
+
 C = F.col
 
 
@@ -23,7 +25,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max
     short = docs.where(F.length(text) <= max_chars).select(key, C(text).alias("_text"))
     order = F.xxhash64(C(key), F.lit(17))
     wanted = [known.where(C("_label") == v).orderBy(order, key).limit(2 * per_class) for v in (0, 1)]
-    found = short.join(F.broadcast(wanted[0].unionByName(wanted[1])), key)
+    found = materialize(short.join(F.broadcast(wanted[0].unionByName(wanted[1])), key))
     rows = [r for v in (0, 1) for r in found.where(C("_label") == v).orderBy(order, key).limit(per_class).select("_text", "_label").collect()]
     y = np.array([r["_label"] for r in rows], np.int64)
     return [r["_text"] for r in rows], y, class_weights(y, {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()})
