@@ -203,7 +203,7 @@ TREES = 3  # few trees: the query checks the path, not the fit
 
 def oof(spark, d):
     from barflow.operators.stage import materialize
-    return materialize(ln.out_of_fold(training_frame(spark, d), FEATURES, TREES, min_train=50, min_test=20))
+    return materialize(ln.out_of_fold(training_frame(spark, d), FEATURES, TREES))
 
 
 @register("m05_out_of_fold")
@@ -230,7 +230,7 @@ def m09(spark, d):
     from barflow.plans.votes import blend_expert
     rows = training_frame(spark, d)
     out = ln.soft_vote(ln.base_pipeline(FEATURES, TREES).fit(rows), rows, "p_global").withColumn("p_regime", F.lit(None).cast("double"))
-    for regime, model in ln.regime_experts(rows, FEATURES, TREES, 100).items():
+    for regime, model in ln.regime_experts(rows, FEATURES, TREES).items():
         out = ln.soft_vote(model, out, "_p").withColumn("p_regime", F.when(C("regime") == regime, C("_p")).otherwise(C("p_regime"))).drop("_p")
     return fx.rounded(out.withColumn("p", blend_expert(C("p_regime"), C("p_global"), F.lit(0.6))), "symbol", "dt", "regime", "p_global", "p_regime", "p")
 

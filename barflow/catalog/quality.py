@@ -240,9 +240,31 @@ def r11(spark, d):
     return ql.warmup(fx.bars(spark, d), 180, 6).select("symbol", "dt", "bars_in_session", "warmup_reason", "ready")
 
 
-@register("q09_bar_validation")
+# Limits that fit hourly bars whose prices are independent draws, so that valid bars, every kind of error, recovery and the halt all occur.
+MAX_STEP_SECONDS, MAX_STEP_PCT = 9000.0, 60.0
+
+
+def _errors_sql(close, ts):
+    """Errors of row ``n`` against a last good close and time."""
+    known = "(n.open IS NOT NULL AND n.high IS NOT NULL AND n.low IS NOT NULL AND n.close IS NOT NULL)"
+    return f"""list_filter([CASE WHEN NOT {known} OR n.close<=0 THEN 'INVALID_CLOSE' END,
+CASE WHEN NOT {known} OR NOT (n.high>=greatest(n.open,n.close) AND least(n.open,n.close)>=n.low AND n.low>=0) THEN 'OHLC_VIOLATION' END,
+CASE WHEN {known} AND {close}>0 AND n.close>0 AND abs(n.close-{close})/{close}*100e0>{MAX_STEP_PCT}e0 THEN 'PRICE_GAP' END,
+CASE WHEN {ts} IS NOT NULL AND epoch(n.dt)-epoch({ts})>{MAX_STEP_SECONDS}e0 THEN 'TIMESTAMP_GAP' END], lambda x: x IS NOT NULL)"""
+
+
+VALIDATED = f"""WITH RECURSIVE {V('bars').removeprefix('WITH ')}, {DIRTY}, num AS (SELECT *, row_number() OVER ({PD}) AS rn FROM dirty),
+s1 AS (SELECT n.symbol, n.trade_date, n.rn, n.dt, n.close, {_errors_sql('0e0', 'NULL::TIMESTAMP')} AS e FROM num n WHERE rn=1),
+v AS (SELECT symbol, trade_date, rn, dt, e, CASE WHEN len(e)=0 THEN 0 ELSE 1 END AS bad, CASE WHEN len(e)=0 THEN close ELSE 0e0 END AS good, CASE WHEN len(e)=0 THEN dt END AS good_dt FROM s1
+UNION ALL SELECT q.symbol, q.trade_date, q.rn, q.dt, q.e, CASE WHEN len(q.e)=0 THEN 0 ELSE q.bad+1 END, CASE WHEN len(q.e)=0 THEN q.close ELSE q.good END, CASE WHEN len(q.e)=0 THEN q.dt ELSE q.good_dt END
+FROM (SELECT n.symbol, n.trade_date, n.rn, n.dt, n.close, v.bad, v.good, v.good_dt, {_errors_sql('v.good', 'v.good_dt')} AS e
+FROM v JOIN num n ON n.symbol=v.symbol AND n.trade_date=v.trade_date AND n.rn=v.rn+1) AS q)
+SELECT symbol, dt, len(e)=0 AS bar_valid, array_to_string(e, ',') AS errors, CAST(bad AS INTEGER) AS bad_in_row, bad>={k.HALT_AFTER} AS halt FROM v"""
+
+
+@register("q09_bar_validation", VALIDATED)
 def q09(spark, d):
-    return ql.validate_bars(dirty(spark, d)).select("symbol", "dt", "bar_valid", F.array_join("errors", ",").alias("errors"), "bad_in_row", "halt")
+    return ql.validate_bars(dirty(spark, d), MAX_STEP_SECONDS, MAX_STEP_PCT).select("symbol", "dt", "bar_valid", F.array_join("errors", ",").alias("errors"), "bad_in_row", "halt")
 
 
 @register("r06_bar_sanity", f"""{V('bars')}, {DIRTY}, e AS (SELECT symbol, dt, list_filter([CASE WHEN coalesce(close<=0,true) THEN 'INVALID_CLOSE' END,

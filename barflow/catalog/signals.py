@@ -380,7 +380,7 @@ CONF = f"""{V('scored')}, {PREDS}, ct AS (SELECT *, CASE WHEN proba>0.5e0 THEN r
 
 def preds(spark, d):
     w = Roller()
-    b = chunked(fx.bars(spark, d), lambda x: x.withColumn("ret", (w.lead("close") / C("close") - 1) * 100), 1, forward=True)
+    b = chunked(fx.bars(spark, d), lambda x: x.withColumn("ret", (F.try_divide(w.lead("close"), C("close")) - 1) * 100), 1, forward=True)
     h = F.explode(F.array(*[F.lit(x) for x in (1, 5, 15, 30)]))
     key = (C("volume") * 37 + F.hour("dt") * 13 + C("h") * 7) % 41
     return (b.withColumn("h", h).withColumn("proba", key.cast("double") / 40)
@@ -405,8 +405,8 @@ for _name, _keys in (("a08_backtest_metrics", ("h",)), ("a09_regime_metrics", ("
 
 @register("a10_winrate_breakdown", f"""{CONF}, x AS (SELECT win, CASE regime WHEN 0 THEN 'TRENDING' WHEN 1 THEN 'RANGING' ELSE 'CRISIS' END AS rn, CASE WHEN adx>=0 AND adx<15 THEN 'ADX<15' WHEN adx>=15 AND adx<25 THEN 'ADX15-25' WHEN adx>=25 AND adx<100 THEN 'ADX>25' END AS ab,
 CASE WHEN conf<0.55e0 THEN '0.50-0.55' WHEN conf<0.6e0 THEN '0.55-0.60' WHEN conf<0.65e0 THEN '0.60-0.65' WHEN conf<0.7e0 THEN '0.65-0.70' WHEN conf<1.01e0 THEN '0.70+' END AS cb FROM ct),
-u AS (SELECT rn AS regime_name, NULL::VARCHAR AS adx_bucket, NULL::VARCHAR AS conf_bin, count(*) AS n, avg(win) AS wr FROM x GROUP BY 1 UNION ALL SELECT rn, ab, NULL, count(*), avg(win) FROM x WHERE ab IS NOT NULL GROUP BY 1,2 HAVING count(*)>=20
-UNION ALL SELECT NULL, NULL, cb, count(*), avg(win) FROM x WHERE cb IS NOT NULL GROUP BY cb HAVING count(*)>=10) SELECT regime_name, adx_bucket, conf_bin, n, {R('wr')}, floor((wr-0.5e0)*1e6+0.5e0)/1e6 AS edge FROM u""")
+u AS (SELECT rn AS regime_name, NULL::VARCHAR AS adx_bucket, NULL::VARCHAR AS conf_bin, count(*) AS n, avg(win) AS wr FROM x GROUP BY 1 UNION ALL SELECT rn, ab, NULL, count(*), avg(win) FROM x WHERE ab IS NOT NULL GROUP BY 1,2
+UNION ALL SELECT NULL, NULL, cb, count(*), avg(win) FROM x WHERE cb IS NOT NULL GROUP BY cb) SELECT regime_name, adx_bucket, conf_bin, n, {R('wr')}, floor((wr-0.5e0)*1e6+0.5e0)/1e6 AS edge FROM u""")
 def a10(spark, d):
     return fx.rounded(ln.winrate_breakdown(ln.confident_trades(preds(spark, d))))
 

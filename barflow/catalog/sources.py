@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barflow.catalog import fixtures as fx
 from barflow.catalog.market import regime_bars
-from barflow.catalog.quality import DIRTY, dirty
+from barflow.catalog.quality import DIRTY, MAX_STEP_PCT, MAX_STEP_SECONDS, VALIDATED, dirty
 from barflow.catalog.trading import LV, SIG, ledger, signals
 from barflow.operators.stage import shared_folder
 from barflow.sources import readers as rd
@@ -150,11 +150,11 @@ def r04(spark, d):
     return fx.rounded(st.run_available(st.recent_ticks(tick_stream(spark, d))), "symbol", "seq", "n", "high", "low")
 
 
-@register("r06_stream_validation")
+@register("r06_stream_validation", VALIDATED)
 def r06(spark, d):
     st.configure(spark)
     s = bar_stream(spark, dirty(spark, d), ["symbol", "dt", "open", "high", "low", "close", "volume"])
-    out = st.run_available(st.validated_bars(s))
+    out = st.run_available(st.validated_bars(s, max_gap_seconds=MAX_STEP_SECONDS, max_gap_pct=MAX_STEP_PCT))
     return out.select("symbol", C("dt").cast("timestamp_ntz").alias("dt"), "bar_valid", F.array_join("errors", ",").alias("errors"), "bad_in_row", "halt")
 
 

@@ -135,7 +135,7 @@ def flow_pack(series: DataFrame) -> DataFrame:
 def world_pack(series: DataFrame) -> DataFrame:
     """World-index returns and the risk-on bin."""
     w = Window.orderBy("date")
-    out = series.select("date", *[((C("close") / F.lag("close", n).over(w) - 1) * 100).alias(f"world_ret_{n}d") for n in (1, 5)])
+    out = series.select("date", *[((F.try_divide(C("close"), F.lag("close", n).over(w)) - 1) * 100).alias(f"world_ret_{n}d") for n in (1, 5)])
     return out.withColumn("global_risk_on", cut(C("world_ret_1d"), [-999, -0.5, 0.5, 999], [-1.0, 0.0, 1.0]))
 
 

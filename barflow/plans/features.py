@@ -37,7 +37,7 @@ def true_range(w: Roller) -> Column:
 
 
 def lagged_return(w: Roller, n: int) -> Column:
-    return (w.lag("close") / w.lag("close", n + 1) - 1) * 100
+    return (F.try_divide(w.lag("close"), w.lag("close", n + 1)) - 1) * 100
 
 
 def same_session_only(w: Roller, n: int, value: Column) -> Column:
@@ -227,8 +227,8 @@ def volume_pack(df, w):
     both = C("_dc").isNotNull() & C("_dv").isNotNull()
     x, y = F.when(both, C("_dc")), F.when(both, C("_dv"))
     fr = w.frame(-19, 0)
-    steady = (F.stddev_samp(x).over(fr) > 0) & (F.stddev_samp(y).over(fr) > 0)
-    corr = F.when((F.count(x).over(fr) >= 20) & steady, F.corr(x, y).over(fr))
+    # A window function runs for every row, guarded or not, so a flat window must not divide by its deviation of zero.
+    corr = F.when(F.count(x).over(fr) >= 20, F.try_divide(F.covar_samp(x, y).over(fr), F.stddev_samp(x).over(fr) * F.stddev_samp(y).over(fr)))
     mean = F.greatest(w.roll(F.avg, "volume", 20), F.lit(1.0))
     ratio = F.when(w.roll(F.avg, "volume", 20).isNotNull(), C("volume") / (mean + EPS))
     return out.withColumns({"vol_ratio": ratio, "vol_price_corr": corr}).drop("_dc", "_dv")

@@ -166,7 +166,7 @@ def block_histogram(events: DataFrame) -> DataFrame:
 def order_filters(df: DataFrame, capital: float = k.CAPITAL, lot: int = k.LOT_NEW) -> DataFrame:
     """Filters between signal and order; ``order_block`` names the first that holds."""
     live, up, down, mod = ~C("crisis_bypass"), C("direction") == "UP", C("direction") == "DOWN", C("minute_of_day")
-    vs_open = (C("close") - C("day_open")) / C("day_open")
+    vs_open = F.try_divide(C("close") - C("day_open"), C("day_open"))
     bear, bull = (C("tf15_ret_1") < -0.03) & (C("tick_imbalance") < 0), (C("tf15_ret_1") > 0.03) & (C("tick_imbalance") > 0)
     need = 0.62 + (1.0 - C("dd_mult")) * 0.28
     gates = [("SESSION_NO_TRADE", live & (C("session_regime") == "NO_TRADE")), ("SESSION_RANGING", live & (C("session_regime") == "RANGING")),

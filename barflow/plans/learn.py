@@ -29,12 +29,10 @@ def training_rows(df: DataFrame, horizon: int, features: Sequence[str], session:
     return out
 
 
-def recent_rows(df: DataFrame, date: str = "trade_date", years: int = 2, min_rows: int = 500) -> DataFrame:
-    """Rows of the last years when there are enough of them, else all; decided inside the plan, without an action."""
+def recent_rows(df: DataFrame, date: str = "trade_date", years: int = 2) -> DataFrame:
+    """Rows of the last years, however many they are."""
     last = df.agg(F.max(date).alias("_last"))
-    cut_ = df.crossJoin(F.broadcast(last)).withColumn("_new", C(date) >= F.add_months("_last", -12 * years))  # one row
-    enough = cut_.agg((F.count(F.when(C("_new"), 1)) > min_rows).alias("_enough"))
-    return cut_.crossJoin(F.broadcast(enough)).where(~C("_enough") | C("_new")).drop("_last", "_new", "_enough")  # one row
+    return df.crossJoin(F.broadcast(last)).where(C(date) >= F.add_months("_last", -12 * years)).drop("_last")  # one row
 
 
 def noise_filter(df: DataFrame, horizon: int, min_move: float = 0.0005, min_adx: float = 10.0) -> DataFrame:
@@ -80,13 +78,11 @@ def sample_weights(df: DataFrame, ev: str, decay: float = k.TRAIN_DECAY) -> Data
 
 
 def drawdown_weights(oof: DataFrame, order=("dt", "symbol"), bucket: str = "day") -> DataFrame:
-    """Down-weight rows inside drawdowns of the held-out equity curve (none when few rows were scored)."""
+    """Down-weight rows inside drawdowns of the held-out equity curve."""
     right = F.when(C("proba") > 0.5, 1).otherwise(0) == C("y")
     pnl = F.when(C("proba").isNull(), 0.0).when(right, C("ret")).otherwise(-F.abs("ret"))
     out = drawdown(oof, F.coalesce(pnl, F.lit(0.0)), keys=[], order=list(order), bucket=bucket)
-    n = oof.agg((F.count("proba") >= 100).alias("_enough"))
-    deep = C("_enough") & (C("drawdown") < k.DD_CLUSTER)
-    return out.crossJoin(F.broadcast(n)).withColumn("dd_weight", F.when(deep, k.DD_WEIGHT).otherwise(1.0)).drop("_enough", "peak")  # one row
+    return out.withColumn("dd_weight", F.when(C("drawdown") < k.DD_CLUSTER, k.DD_WEIGHT).otherwise(1.0)).drop("peak")
 
 
 # --- learners -------------------------------------------------------------------------------------------------------
@@ -112,22 +108,26 @@ def soft_vote(model: PipelineModel, df: DataFrame, name: str = "proba") -> DataF
     return scored.withColumn(name, mean).drop(*TEMP)
 
 
-def out_of_fold(df: DataFrame, features: Sequence[str], trees: int = 300, splits: int = 5, min_train: int = 500, min_test: int = 100) -> DataFrame:
-    """Held-out probability per row.  Five fits, each a distributed job; folds too small or of one class are left out."""
+def out_of_fold(df: DataFrame, features: Sequence[str], trees: int = 300, splits: int = 5) -> DataFrame:
+    """Held-out probability per row, and the number of rows its model was fitted on (``n_train``).  Five fits, each a distributed job.
+
+    Every row stays.  Rows that are in no test fold, or whose fold has training rows of one class only, have no probability.
+    """
     rows = df.persist()
     try:
         sizes = rows.agg(*[F.count(F.when(C("train_from") <= f, 1)).alias(f"a{f}") for f in range(splits)],
-                         *[F.count(F.when(C("test_fold") == f, 1)).alias(f"b{f}") for f in range(splits)],
                          *[F.count_distinct(F.when(C("train_from") <= f, C("y"))).alias(f"c{f}") for f in range(splits)]).first()
         parts = []
         for f in range(splits):
-            if sizes[f"a{f}"] < min_train or sizes[f"b{f}"] < min_test or sizes[f"c{f}"] < 2:
+            test = df.where(C("test_fold") == f).withColumn("n_train", F.lit(sizes[f"a{f}"]))
+            if sizes[f"c{f}"] < 2:
+                parts.append(test.withColumn("proba", F.lit(None).cast("double")))
                 continue
             model = base_pipeline(features, trees).fit(rows.where(C("train_from") <= f))
-            parts.append(soft_vote(model, df.where(C("test_fold") == f)))
+            parts.append(soft_vote(model, test))
     finally:
         rows.unpersist()
-    out = df.where("false").withColumn("proba", F.lit(None).cast("double"))
+    out = df.where(C("test_fold").isNull()).withColumns({"n_train": F.lit(0).cast("long"), "proba": F.lit(None).cast("double")})
     for p in parts:
         out = out.unionByName(p)
     return out
@@ -137,7 +137,7 @@ def platt(oof: DataFrame) -> PipelineModel:
     """Sigmoid from raw held-out probability to calibrated probability."""
     return Pipeline(stages=[VectorAssembler(inputCols=["proba"], outputCol="_x"),
                             LogisticRegression(featuresCol="_x", labelCol="y", regParam=0.0, predictionCol="_p", probabilityCol="_q",
-                                               rawPredictionCol="_r")]).fit(oof)
+                                               rawPredictionCol="_r")]).fit(oof.where(C("proba").isNotNull()))
 
 
 def calibrate(model: PipelineModel, df: DataFrame, name: str = "calibrated") -> DataFrame:
@@ -161,12 +161,11 @@ def score_context(model: PipelineModel | None, df: DataFrame, name: str, neutral
     return model.transform(df).withColumn(name, vector_to_array("_q")[1]).drop("_x", "_p", "_q", "_r")
 
 
-def regime_experts(df: DataFrame, features: Sequence[str], trees: int = 300, min_rows: int = 300) -> dict[int, PipelineModel]:
-    """One model per regime that has enough rows of both classes."""
-    sizes = {r["regime"]: (r["n"], r["classes"]) for r in
-             df.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("y").alias("classes")).collect()}  # a few regimes
+def regime_experts(df: DataFrame, features: Sequence[str], trees: int = 300) -> dict[int, PipelineModel]:
+    """One model per regime that has rows of both classes."""
+    classes = {r["regime"]: r["n"] for r in df.groupBy("regime").agg(F.count_distinct("y").alias("n")).collect()}  # a few regimes
     return {r: base_pipeline(features, trees).fit(df.where(C("regime") == r)) for r in (k.TRENDING, k.RANGING)
-            if sizes.get(r, (0, 0))[0] >= min_rows and sizes[r][1] == 2}
+            if classes.get(r) == 2}
 
 
 def feature_importance(spark, model: PipelineModel, features: Sequence[str], top: int | None = None) -> DataFrame:
@@ -195,8 +194,8 @@ def confident_trades(preds: DataFrame, min_conf: float = k.CONF_MODERATE) -> Dat
                             "win": F.when((C("ret") > 0) == (C("pred") == 1), 1.0).otherwise(0.0)})
 
 
-def backtest_metrics(trades: DataFrame, keys: Sequence[str] = ("h",), order=("dt", "symbol"), bucket: str = "day", min_trades: int = 5) -> DataFrame:
-    """Counts, win rate, profit factor, daily Sharpe, drawdown and Calmar per key; zeros below ``min_trades``."""
+def backtest_metrics(trades: DataFrame, keys: Sequence[str] = ("h",), order=("dt", "symbol"), bucket: str = "day") -> DataFrame:
+    """Counts, win rate, profit factor, daily Sharpe, drawdown and Calmar per key, for any number of trades."""
     keys = list(keys)
     dd = drawdown(trades, "pnl", keys=keys, order=list(order), bucket=bucket)
     per_day = dd.groupBy(*keys, "trade_date").agg(
@@ -205,25 +204,21 @@ def backtest_metrics(trades: DataFrame, keys: Sequence[str] = ("h",), order=("dt
     out = per_day.groupBy(*keys).agg(
         F.sum("_n").alias("trades"), F.sum("_w").alias("_w"), F.coalesce(F.sum("_ws"), F.lit(0.0)).alias("_ws"), F.coalesce(F.sum("_ls"), F.lit(0.0)).alias("_ls"),
         F.min("_dd").alias("max_dd"), F.sum("_day").alias("total"), F.avg("_day").alias("_m"), F.stddev_pop("_day").alias("_s"))
-    few = C("trades") < min_trades
-    z = F.lit(0.0)
-    return out.select(*keys, F.when(few, F.lit(0)).otherwise(C("trades")).alias("trades"), F.when(few, z).otherwise(C("_w") / C("trades")).alias("win_rate"),
-                      F.when(few, z).otherwise(C("total") / C("trades")).alias("avg_ret"),
-                      F.when(few, z).when(C("_ls") > 0, C("_ws") / C("_ls")).otherwise(99.0).alias("profit_factor"),
-                      F.when(few, z).otherwise(C("_m") / (C("_s") + 1e-9) * F.sqrt(F.lit(252.0))).alias("sharpe"),
-                      F.when(few, z).when(C("max_dd") < 0, C("total") / F.abs(C("max_dd") + 1e-9)).otherwise(99.0).alias("calmar"),
-                      F.when(few, z).otherwise(C("max_dd")).alias("max_dd"), F.when(few, z).otherwise(C("total")).alias("total"))
+    return out.select(*keys, "trades", (C("_w") / C("trades")).alias("win_rate"), (C("total") / C("trades")).alias("avg_ret"),
+                      F.when(C("_ls") > 0, C("_ws") / C("_ls")).otherwise(99.0).alias("profit_factor"),
+                      (C("_m") / (C("_s") + 1e-9) * F.sqrt(F.lit(252.0))).alias("sharpe"),
+                      F.when(C("max_dd") < 0, C("total") / F.abs(C("max_dd") + 1e-9)).otherwise(99.0).alias("calmar"), "max_dd", "total")
 
 
 def winrate_breakdown(trades: DataFrame) -> DataFrame:
-    """Win rate by regime, by regime and ADX bucket (n >= 20) and by confidence bin (n >= 10), in one pass of grouping sets."""
+    """Win rate and number of trades by regime, by regime and ADX bucket and by confidence bin, in one pass of grouping sets."""
     name = F.when(C("regime") == 0, "TRENDING").when(C("regime") == 1, "RANGING").when(C("regime") == 2, "CRISIS").when(C("regime") == -1, "UNCERT").otherwise("?")
     t = trades.select("win", name.alias("regime_name"), cut(C("adx"), [0, 15, 25, 100], ["ADX<15", "ADX15-25", "ADX>25"], right=False).alias("adx_bucket"),
                       cut(C("conf"), [0.50, 0.55, 0.60, 0.65, 0.70, 1.01], ["0.50-0.55", "0.55-0.60", "0.60-0.65", "0.65-0.70", "0.70+"], right=False).alias("conf_bin"))
     r, a, b = C("regime_name"), C("adx_bucket"), C("conf_bin")
     agg = t.groupingSets([[r], [r, a], [b]], r, a, b).agg(F.count(F.lit(1)).alias("n"), F.avg("win").alias("wr"), F.grouping_id().alias("_g"))
     # grouping_id has one bit per column left out: regime only is 3, regime with ADX 1, confidence bin 6.
-    keep = ((C("_g") == 3) | ((C("_g") == 1) & a.isNotNull() & (C("n") >= 20)) | ((C("_g") == 6) & b.isNotNull() & (C("n") >= 10)))
+    keep = (C("_g") == 3) | ((C("_g") == 1) & a.isNotNull()) | ((C("_g") == 6) & b.isNotNull())
     return agg.where(keep).select("regime_name", "adx_bucket", "conf_bin", "n", "wr", (C("wr") - 0.5).alias("edge"))
 
 

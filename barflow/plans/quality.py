@@ -73,8 +73,9 @@ BAR_STATUS = [StructField("bar_valid", BooleanType()), StructField("errors", Arr
 class BarChecker:
     """Memory of one symbol's last good bar.  Shared by the batch kernel and the streaming processor."""
 
-    def __init__(self, close: float = 0.0, ts=None, bad: int = 0):
+    def __init__(self, close: float = 0.0, ts=None, bad: int = 0, max_gap_seconds: float = k.MAX_TS_GAP, max_gap_pct: float = k.MAX_GAP_PCT):
         self.close, self.ts, self.bad = close, ts, bad
+        self.max_gap_seconds, self.max_gap_pct = max_gap_seconds, max_gap_pct
 
     def check(self, o, h, low, c, ts, now=None):
         errors = []
@@ -83,9 +84,9 @@ class BarChecker:
             errors.append("INVALID_CLOSE")
         if not known or not (h >= max(o, c) and min(o, c) >= low and low >= 0):
             errors.append("OHLC_VIOLATION")
-        if known and self.close > 0 and c > 0 and abs(c - self.close) / self.close * 100 > k.MAX_GAP_PCT:
+        if known and self.close > 0 and c > 0 and abs(c - self.close) / self.close * 100 > self.max_gap_pct:
             errors.append("PRICE_GAP")
-        if self.ts is not None and (ts - self.ts).total_seconds() > k.MAX_TS_GAP:
+        if self.ts is not None and (ts - self.ts).total_seconds() > self.max_gap_seconds:
             errors.append("TIMESTAMP_GAP")
         if now is not None and (now - ts).total_seconds() > k.STALE_SECONDS:
             errors.append("STALE_BAR")
@@ -96,7 +97,7 @@ class BarChecker:
         return not errors, errors, self.bad, self.bad >= k.HALT_AFTER
 
 
-def validate_bars(bars: DataFrame, max_gap_seconds: float = k.MAX_TS_GAP) -> DataFrame:
+def validate_bars(bars: DataFrame, max_gap_seconds: float = k.MAX_TS_GAP, max_gap_pct: float = k.MAX_GAP_PCT) -> DataFrame:
     """Judge each bar against the session's last good one; ``errors`` lists what is wrong, ``halt`` marks the third in a row.
 
     Whether a bar is good decides what the next one is compared with, so rows are taken in order inside a session, which
@@ -106,13 +107,12 @@ def validate_bars(bars: DataFrame, max_gap_seconds: float = k.MAX_TS_GAP) -> Dat
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("dt", kind="stable")
-        memory, rows = BarChecker(), []
+        memory, rows = BarChecker(max_gap_seconds=max_gap_seconds, max_gap_pct=max_gap_pct), []
         for o, h, low, c, ts in zip(pdf["open"], pdf["high"], pdf["low"], pdf["close"], pdf["dt"]):
             rows.append(memory.check(o, h, low, c, ts))
         for i, f in enumerate(BAR_STATUS):
             pdf[f.name] = [r[i] for r in rows]
         return pdf
-    del max_gap_seconds
     return bars.groupBy("symbol", "trade_date").applyInPandas(kernel, schema)
 
 
@@ -141,12 +141,12 @@ def unpivot(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFr
     return df.select(*ids, *[C(c).cast("double").alias(c) for c in columns]).unpivot(list(ids), list(columns), "feature", "value")
 
 
-def feature_stats(df: DataFrame, columns: Sequence[str], min_rows: int = 10) -> DataFrame:
-    """mean and sample deviation per feature, features with too few values left out: one aggregate, then a stack."""
+def feature_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """mean, sample deviation and number of values per feature: one aggregate, then a stack."""
     agg = df.agg(*[f(C(c).cast("double")).alias(f"{c}{s}") for c in columns
                    for f, s in ((F.avg, "__m"), (F.stddev_samp, "__s"), (F.count, "__n"))])
     parts = ", ".join(f"'{c}', `{c}__m`, `{c}__s`, `{c}__n`" for c in columns)
-    return agg.select(F.expr(f"stack({len(columns)}, {parts}) AS (feature, mean, std, n)")).where(C("n") >= min_rows)
+    return agg.select(F.expr(f"stack({len(columns)}, {parts}) AS (feature, mean, std, n)"))
 
 
 def feature_stability(df: DataFrame, columns: Sequence[str], baseline_rows: int, window_rows: int, order: Sequence[str] = ("dt", "symbol"),
@@ -162,8 +162,7 @@ def feature_stability(df: DataFrame, columns: Sequence[str], baseline_rows: int,
     parts = ", ".join(f"'{c}', `{c}__b`, `{c}__s`, `{c}__r`" for c in columns)
     out = agg.select("_total", F.expr(f"stack({len(columns)}, {parts}) AS (feature, base, std, recent)"))
     fsi = F.abs(C("recent") - C("base")) / F.when(C("std") != 0, C("std"))
-    enough = C("_total") >= baseline_rows + window_rows
-    return out.select("feature", F.when(enough, F.coalesce(fsi, F.lit(0.0))).otherwise(0.0).alias("fsi"))
+    return out.select("feature", F.coalesce(fsi, F.lit(0.0)).alias("fsi"))
 
 
 def drift_zscores(df: DataFrame, stats: DataFrame, columns: Sequence[str], ids: Sequence[str]) -> DataFrame:

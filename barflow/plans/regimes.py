@@ -229,7 +229,7 @@ def day_quality(conf: Column, adx: Column, adx5: Column, rsi: Column, rsi5: Colu
 
 def divergence(bars: DataFrame, index: str, other: str) -> DataFrame:
     """Return of ``other`` minus return of ``index`` per bar; diverging when signs differ and the gap exceeds 0.1."""
-    ret = bars.select("dt", "symbol", ((C("close") / C("open") - 1) * 100).alias("ret"))
+    ret = bars.select("dt", "symbol", ((F.try_divide("close", "open") - 1) * 100).alias("ret"))
     a = ret.where(C("symbol") == index).select("dt", C("ret").alias("_a"))
     b = ret.where(C("symbol") == other).select("dt", C("ret").alias("_b"))
     out = a.join(b, "dt").withColumn("spread", C("_b") - C("_a"))

@@ -38,8 +38,8 @@ def position_state(marks: DataFrame) -> DataFrame:
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     out = marks.withColumns({"bars_held": F.row_number().over(w), "peak": F.greatest(C("entry"), F.max("ltp").over(so_far)),
                              "_prev_ratio": F.coalesce(F.lag("atr_ratio").over(w), F.lit(1.0))})
-    return out.withColumns({"gain": C("ltp") - C("entry"), "pnl_pct": (C("ltp") - C("entry")) / C("entry"),
-                            "mfe": F.greatest(F.lit(0.0), C("peak") - C("entry")), "peak_gain": (C("peak") - C("entry")) / C("entry")})
+    return out.withColumns({"gain": C("ltp") - C("entry"), "pnl_pct": F.try_divide(C("ltp") - C("entry"), C("entry")),
+                            "mfe": F.greatest(F.lit(0.0), C("peak") - C("entry")), "peak_gain": F.try_divide(C("peak") - C("entry"), C("entry"))})
 
 
 def _paper_rules(stop: Column, partial: Column) -> list[tuple[str, Column]]:

@@ -51,9 +51,10 @@ def read_bars(spark: SparkSession, path: str, zone: str | None = "Asia/Kolkata",
     return keep_last(rows, ["symbol", "dt"], "_seq").drop("_seq")
 
 
-def require_rows(df: DataFrame, minimum: int) -> DataFrame | None:
-    """The frame, or None when it holds fewer rows than ``minimum``; looks at no more rows than that."""
-    return df if df.limit(minimum).count() >= minimum else None
+def require_rows(df: DataFrame, minimum: int) -> DataFrame:
+    """The frame with its row count ``n_rows`` and whether that is below ``minimum`` (``too_few``); no row is left out."""
+    n = df.agg(F.count(F.lit(1)).alias("n_rows"))
+    return df.crossJoin(F.broadcast(n)).withColumn("too_few", C("n_rows") < minimum)  # one row
 
 
 def read_option_chain(spark: SparkSession, path: str) -> DataFrame:

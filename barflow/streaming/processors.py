@@ -48,18 +48,21 @@ class BarValidator(StatefulProcessor):
     SCHEMA = ("symbol STRING, dt TIMESTAMP, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE, bar_valid BOOLEAN, "
               "errors ARRAY<STRING>, bad_in_row INT, halt BOOLEAN")
 
+    def __init__(self, **limits):
+        self.limits = limits
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.memory = handle.getValueState("memory", "day STRING, close DOUBLE, ts TIMESTAMP, bad INT")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _rows(rows, ["dt"])
         day, close, ts, bad = self.memory.get() if self.memory.exists() else ("", 0.0, None, 0)
-        state = BarChecker(close, _naive(ts), bad)
+        state = BarChecker(close, _naive(ts), bad, **self.limits)
         out = []
         for r in pdf.itertuples(index=False):
             now = _naive(r.dt)
             if str(now.date()) != day:
-                day, state = str(now.date()), BarChecker()
+                day, state = str(now.date()), BarChecker(**self.limits)
             out.append(state.check(r.open, r.high, r.low, r.close, now))
         for i, name in enumerate(("bar_valid", "errors", "bad_in_row", "halt")):
             pdf[name] = [o[i] for o in out]

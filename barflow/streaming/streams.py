@@ -39,8 +39,9 @@ def tick_directions(ticks: DataFrame) -> DataFrame:
     return keyed(ticks, TickDirection())
 
 
-def validated_bars(bars: DataFrame) -> DataFrame:
-    return keyed(bars, BarValidator())
+def validated_bars(bars: DataFrame, **limits) -> DataFrame:
+    """Bars judged in order; ``limits`` are those of ``BarChecker``."""
+    return keyed(bars, BarValidator(**limits))
 
 
 def confirmed_regimes(readings: DataFrame) -> DataFrame:

@@ -85,3 +85,15 @@ def test_symbol_round_trip(spark):
 def test_bad_values(spark):
     r = one(spark, a=numeric.clean_value(F.lit(float("nan"))), b=numeric.clean_value(F.lit(float("-inf")), 7.0), c=numeric.null_if_bad(F.lit(float("inf"))))
     assert (r["a"], r["b"], r["c"]) == (0.0, 7.0, None)
+
+
+def test_flat_and_zero_prices(spark):
+    """Windows without any change, and prices of zero, give NULLs; under ANSI rules nothing may divide by them."""
+    from barflow.plans import features as ft
+    start = dt.datetime(2024, 1, 2, 9, 15)
+    rows = [("FLAT", start + dt.timedelta(minutes=i), 5.0, 5.0, 5.0, 5.0, 7.0) for i in range(40)]
+    rows += [("ZERO", start + dt.timedelta(minutes=i), 0.0, 0.0, 0.0, 0.0, float(i % 3)) for i in range(40)]
+    bars = spark.createDataFrame(rows, "symbol string, dt timestamp_ntz, open double, high double, low double, close double, volume double")
+    bars = bars.withColumns({"trade_date": F.to_date("dt"), "minute_of_day": F.lit(0)})
+    out = ft.add_features(bars, "returns", "volume").select("symbol", "vol_price_corr", "ret_1m").collect()
+    assert len(out) == 80 and all(r.vol_price_corr is None for r in out)

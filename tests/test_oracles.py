@@ -4,21 +4,14 @@ from harness import compare, duck
 
 from barflow.catalog import all_oracles, all_queries
 
-SLOW = {"j02_attach_htf", "j02_attach_htf_compat", "s07_multi_file_union", "t04_reasons_by_count", "u02_upsert"}
-# These rules switch on row counts that the smallest tables do not reach.
-LARGER = {"a06_feature_stability", "p08_recency"}
-
 
 @pytest.fixture(scope="module")
 def con(data):
     return duck(data)
 
 
-@pytest.mark.parametrize("name", sorted(set(all_oracles()) - SLOW))
+@pytest.mark.parametrize("name", sorted(all_oracles()))
 def test_oracle(spark, con, data, name):
-    if name in LARGER:
-        data = data.replace("sf0.001", "sf0.01")
-        con = duck(data)
     ok, message, _ = compare(spark, con, data, all_queries()[name], all_oracles()[name])
     assert ok, message
 

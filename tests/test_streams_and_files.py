@@ -46,7 +46,7 @@ def test_event_log(spark, tmp_path):
 
 def test_require_rows(spark):
     df = spark.range(10)
-    assert rd.require_rows(df, 10) is not None and rd.require_rows(df, 11) is None
+    assert [{(r.n_rows, r.too_few) for r in rd.require_rows(df, n).collect()} for n in (10, 11)] == [{(10, False)}, {(10, True)}]
 
 
 def test_upsert(spark, tmp_path):
