@@ -84,9 +84,9 @@ def g04(spark, d):
 
 
 # Bar-level inputs for the rule ladders, made from the bars by arithmetic both engines do alike.
-PSEUDO = """ps AS (SELECT symbol, dt, trade_date, open, high, low, close, volume, CAST((minute_of_day*375)/1440 AS INTEGER) AS mod, CAST((volume*7+minute_of_day/60*5)%4 AS INTEGER)-1 AS reg,
+PSEUDO = """ps AS (SELECT symbol, dt, trade_date, open, high, low, close, volume, CAST(floor((minute_of_day*375)/1440) AS INTEGER) AS mod, CAST(floor((volume*7+minute_of_day/60*5)%4) AS INTEGER)-1 AS reg,
  (volume*13+minute_of_day)%40-5 AS ivc, ((volume*3+minute_of_day/20)%25)/10e0 AS ar, (volume*11+minute_of_day/10)%50 AS adx, (volume*17+minute_of_day/7)%45 AS adx5,
- CAST((volume+minute_of_day/60)%2 AS INTEGER) AS sq, ((volume*5+minute_of_day)%9-4)/10e0 AS r1, ((volume*3+minute_of_day)%7-3)/10e0 AS r3, ((volume*19+minute_of_day)%100)/100e0 AS conf,
+ CAST(floor((volume+minute_of_day/60)%2) AS INTEGER) AS sq, ((volume*5+minute_of_day)%9-4)/10e0 AS r1, ((volume*3+minute_of_day)%7-3)/10e0 AS r3, ((volume*19+minute_of_day)%100)/100e0 AS conf,
  (volume*23+minute_of_day)%100 AS rsi, (volume*29+minute_of_day)%100 AS rsi5, ((volume*31+minute_of_day)%30)/100e0 AS bbw FROM bars)"""
 
 
@@ -100,9 +100,6 @@ def pseudo(spark, d):
                     ((v * 23 + m) % 100).alias("rsi"), ((v * 29 + m) % 100).alias("rsi5"), ((v * 31 + m) % 30 / 100.0).alias("bbw"))
 
 
-PSEUDO = PSEUDO.replace("CAST((minute_of_day*375)/1440 AS INTEGER)", "CAST(floor((minute_of_day*375)/1440) AS INTEGER)").replace(
-    "CAST((volume*7+minute_of_day/60*5)%4 AS INTEGER)-1", "CAST(floor((volume*7+minute_of_day/60*5)%4) AS INTEGER)-1").replace(
-    "CAST((volume+minute_of_day/60)%2 AS INTEGER)", "CAST(floor((volume+minute_of_day/60)%2) AS INTEGER)")
 PS = f"{V('bars')}, {PSEUDO}"
 
 

@@ -121,7 +121,12 @@ def q04(spark, d):
     return fx.rounded(ss.stale_penalty(p), "symbol", "dt", "stale_penalty")
 
 
-@register("q05_temporal_lock")
+@register("q05_temporal_lock", f"""WITH RECURSIVE {V('scored')[5:]}, x AS (SELECT symbol, trade_date, dt, CASE WHEN proba>0.5e0 THEN 1 ELSE 0 END AS side, row_number() OVER (PARTITION BY symbol, trade_date ORDER BY dt) AS rn FROM scored WHERE h=5),
+s AS (SELECT symbol, trade_date, dt, rn, [side] AS sides, 0 AS lft, 0 AS cool, 0e0 AS pen FROM x WHERE rn=1 UNION ALL
+ SELECT symbol, trade_date, dt, rn, sd, CASE WHEN l1=0 AND c1=0 AND len(sd)=3 AND sd[1]<>sd[2] AND sd[2]<>sd[3] THEN 3 ELSE l1 END, c1, pen FROM
+ (SELECT x.symbol, x.trade_date, x.dt, x.rn, greatest(s.lft-1, 0) AS l1, CASE WHEN s.lft=1 THEN 9 ELSE greatest(s.cool-1, 0) END AS c1, CASE WHEN s.lft>1 THEN 0.08e0 ELSE 0e0 END AS pen,
+  list_append(CASE WHEN s.lft=1 THEN []::INTEGER[] WHEN len(s.sides)=3 THEN s.sides[2:3] ELSE s.sides END, x.side) AS sd FROM s JOIN x ON x.symbol=s.symbol AND x.trade_date=s.trade_date AND x.rn=s.rn+1) AS q)
+SELECT symbol, dt, CAST(lft AS INTEGER) AS lock_bars, pen AS lock_penalty FROM s""")
 def q05(spark, d):
     s = fx.scored(spark, d).where("h = 5").withColumn("side", F.when(C("proba") > 0.5, 1).otherwise(0))
     return ss.temporal_lock(s, "side").select("symbol", "dt", "lock_bars", "lock_penalty")
@@ -134,7 +139,13 @@ def q03(spark, d):
     return ss.pullback_entry(f.join(v, ["symbol", "dt"])).select("symbol", "dt", "direction", "entry", "entry_state")
 
 
-@register("q06_horizon_weights")
+@register("q06_horizon_weights", f"""WITH RECURSIVE {V('scored')[5:]}, x AS (SELECT symbol, trade_date, dt, h, CASE WHEN close>open THEN 1e0 ELSE 0e0 END AS won, row_number() OVER (PARTITION BY symbol, trade_date ORDER BY dt) AS rn
+ FROM scored WHERE h = ([1, 5, 15, 30])[CAST(extract(hour FROM dt) AS INTEGER)%4+1]),
+s AS (SELECT symbol, trade_date, 0::BIGINT AS rn, NULL::TIMESTAMP AS dt, 0.05e0 AS w1, 0.20e0 AS w5, 0.45e0 AS w15, 0.30e0 AS w30 FROM x WHERE rn=1 UNION ALL
+ SELECT symbol, trade_date, rn, dt, a/(((a+b)+c)+e+1e-9), b/(((a+b)+c)+e+1e-9), c/(((a+b)+c)+e+1e-9), e/(((a+b)+c)+e+1e-9) FROM
+ (SELECT x.symbol, x.trade_date, x.rn, x.dt, CASE WHEN h=1 THEN 0.95e0*w1+0.05e0*won ELSE w1 END AS a, CASE WHEN h=5 THEN 0.95e0*w5+0.05e0*won ELSE w5 END AS b,
+  CASE WHEN h=15 THEN 0.95e0*w15+0.05e0*won ELSE w15 END AS c, CASE WHEN h=30 THEN 0.95e0*w30+0.05e0*won ELSE w30 END AS e FROM s JOIN x ON x.symbol=s.symbol AND x.trade_date=s.trade_date AND x.rn=s.rn+1) AS q)
+SELECT symbol, dt, {R('w1', 'w5', 'w15', 'w30')} FROM s WHERE rn>0""")
 def q06(spark, d):
     s = fx.scored(spark, d).where(C("h") == F.element_at(F.array(F.lit(1), F.lit(5), F.lit(15), F.lit(30)), (F.pmod(F.hour("dt"), F.lit(4)) + 1).cast("int")))
     return fx.rounded(ss.horizon_weights(s.withColumn("won", C("close") > C("open"))), "symbol", "dt", "w1", "w5", "w15", "w30")

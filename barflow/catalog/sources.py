@@ -55,8 +55,10 @@ def s04(spark, d):
 def s05(spark, d):
     path = folder(spark)
     day = fx.daily(spark, d).select("date", "vix_close", "close")
-    day.unionByName(day.withColumn("vix_close", C("vix_close") * 0)).coalesce(1).write.option("header", True).csv(path)
-    return fx.rounded(rd.read_daily_series(spark, path, ["vix_close", "close"]), places=9)
+    # A later file repeats every date with other values; the first file's rows must win.
+    day.write.option("header", True).csv(f"{path}/1")
+    day.withColumn("vix_close", C("vix_close") * 0).write.option("header", True).csv(f"{path}/2")
+    return fx.rounded(rd.read_daily_series(spark, f"{path}/*", ["vix_close", "close"]), places=9)
 
 
 @register("s06_read_trade_events", f"{V('trades')} SELECT trade_no AS session_trade_number, direction, {R('entry_price')}, contracts, CAST(date_trunc('month', entry_ts) AS DATE) AS file_date FROM trades")
@@ -81,10 +83,11 @@ def s08(spark, d):
     p = fx.table(spark, d, "part")
     seg = F.when(C("p_partkey") % 2 == 0, "NFO").otherwise("NSE")
     rows = p.select(F.concat(F.lit("P"), C("p_partkey")).alias("symbol"), C("p_partkey").cast("string").alias("token"), seg.alias("exch_seg"), C("p_type").alias("name"))
-    # One JSON array per brand file: small arrays that parse in parallel.
-    arrays = rows.withColumn("f", C("token").cast("bigint") % 16).groupBy("f").agg(F.to_json(F.collect_list(F.struct("symbol", "token", "exch_seg", "name"))).alias("value"))
-    arrays.repartition(16, "f").write.partitionBy("f").text(path)
-    return rd.read_instruments(spark, f"{path}/*", "NFO", "ECONOMY").select("symbol", "token", "exch_seg", "name")
+    # Arrays of 1,024 consecutive parts, so that their number grows with the table and their size does not.
+    group = F.floor(C("token").cast("bigint") / 1024).alias("f")
+    arrays = rows.groupBy(group).agg(F.to_json(F.collect_list(F.struct("symbol", "token", "exch_seg", "name"))).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return rd.read_instruments(spark, path, "NFO", "ECONOMY").select("symbol", "token", "exch_seg", "name")
 
 
 @register("s10_write_trades", f"{LV} SELECT trade_no, net_p, exit_reason, file_date FROM ledger WHERE is_closed")

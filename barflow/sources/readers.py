@@ -70,7 +70,8 @@ def read_daily_series(spark: SparkSession, path: str, columns: list[str]) -> Dat
     """A daily CSV keyed by date; the first row of a date is kept."""
     schema = ", ".join(["date STRING", *[f"{c} STRING" for c in columns]])
     raw = spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE")
-    rows = raw.select(F.expr("try_cast(date AS DATE)").alias("date"), *[number(c).alias(c) for c in columns], F.monotonically_increasing_id().alias("_seq"))
+    rows = raw.select(F.expr("try_cast(date AS DATE)").alias("date"), *[number(c).alias(c) for c in columns],
+                      F.struct(C("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i")).alias("_seq"))
     return keep_first(rows.where(C("date").isNotNull()), ["date"], "_seq").drop("_seq")
 
 

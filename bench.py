@@ -14,6 +14,8 @@ HEADLINE = ("a04_ohlcv_bars", "w12_rsi", "w18_dmi_adx", "w11_ema", "w21_session_
 
 
 def main() -> None:
+    import tempfile
+
     from pyspark.sql import SparkSession
 
     from barflow.catalog import all_queries
@@ -21,6 +23,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.sql.shuffle.partitions", cpus)
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     queries, took = all_queries(), {}

@@ -58,9 +58,11 @@ def compare(spark, con, d, query, sql):
 
 
 def session():
+    import tempfile
+
     from pyspark.sql import SparkSession
     return (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
-            .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
+            .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
             .config("spark.driver.host", "127.0.0.1").getOrCreate())
 
 
