@@ -135,14 +135,14 @@ def out_of_fold(df: DataFrame, features: Sequence[str], trees: int = 300, splits
 
 def platt(oof: DataFrame) -> PipelineModel:
     """Sigmoid from raw held-out probability to calibrated probability."""
-    return Pipeline(stages=[VectorAssembler(inputCols=["proba"], outputCol="_x"),
+    return Pipeline(stages=[VectorAssembler(inputCols=["proba"], outputCol="_x", handleInvalid="keep"),
                             LogisticRegression(featuresCol="_x", labelCol="y", regParam=0.0, predictionCol="_p", probabilityCol="_q",
                                                rawPredictionCol="_r")]).fit(oof.where(C("proba").isNotNull()))
 
 
 def calibrate(model: PipelineModel, df: DataFrame, name: str = "calibrated") -> DataFrame:
-    p = vector_to_array("_q")[1]
-    return model.transform(df).withColumn(name, F.least(F.lit(k.PROBA_CLIP[1]), F.greatest(F.lit(k.PROBA_CLIP[0]), p))).drop("_x", "_p", "_q", "_r")
+    p = F.least(F.lit(k.PROBA_CLIP[1]), F.greatest(F.lit(k.PROBA_CLIP[0]), vector_to_array("_q")[1]))
+    return model.transform(df).withColumn(name, F.when(C("proba").isNotNull(), p)).drop("_x", "_p", "_q", "_r")
 
 
 def fit_context_model(df: DataFrame, columns: Sequence[str], label: str, trees: int = 100, weight: str | None = None) -> PipelineModel:

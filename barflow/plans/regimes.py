@@ -66,14 +66,14 @@ def rule_regime_single(vol: Column, adx: Column, rows: Column) -> Column:
 def fit_states(z: DataFrame, columns=tuple(f"z_{c}" for c in INPUTS), seed: int = 42) -> dict:
     """Three Gaussian states, their transition probabilities and the regime each stands for.
 
-    Emissions come from a Gaussian mixture fitted by Spark; transitions are counted on its hard assignments.  States are
+    ``z`` is the training span: score only rows after it. Emissions come from a Gaussian mixture fitted by Spark; transitions are counted on its hard assignments.  States are
     ordered by the mean diagonal of their covariance: lowest RANGING, middle TRENDING, highest CRISIS.
     """
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
     # The fit passes over the rows many times; kept rows are recomputed if an executor is lost.
     data = VectorAssembler(inputCols=list(columns), outputCol="features").transform(z.select("symbol", "dt", *columns).na.drop()).persist()
-    model = GaussianMixture(k=3, seed=seed, maxIter=50).fit(data)
+    model = GaussianMixture(k=3, seed=seed, maxIter=200).fit(data)
     params = [(np.array(r["mean"].toArray()), np.array(r["cov"].toArray())) for r in model.gaussiansDF.collect()]  # three rows
     order = np.argsort([np.diag(c).mean() for _, c in params])
     names = {int(order[0]): k.RANGING, int(order[1]): k.TRENDING, int(order[2]): k.CRISIS}
