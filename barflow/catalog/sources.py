@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barflow.catalog import fixtures as fx
 from barflow.catalog.market import regime_bars
 from barflow.catalog.quality import DIRTY, MAX_STEP_PCT, MAX_STEP_SECONDS, VALIDATED, dirty
-from barflow.catalog.trading import LV, SIG, ledger, signals
+from barflow.catalog.trading import LV, REPEATS, ledger, signals
 from barflow.operators.stage import shared_folder
 from barflow.sources import readers as rd
 from barflow.sources import sinks
@@ -161,13 +161,16 @@ def r06(spark, d):
     return out.select("symbol", C("dt").cast("timestamp_ntz").alias("dt"), "bar_valid", F.array_join("errors", ",").alias("errors"), "bad_in_row", "halt")
 
 
-@register("r09_stream_duplicates", f"{V('ticks')}, {SIG} SELECT hash, count(*)>0 AS seen FROM sg GROUP BY 1")
 def r09(spark, d):
+    """The batch rule of ad4 as a stream: both must keep the same signals."""
+    st.configure(spark)
     path = folder(spark)
     s = signals(spark, d).withColumn("ts", C("ts").cast("timestamp"))
     s.write.parquet(path)
-    out = st.run_available(st.without_repeats(spark.readStream.schema(s.schema).parquet(path), "3650 days"))
-    return out.groupBy("hash").agg((F.count(F.lit(1)) == 1).alias("seen"))
+    return st.run_available(st.marked_repeats(spark.readStream.schema(s.schema).parquet(path), 600)).select("seq", "hash", "kept")
+
+
+QUERIES["r09_stream_duplicates"], ORACLES["r09_stream_duplicates"] = r09, REPEATS
 
 
 @register("r13_stream_hysteresis")

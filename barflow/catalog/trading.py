@@ -160,9 +160,12 @@ def signals(spark, d):
     return t.select("seq", "ts", text.signal_hash(way, F.hour("ts"), C("price")).alias("hash"))
 
 
-@register("ad4_duplicate_signals", f"""WITH RECURSIVE {V('ticks')[5:]}, {SIG}, n AS (SELECT *, row_number() OVER (PARTITION BY hash, date_trunc('hour', ts) ORDER BY ts, seq) AS rn, date_trunc('hour', ts) AS h FROM sg),
+REPEATS = f"""WITH RECURSIVE {V('ticks')[5:]}, {SIG}, n AS (SELECT *, row_number() OVER (PARTITION BY hash, date_trunc('hour', ts) ORDER BY ts, seq) AS rn, date_trunc('hour', ts) AS h FROM sg),
 k AS (SELECT seq, hash, h, rn, ts AS last, true AS kept FROM n WHERE rn=1 UNION ALL SELECT n.seq, n.hash, n.h, n.rn, CASE WHEN epoch(n.ts)-epoch(k.last)>=600 THEN n.ts ELSE k.last END,
- epoch(n.ts)-epoch(k.last)>=600 FROM k JOIN n ON n.hash=k.hash AND n.h=k.h AND n.rn=k.rn+1) SELECT seq, hash, kept FROM k""")
+ epoch(n.ts)-epoch(k.last)>=600 FROM k JOIN n ON n.hash=k.hash AND n.h=k.h AND n.rn=k.rn+1) SELECT seq, hash, kept FROM k"""
+
+
+@register("ad4_duplicate_signals", REPEATS)
 def ad4(spark, d):
     return lg.duplicate_signals(signals(spark, d), 600).select("seq", "hash", "kept")
 

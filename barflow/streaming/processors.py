@@ -159,8 +159,34 @@ class Heartbeat(StatefulProcessor):
         pass
 
 
-def keyed(df: DataFrame, processor: StatefulProcessor, mode: str = "None") -> DataFrame:
-    """Run a processor per symbol.  Needs the RocksDB state store provider, see ``streams.configure``."""
-    return df.groupBy("symbol").transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.SCHEMA, outputMode="append", timeMode=mode)
+class RepeatGuard(StatefulProcessor):
+    """Whether a signal is kept: the last kept one of its hash is at least ``seconds`` older, which is all the state there is."""
+
+    SCHEMA = "seq BIGINT, hash STRING, ts TIMESTAMP, kept BOOLEAN"
+
+    def __init__(self, seconds: float = k.DEDUP_SECONDS):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "ts TIMESTAMP")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _rows(rows, ["ts", "seq"])
+        last, kept = _naive(self.last.get()[0]) if self.last.exists() else None, []
+        for t in map(_naive, pdf["ts"]):
+            ok = last is None or (t - last).total_seconds() >= self.seconds
+            kept.append(ok)
+            last = t if ok else last
+        pdf["kept"] = kept
+        self.last.update((last.to_pydatetime(),))
+        yield pdf[["seq", "hash", "ts", "kept"]]
+
+    def close(self) -> None:
+        pass
+
+
+def keyed(df: DataFrame, processor: StatefulProcessor, mode: str = "None", key: str = "symbol") -> DataFrame:
+    """Run a processor per key.  Needs the RocksDB state store provider, see ``streams.configure``."""
+    return df.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.SCHEMA, outputMode="append", timeMode=mode)
 
 

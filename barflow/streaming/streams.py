@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barflow.operators.stage import materialize, shared_folder
 from barflow.plans.bars import keep_last
-from barflow.streaming.processors import BarValidator, Heartbeat, RecentTicks, RegimeConfirmer, TickDirection, keyed
+from barflow.streaming.processors import BarValidator, Heartbeat, RecentTicks, RegimeConfirmer, RepeatGuard, TickDirection, keyed
 
 C = F.col
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -61,6 +61,11 @@ def without_repeats(signals: DataFrame, within: str = "30 seconds") -> DataFrame
     return signals.withWatermark("ts", within).dropDuplicatesWithinWatermark(["hash"])
 
 
+def marked_repeats(signals: DataFrame, seconds: float = 30) -> DataFrame:
+    """Every signal, and whether it is kept: repeats of a kept one of the same hash within ``seconds`` are not."""
+    return keyed(signals.select("seq", "hash", "ts"), RepeatGuard(seconds), key="hash")
+
+
 def with_static(stream: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
     """Stream-static left join: daily, chain or training tables attached to each row."""
     return stream.join(table, on, "left")
