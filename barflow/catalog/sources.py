@@ -189,12 +189,13 @@ def r14(spark, d):
     return fx.rounded(out.withColumn("dt", C("dt").cast("timestamp_ntz")), "symbol", "dt", "d_close")
 
 
-@register("r15_stream_htf", f"{V('bars', 'bars_1d')} SELECT b.symbol, b.dt, floor((d.close)*1e6+0.5e0)/1e6 AS d_close FROM bars b JOIN bars_1d d ON b.symbol=d.symbol AND b.dt >= d.dt + INTERVAL 1 DAY AND b.dt < d.dt + INTERVAL 2 DAY")
+@register("r15_stream_htf", f"{V('bars', 'bars_1d')}, e AS (SELECT symbol, dt + INTERVAL 1 DAY AS ready, close FROM bars_1d) SELECT b.symbol, b.dt, floor((e.close)*1e6+0.5e0)/1e6 AS d_close FROM bars b ASOF LEFT JOIN e ON b.symbol=e.symbol AND b.dt >= e.ready")
 def r15(spark, d):
+    st.configure(spark)
     a = bar_stream(spark, fx.bars(spark, d), ["symbol", "dt"])
     day = fx.bars_1d(spark, d).select("symbol", "dt", C("close").alias("d_close"))
     b = bar_stream(spark, day, ["symbol", "dt", "d_close"]).withColumnRenamed("dt", "htf_dt")
-    out = st.run_available(st.with_higher_timeframe(a, b, "1 DAY", "60 days"))
+    out = st.run_available(st.with_higher_timeframe(a, b, "1 DAY", "d_close"))
     return fx.rounded(out.withColumn("dt", C("dt").cast("timestamp_ntz")), "symbol", "dt", "d_close")
 
 

@@ -185,6 +185,32 @@ class RepeatGuard(StatefulProcessor):
         pass
 
 
+class LastFinished(StatefulProcessor):
+    """Value of the latest finished higher-timeframe bar at each bar, NULL before the first; the state is that value."""
+
+    SCHEMA = "symbol STRING, dt TIMESTAMP, value DOUBLE"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("value", "value DOUBLE")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _rows(rows, ["dt", "is_bar"])  # a bar that finishes at the same time comes first
+        value, times, values = self.value.get()[0] if self.value.exists() else None, [], []
+        for t, is_bar, v in zip(pdf["dt"], pdf["is_bar"], pdf["value"]):
+            if is_bar:
+                times.append(t)
+                values.append(value)
+            else:
+                value = float(v)
+        if value is not None:
+            self.value.update((value,))
+        yield pd.DataFrame({"symbol": pd.Series([key[0]] * len(times), dtype=str), "dt": pd.Series(times, dtype=pdf["dt"].dtype),
+                            "value": pd.Series(values, dtype="float64")})
+
+    def close(self) -> None:
+        pass
+
+
 def keyed(df: DataFrame, processor: StatefulProcessor, mode: str = "None", key: str = "symbol") -> DataFrame:
     """Run a processor per key.  Needs the RocksDB state store provider, see ``streams.configure``."""
     return df.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.SCHEMA, outputMode="append", timeMode=mode)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from barflow.operators.stage import materialize, shared_folder
 from barflow.plans.bars import keep_last
-from barflow.streaming.processors import BarValidator, Heartbeat, RecentTicks, RegimeConfirmer, RepeatGuard, TickDirection, keyed
+from barflow.streaming.processors import BarValidator, Heartbeat, LastFinished, RecentTicks, RegimeConfirmer, RepeatGuard, TickDirection, keyed
 
 C = F.col
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -71,16 +71,14 @@ def with_static(stream: DataFrame, table: DataFrame, on: list[str]) -> DataFrame
     return stream.join(table, on, "left")
 
 
-def with_higher_timeframe(bars: DataFrame, htf: DataFrame, width: str, lateness: str = "1 hour") -> DataFrame:
-    """Bars joined with the latest finished higher-timeframe bar: a stream-stream range join bounded by two watermarks.
+def with_higher_timeframe(bars: DataFrame, htf: DataFrame, width: str, column: str) -> DataFrame:
+    """Every bar with ``column`` of the latest higher-timeframe bar that has ended by then: the as-of join as a stream.
 
-    ``htf`` carries ``htf_dt`` (bar start); a row is used from its end until the next one ends.
+    ``htf`` carries ``htf_dt`` (bar start). Its rows take effect at their end, and must arrive no later than the bars after it.
     """
-    a = bars.withWatermark("dt", lateness).alias("a")
-    b = htf.withWatermark("htf_dt", lateness).withColumnRenamed("symbol", "htf_symbol").alias("b")
-    ready = F.col("b.htf_dt") + F.expr(f"INTERVAL {width}")
-    cond = (C("a.symbol") == C("b.htf_symbol")) & (C("a.dt") >= ready) & (C("a.dt") < ready + F.expr(f"INTERVAL {width}"))
-    return a.join(b, cond, "inner").drop("htf_symbol")
+    ends = htf.select("symbol", (C("htf_dt") + F.expr(f"INTERVAL {width}")).alias("dt"), F.lit(0).alias("is_bar"), C(column).cast("double").alias("value"))
+    both = bars.select("symbol", "dt", F.lit(1).alias("is_bar"), F.lit(None).cast("double").alias("value")).unionByName(ends)
+    return keyed(both, LastFinished()).withColumnRenamed("value", column)
 
 
 def upsert_into(path: str, keys=("symbol", "dt"), by: str = "trade_date"):
