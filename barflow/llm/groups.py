@@ -12,6 +12,27 @@ C = F.col
 HEAVY_GROUPS = 256
 
 
+def positioned(df: DataFrame, name: str = "row") -> DataFrame:
+    """``df`` with the position of each row in its input.
+
+    Positions of two scans are compared, so the input must be a table (files, or rows in a fixed order), and its splits must not follow
+    the number of executors that happen to be alive: their least number is fixed for the session, at its default, if it isn't set.
+    """
+    spark, setting = df.sparkSession, "spark.sql.files.minPartitionNum"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, str(spark.sparkContext.defaultParallelism))
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def keep_rows(df: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``df`` at the positions that ``kept`` lists in its only column."""
+    at = "_position"
+    while at in df.columns:
+        at += "_"
+    wanted = kept.toDF(f"{at}_kept")
+    return positioned(df, at).join(wanted, C(at) == C(f"{at}_kept"), "left_semi").drop(at)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
     """Inner join of rows with one row per group. The ``HEAVY_GROUPS`` largest groups go by broadcast (a bounded number of short rows), so
     that no task gathers the rows of a group that holds a third of the table; all others join on their keys."""
@@ -27,25 +48,22 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: s
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``component`` (smallest node of its connected group) of every node of the edges ``a``, ``b``.
 
-    Union-find as alternating stars: every node hands its larger neighbours to its smallest one, then its smaller neighbours, until nothing
-    changes. Each round is written to the shared folder; rounds grow with the logarithm of a group's diameter.
+    Union-find as alternating stars: every node hands its larger neighbours to its smallest one, then its smaller neighbours, until every
+    link leads to a root. Each round is written to the shared folder; rounds grow with the logarithm of a group's diameter.
     """
     links = materialize(edges.where(C("a") != C("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = _print(links)
-    while True:
+    while not links.isEmpty():
         both = links.unionByName(links.select(C("v").alias("u"), C("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.join(low, "u").where(C("v") > C("u")).select(C("v").alias("u"), C("low").alias("v")).distinct()
-        large = materialize(large)
+        large = both.join(low, "u").where(C("v") > C("u")).select(C("v").alias("u"), C("low").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(C("u"), C("low").alias("v")), F.struct(C("v").alias("u"), C("low").alias("v")))).alias("e"))
         links = materialize(small.select("e.u", "e.v").where(C("u") != C("v")).distinct())
-        now = _print(links)
-        if now == seen:
-            roots = links.select(C("v").alias("node"), C("v").alias("component")).distinct()
-            return links.select(C("u").alias("node"), C("v").alias("component")).unionByName(roots)
-        seen = now
-
-
-def _print(links: DataFrame):
-    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        # Done when no node hangs below two others, and none that others hang below hangs itself.
+        ends = links.select(C("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            links.select(C("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.where((C("up") > 1) | ((C("up") == 1) & (C("down") == 1))).isEmpty():
+            break
+    roots = links.select(C("v").alias("node"), C("v").alias("component")).distinct()
+    return links.select(C("u").alias("node"), C("v").alias("component")).unionByName(roots)

@@ -14,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barflow.llm.groups import join_groups, keep_rows, positioned
 from barflow.operators.stage import materialize
 
 C = F.col
 FAN_IN_BITS = 4
-HEAVY_GROUPS = 256
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -32,8 +32,8 @@ def normalised(text: Column) -> Column:
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One small row per document: position in the input, run, digest with its check values, and its claim to stay."""
-    bare = df.select(C(key).alias("doc_id"), normalised(C(text)).alias("bare"), F.length(F.coalesce(C(text), F.lit(""))).alias("chars"),
-                     F.monotonically_increasing_id().alias("row"), F.spark_partition_id().alias("run"))
+    bare = positioned(df.select(C(key).alias("doc_id"), normalised(C(text)).alias("bare"), F.length(F.coalesce(C(text), F.lit(""))).alias("chars")))
+    bare = bare.withColumn("run", F.spark_partition_id())
     return bare.select("doc_id", "row", "run", "chars", F.unhex(F.sha2("bare", 256)).alias("sha"), F.xxhash64("bare").alias("check"),
                        F.octet_length("bare").alias("size"))
 
@@ -56,23 +56,14 @@ def tree_merge(runs: DataFrame, fan_in_bits: int = FAN_IN_BITS) -> DataFrame:
 def duplicate_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, key that stays, group size, whether it stays, digest.
 
-    The ``HEAVY_GROUPS`` largest groups are joined by broadcast, a bounded number of short rows, so that a group that holds a third of
-    the table is not gathered in one task; the rest join on their digests.
+    The largest groups are joined by broadcast, a bounded number of short rows; the rest join on their digests.
     """
     docs = materialize(digests(df, key, text))
-    groups = tree_merge(docs)
-    same = ["sha", "check", "size"]
-    heavy = groups.orderBy(C("members").desc(), *same).limit(HEAVY_GROUPS).select(*same, C("members").alias("h_members"), C("best").alias("h_best"))
-    marked = docs.join(F.broadcast(heavy), same, "left")
-    found = marked.where(C("h_members").isNotNull()).select("doc_id", "row", "sha", C("h_members").alias("members"), C("h_best").alias("best"))
-    rest = marked.where(C("h_members").isNull()).drop("h_members", "h_best").join(groups, same).select("doc_id", "row", "sha", "members", "best")
-    return found.unionByName(rest).select(
-        "doc_id", C("best.doc_id").alias("keep_id"), C("members").alias("group_size"), C("doc_id").eqNullSafe(C("best.doc_id")).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"))
+    found = join_groups(docs.drop("run", "chars"), tree_merge(docs), ["sha", "check", "size"], "members")
+    return found.select("doc_id", C("best.doc_id").alias("keep_id"), C("members").alias("group_size"),
+                        C("doc_id").eqNullSafe(C("best.doc_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of equal texts, with all its columns."""
-    kept = tree_merge(materialize(digests(df, key, text))).select(C("best.row").alias("_kept_row"))
-    at = "_row_of_input"
-    return df.withColumn(at, F.monotonically_increasing_id()).join(kept, C(at) == C("_kept_row"), "left_semi").drop(at)
+    return keep_rows(df, tree_merge(materialize(digests(df, key, text))).select("best.row"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.groups import join_groups
+from barflow.llm.groups import join_groups, positioned
 from barflow.operators.stage import materialize, staged_path
 
 C = F.col
@@ -117,7 +117,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
                    segment: int = SEGMENT_BYTES) -> None:
     """Archives of all pages under ``path``. Payloads of at least ``least`` bytes that are equal have one response."""
     body = F.coalesce(C(payload), F.lit(""))
-    source = pages.select(C(key).alias("page"), C(url).alias("url"), body.alias("html"), F.monotonically_increasing_id().alias("row"))
+    source = positioned(pages.select(C(key).alias("page"), C(url).alias("url"), body.alias("html")))
     marks = materialize(source.select("page", "row", F.unhex(F.sha1(F.col("html").cast("binary"))).alias("sha"), F.octet_length("html").alias("size")))
     same = ["sha", "size"]
     heads = (marks.where(C("size") >= least).groupBy(*same).agg(F.max(F.struct("page", "row")).alias("head"), F.count(F.lit(1)).alias("members"))
