@@ -5,13 +5,16 @@ a slot keeps the lowest bid. Bids of a later step are higher than all of an earl
 at the first step after which all its slots are taken. The permutation is never stored: a place is found from the swaps before it.
 
 1. Texts with equal shingle sets form a class; its first row stands for all. Only representatives go on.
-2. ``BANDS`` bands of ``ROWS`` slots are bucket keys. In every bucket each member is paired with the smallest one: no more pairs than
-   members. Pairs are confirmed on the full sets, made from the whole texts again, and linked classes are grouped.
-3. Buckets that still hold several groups get all pairs across groups compared, in cells of about ``CELL`` members, by a 128-bit
-   sketch (one bit a slot) inside the join; only what may reach the limit is emitted, and confirmed on the full sets.
+2. ``BANDS`` bands of ``ROWS`` slots are bucket keys. In ``STAR_ROUNDS`` rounds every member of a bucket is paired with the bucket's hub, the member
+   with most links so far: no more pairs than members. Pairs are confirmed on the full sets, made from the whole texts again. Linked
+   classes are grouped.
+3. Buckets that still hold several groups get all pairs across groups compared, in cells of about ``CELL`` members.
+4. Before texts are fetched for a pair, the join tests three things. Set sizes must allow the limit. Parity sketches (a bit for each of 1,024 hash
+   values, flipped by every shingle) differ in no more bits than the sets in shingles, which bounds the difference from below. Neither
+   test loses a link. A sketch of two bits a slot must agree as often as at the limit.
 
 So every pair that shares a bucket is either in one group already or decided. A pair at the limit of 0.75 shares none of the 32 buckets
-with probability (1 - 0.75^4)^32, 5 in a million, and the sketch test errs once in about a million pairs at the limit.
+with probability (1 - 0.75^4)^32, 5 in a million, and the sketch test errs in less than one of a million pairs at the limit.
 
 Defined cases: null text, or text without words, has an empty set and is linked with nothing; a text of fewer than five words has its whole
 sequence as one shingle; the smallest key names the group, null keys come last; rows with equal key and text are one document (in
@@ -19,13 +22,16 @@ sequence as one shingle; the smallest key names the group, null keys come last;
 """
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barflow.llm.blocks import BASE, SPACES, Block, blocks, byte_flags, mix, owners, salts, span_hashes, spans, windows
-from barflow.llm.groups import components, join_groups
+from barflow.llm.groups import components, join_groups, keep_rows, positioned
 from barflow.operators.stage import materialize
 
 C = F.col
@@ -33,8 +39,12 @@ SHINGLE_WORDS = 5
 SLOTS, BANDS, ROWS = 128, 32, 4
 PERCENT = 75
 CELL = 1024
-#: Differing sketch bits: at the limit 16 of 128 are expected, with a deviation of 3.7.
-SKETCH_BITS = 36
+STAR_ROUNDS = 2
+#: Slots whose two bits differ: at the limit 24 of 128 are expected, with a deviation of 4.4.
+SKETCH_SLOTS = 46
+SKETCH = ("low_a", "low_b", "high_a", "high_b")
+PARITY_BITS = 1024
+PARITY = tuple(f"parity_{i}" for i in range(PARITY_BITS // 64))
 FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -89,8 +99,16 @@ def banded(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
         return mix(mixed + salts(bands, 37)).view(np.int64)
 
 
+def parities(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Parity sketch of each set: bit b tells whether an odd number of its shingles hash to b."""
+    n = len(begin) - 1
+    place = owners(begin) * PARITY_BITS + (mix(sets ^ np.uint64(BASE)) % np.uint64(PARITY_BITS)).astype(np.int64)
+    odd = (np.bincount(place, minlength=n * PARITY_BITS) & 1).astype(np.uint8).reshape(n, PARITY_BITS)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def prints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, position, set size, set digest (two sums over the shingles), band keys, sketch."""
+    """Per row: key, position, set size, set digest (two sums over the shingles), band keys, sketches."""
     kind = df.schema[key].dataType.simpleString()
 
     def work(batches):
@@ -102,21 +120,25 @@ def prints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                     total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ s))]) for s in salts(2, 41)]
                     digest = [(t[begin[1:]] - t[begin[:-1]]).view(np.int64) for t in total]
                 keys = banded(signature)
-                bits = np.packbits((mix(signature) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                random = mix(signature)
+                bits = np.concatenate([np.packbits((random >> np.uint64(k) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for k in (0, 1)]
+                                      + [parities(sets, begin)], axis=1)
                 yield pa.RecordBatch.from_arrays([
                     *(batch.column(c).slice(block.first_row, len(block)) for c in (0, 2)), pa.array(np.diff(begin)), *map(pa.array, digest),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel())),
-                    *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(2))],
-                    ["doc_id", "row", "n_shingles", "d1", "d2", "bands", "s1", "s2"])
-    source = df.select(C(key).alias("doc_id"), C(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    return source.mapInArrow(work, f"doc_id {kind}, row bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, s1 bigint, s2 bigint")
+                    *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(bits.shape[1]))],
+                    ["doc_id", "row", "n_shingles", "d1", "d2", "bands", *SKETCH, *PARITY])
+    source = positioned(df.select(C(key).alias("doc_id"), C(text).alias("text")))
+    return source.mapInArrow(work, f"doc_id {kind}, row bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, "
+                              + ", ".join(f"{c} bigint" for c in (*SKETCH, *PARITY)))
 
 
 def confirmed(df: DataFrame, pairs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The pairs of rows (``a``, ``b``) whose full shingle sets reach the limit."""
-    pairs = materialize(pairs)
+    if pairs.isEmpty():
+        return pairs
     named = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    texts = materialize(df.select(C(text).alias("text"), F.monotonically_increasing_id().alias("row")).join(named, "row", "left_semi"))
+    texts = materialize(positioned(df.select(C(text).alias("text"))).join(named, "row", "left_semi"))
 
     def work(batches):
         for batch in batches:
@@ -143,51 +165,81 @@ def confirmed(df: DataFrame, pairs: DataFrame, text: str = "text", percent: int
     return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a bigint, b bigint"))
 
 
-def star_pairs(reps: DataFrame) -> DataFrame:
-    """Each member of a bucket with the smallest one."""
-    members = reps.select("rep", F.explode("bands").alias("bucket"))
-    lowest = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where(C("a") < C("last")).drop("last")
-    return members.join(lowest, "bucket").where(C("rep") > C("a")).select("a", C("rep").alias("b")).distinct()
+def bucket_members(reps: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one representative: bucket, rep, set size, sketches."""
+    members = reps.withColumn("bucket", F.explode("bands")).drop("bands")
+    shared = members.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where(C("lo") < C("hi")).select("bucket")
+    return members.join(shared, "bucket")
+
+
+def may_link(other: str):
+    """Whether sizes and sketches of a row and of the row with ``other`` before its column names allow the limit; not yet in one group."""
+    def differ(half):
+        return C(f"low_{half}").bitwiseXOR(C(f"{other}low_{half}")).bitwiseOR(C(f"high_{half}").bitwiseXOR(C(f"{other}high_{half}")))
+    a, b = C("n_shingles"), C(f"{other}n_shingles")
+    apart = reduce(add, [F.bit_count(C(c).bitwiseXOR(C(f"{other}{c}"))) for c in PARITY])
+    return ((C("component") != C(f"{other}component")) & (100 * F.least(a, b) >= PERCENT * F.greatest(a, b))
+            & ((100 + PERCENT) * apart <= (100 - PERCENT) * (a + b)) & (F.bit_count(differ("a")) + F.bit_count(differ("b")) <= SKETCH_SLOTS))
 
 
-def crossing_pairs(reps: DataFrame, cell: int = CELL) -> DataFrame:
-    """Pairs of one bucket that are in different groups (``component``) and whose sketches may reach the limit."""
-    members = reps.select("rep", "component", "s1", "s2", F.explode("bands").alias("bucket"))
+def star_pairs(members: DataFrame) -> DataFrame:
+    """Members of a bucket with its hub, where they may link."""
+    seen = ("rep", "component", "n_shingles", *SKETCH, *PARITY)
+    hubs = members.groupBy("bucket").agg(F.max(F.struct(C("links"), (-C("rep")).alias("order"), *seen)).alias("hub"))
+    hubs = hubs.select("bucket", *(C(f"hub.{c}").alias(f"hub_{c}") for c in seen))
+    return members.join(hubs, "bucket").where(may_link("hub_")).select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("b")).distinct()
+
+
+def crossing_pairs(members: DataFrame, cell: int = CELL) -> DataFrame:
+    """Pairs of one bucket that are in different groups and may link."""
     mixed = (members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
              .where(C("lo") < C("hi")).select("bucket", F.ceil(C("n") / cell).alias("parts")))
     dealt = members.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("rep"), C("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), C("parts") - 1)))
-    dealt = dealt.select("bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "rep", "component", "s1", "s2")
-    right = dealt.select("bucket", "x", "y", *(C(c).alias(f"{c}_b") for c in ("part", "rep", "component", "s1", "s2")))
-    near = F.bit_count(C("s1").bitwiseXOR(C("s1_b"))) + F.bit_count(C("s2").bitwiseXOR(C("s2_b"))) <= SKETCH_BITS
-    return (dealt.join(right, ["bucket", "x", "y"]).where((C("rep") < C("rep_b")) & (C("component") != C("component_b")) & near
-                                                         & ((C("x") == C("y")) | (C("part") != C("part_b"))))
-            .select(C("rep").alias("a"), C("rep_b").alias("b")).distinct())
+    seen = ("part", "rep", "component", "n_shingles", *SKETCH, *PARITY)
+    dealt = dealt.select("bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), *seen)
+    right = dealt.select("bucket", "x", "y", *(C(c).alias(f"to_{c}") for c in seen))
+    return (dealt.join(right, ["bucket", "x", "y"])
+            .where((C("rep") < C("to_rep")) & ((C("x") == C("y")) | (C("part") != C("to_part"))) & may_link("to_"))
+            .select(C("rep").alias("a"), C("to_rep").alias("b")).distinct())
+
+
+def linked(df: DataFrame, reps: DataFrame, text: str) -> DataFrame:
+    """``node`` and ``component`` of all representatives that are linked with another."""
+    members = materialize(bucket_members(reps))
+    alone = members.withColumn("component", C("rep"))
+    tried, links = None, None
+    for _ in range(STAR_ROUNDS):
+        if links is None:
+            tried = materialize(star_pairs(alone.withColumn("links", F.lit(0))))
+            links = confirmed(df, tried, text)
+            continue
+        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+        ranked = alone.join(degree, "rep", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+        pairs = materialize(star_pairs(ranked).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(confirmed(df, pairs, text))
+    found = components(links)
+    now = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    more = confirmed(df, materialize(crossing_pairs(now).join(tried, ["a", "b"], "left_anti")), text)
+    return found if more.isEmpty() else components(found.select(C("node").alias("a"), C("component").alias("b")).unionByName(more))
 
 
 def grouped(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, position, set size, first document of its group (struct ``first``: key and position)."""
     marks = materialize(prints(df, key, text))
     same = ["d1", "d2", "n_shingles"]
-    first = F.min(F.struct(C("doc_id").isNull().alias("unnamed"), C("doc_id"), C("row")))
-    classes = materialize(marks.where(C("n_shingles") > 0).groupBy(*same).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("members"), first.alias("first")))
-    reps = materialize(marks.select(C("row").alias("rep"), "bands", "s1", "s2").join(classes.select("rep"), "rep", "left_semi"))
-    stars = materialize(star_pairs(reps))
-    links = confirmed(df, stars, text)
-    found = components(links)
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    more = confirmed(df, crossing_pairs(labelled(reps)).join(stars, ["a", "b"], "left_anti"), text)
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
-    grouped_classes = labelled(classes)
-    heads = grouped_classes.groupBy("component").agg(F.min("first").alias("first"))
-    named = grouped_classes.drop("first").join(heads, "component").select(*same, "members", "first")
+    own = F.struct(C("doc_id").isNull().alias("unnamed"), C("doc_id"), C("row"))
+    classes = materialize(marks.where(C("n_shingles") > 0).groupBy(*same).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("members"),
+                                                                              F.min(own).alias("first")))
+    reps = materialize(marks.select(C("row").alias("rep"), "n_shingles", "bands", *SKETCH, *PARITY).join(classes.select("rep"), "rep", "left_semi"))
+    found = linked(df, reps, text).withColumnRenamed("node", "rep")
+    placed = classes.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    heads = placed.groupBy("component").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("classes"))
+    named = materialize(join_groups(placed.drop("first"), materialize(heads), ["component"], "classes").select(*same, "members", "first"))
     rows = marks.select("doc_id", "row", *same)
-    own = F.struct(C("doc_id").isNull().alias("unnamed"), C("doc_id"), C("row")).alias("first")
-    empty = rows.where(C("n_shingles") == 0).select("doc_id", "row", "n_shingles", own)
-    return join_groups(rows.where(C("n_shingles") > 0), materialize(named), same, "members").select("doc_id", "row", "n_shingles", "first").unionByName(empty)
+    empty = rows.where(C("n_shingles") == 0).select("doc_id", "row", "n_shingles", own.alias("first"))
+    return join_groups(rows.where(C("n_shingles") > 0), named, same, "members").select("doc_id", "row", "n_shingles", "first").unionByName(empty)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -197,5 +249,4 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group, with all its columns."""
-    kept = grouped(df, key, text).where(C("row") == C("first.row")).select(C("row").alias("_kept_row"))
-    return df.withColumn("_row_of_input", F.monotonically_increasing_id()).join(kept, C("_row_of_input") == C("_kept_row"), "left_semi").drop("_row_of_input")
+    return keep_rows(df, grouped(df, key, text).where(C("row") == C("first.row")).select("row"))

@@ -79,3 +79,13 @@ def test_estimate(spark):
     x, y = sm.signatures(sets, begin)
     true = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
     assert abs((x == y).mean() - true) < 0.15
+
+
+def test_parity_sketch_bounds_the_difference():
+    rng = np.random.default_rng(3)
+    for n, change in ((50, 10), (400, 100), (3000, 900)):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[change:], rng.integers(0, 1 << 63, change).astype(np.uint64)]))
+        x, y = sm.parities(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        bits = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+        assert 0 < bits <= len(np.setxor1d(a, b))
