@@ -167,9 +167,10 @@ def confirmed(df: DataFrame, pairs: DataFrame, text: str = "text", percent: int
 
 def bucket_members(reps: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one representative: bucket, rep, set size, sketches."""
-    members = reps.withColumn("bucket", F.explode("bands")).drop("bands")
-    shared = members.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where(C("lo") < C("hi")).select("bucket")
-    return members.join(shared, "bucket")
+    keys = reps.select("rep", F.explode("bands").alias("bucket"))
+    shared = keys.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where(C("lo") < C("hi")).select("bucket")
+    # Sketches are fetched for these only: most buckets hold a single member.
+    return keys.join(shared, "bucket").join(reps.drop("bands"), "rep")
 
 
 def may_link(other: str):
