@@ -133,12 +133,10 @@ def prints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                               + ", ".join(f"{c} bigint" for c in (*SKETCH, *PARITY)))
 
 
-def confirmed(df: DataFrame, pairs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The pairs of rows (``a``, ``b``) whose full shingle sets reach the limit."""
+def confirmed(texts: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs of rows (``a``, ``b``) whose full shingle sets reach the limit; ``texts`` has ``row`` and ``text``."""
     if pairs.isEmpty():
         return pairs
-    named = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    texts = materialize(positioned(df.select(C(text).alias("text"))).join(named, "row", "left_semi"))
 
     def work(batches):
         for batch in batches:
@@ -208,21 +206,23 @@ def crossing_pairs(members: DataFrame, cell: int = CELL) -> DataFrame:
 def linked(df: DataFrame, reps: DataFrame, text: str) -> DataFrame:
     """``node`` and ``component`` of all representatives that are linked with another."""
     members = materialize(bucket_members(reps))
+    # Whole texts of the members, dealt out of the input once for all rounds.
+    texts = materialize(positioned(df.select(C(text).alias("text"))).join(members.select(C("rep").alias("row")).distinct(), "row", "left_semi"))
     alone = members.withColumn("component", C("rep"))
     tried, links = None, None
     for _ in range(STAR_ROUNDS):
         if links is None:
             tried = materialize(star_pairs(alone.withColumn("links", F.lit(0))))
-            links = confirmed(df, tried, text)
+            links = confirmed(texts, tried)
             continue
         degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
         ranked = alone.join(degree, "rep", "left").withColumn("links", F.coalesce("links", F.lit(0)))
         pairs = materialize(star_pairs(ranked).join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(pairs)
-        links = links.unionByName(confirmed(df, pairs, text))
+        links = links.unionByName(confirmed(texts, pairs))
     found = components(links)
     now = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    more = confirmed(df, materialize(crossing_pairs(now).join(tried, ["a", "b"], "left_anti")), text)
+    more = confirmed(texts, materialize(crossing_pairs(now).join(tried, ["a", "b"], "left_anti")))
     return found if more.isEmpty() else components(found.select(C("node").alias("a"), C("component").alias("b")).unionByName(more))
 
 
