@@ -4,9 +4,9 @@ Documents are encoded once and staged. Document frequencies, number and mean len
 counts are as many as the vocabulary has entries. Shards hold about ``SHARD_TOKENS`` tokens each, so their number grows with the input and
 the work of a task does not. Inside a shard every document is indexed by its token ids.
 
-A document's full windows become sequences of their own. The rests are seeds, longest first: the seed's ``QUERY_TERMS`` rarest terms
-score the unused documents of the shard, whole neighbours that fit are taken in the order of their score, and the best of those left
-is cut to close the window. What remains of a shard at the end is cut into powers of two, so no sequence needs padding.
+A document's full windows become sequences of their own. The rests are seeds, longest first: all distinct ids of the seed score the
+unused documents of the shard, whole neighbours that fit are taken in the order of their score, and the best of those left is cut to
+close the window. What remains of a shard at the end is cut into powers of two, so no sequence needs padding.
 
 Defined cases: null and empty texts hold the end token alone; equal scores go to the earlier row; repeated rows and null keys are
 documents of their own; a document longer than a shard's share is still whole in one shard; an empty table gives no pieces.
@@ -24,7 +24,7 @@ from barflow.operators.stage import materialize
 
 SHARD_TOKENS = 4 << 20
 WINDOW = 4096
-QUERY_TERMS = 32
+DENSE = 8  # ids that more than one in so many documents of a shard hold have a weight for every document, 0 included
 K1, B = 1.2, 0.75
 VOCABULARY = 1 << 16
 
@@ -77,16 +77,22 @@ class Index:
         self.weight = self.rarity[self.term] * times * (K1 + 1) / (times + K1 * (1 - B + B * sizes[self.doc] / mean_length))
         self.begin = np.searchsorted(self.term, np.arange(VOCABULARY + 1))
         self.size = len(docs)
+        frequent = np.flatnonzero(np.diff(self.begin) * DENSE > self.size)
+        self.dense = dict(zip(frequent.tolist(), np.zeros((len(frequent), self.size))))
+        for t, row in self.dense.items():
+            part = slice(self.begin[t], self.begin[t + 1])
+            row[self.doc[part]] = self.weight[part]
 
     def scores(self, doc: np.ndarray) -> np.ndarray:
-        """Scores of all documents of the shard for the rarest terms of ``doc``."""
-        terms = np.unique(doc)
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argsort(-self.rarity[terms], kind="stable")[:QUERY_TERMS]]
+        """Scores of all documents of the shard for all distinct ids of ``doc``."""
         out = np.zeros(self.size)
-        for t in terms:
-            part = slice(self.begin[t], self.begin[t + 1])
-            out[self.doc[part]] += self.weight[part]
+        for t in np.unique(doc).tolist():
+            row = self.dense.get(t)
+            if row is None:
+                part = slice(self.begin[t], self.begin[t + 1])
+                out[self.doc[part]] += self.weight[part]
+            else:
+                out += row
         return out
 
 

@@ -121,6 +121,19 @@ def test_neighbours_share_a_window():
     assert sum(max(c.values()) for c in kinds.values()) > 0.9 * sum(map(len, docs))
 
 
+def test_scores_use_every_distinct_id():
+    rng = np.random.default_rng(3)
+    docs = [np.minimum(rng.zipf(1.3, n), 3000).astype(np.uint16) for n in rng.integers(5, 900, 80)]
+    held = [np.bincount(d, minlength=packing.VOCABULARY) for d in docs]
+    frequency, mean = np.sum([h > 0 for h in held], axis=0), float(np.mean([len(d) for d in docs]))
+    rarity = np.log1p((len(docs) - frequency + 0.5) / (frequency + 0.5))
+    index = packing.Index(docs, frequency, len(docs), mean)
+    assert max(len(np.unique(d)) for d in docs) > 200
+    for seed in docs:
+        want = [(rarity * h * 2.2 / (h + 1.2 * (0.25 + 0.75 * len(d) / mean)))[np.unique(seed)].sum() for d, h in zip(docs, held)]
+        np.testing.assert_allclose(index.scores(seed), want, rtol=1e-9)
+
+
 def digest(data):
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
