@@ -1,12 +1,14 @@
 """Exact dedup, licence scan, shards and rules against their SQL and brute force."""
 import os
 import sys
+import textwrap
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
 from harness import compare, duck  # noqa: E402
 from helpers import SCHEMA, bare, odd_documents, sha  # noqa: E402
+from licence_texts import TEXTS  # noqa: E402
 
 from barflow.llm import cascade, licences, sharding, tree_dedup  # noqa: E402
 from barflow.llm.queries import ORACLES, QUERIES  # noqa: E402
@@ -100,3 +102,15 @@ def test_shards(spark, odd, limit, bits):
     expected = sorted((next((h[:d] for d in range(61) if size[h[:d]] <= limit), h), b) for h, b in hashes)
     assert sorted((r.shard, r.bytes) for r in rows) == expected
     assert all(r.depth == len(r.shard) and r.shard_bytes == size[r.shard] and r.oversized == (size[r.shard] > limit) for r in rows)
+
+
+def test_unedited_licences(spark):
+    texts = {(name, how): t for name, text in TEXTS.items() for how, t in (
+        ("as published", text), ("in prose", "Some words\nand more\n\n" + text + "\nLast words"), ("commented", "\n".join(" * " + x for x in text.splitlines())),
+        ("unwrapped", "\n\n".join(" ".join(p.split()) for p in text.split("\n\n"))), ("narrow", "\n\n".join(textwrap.fill(p, 40) for p in text.split("\n\n"))))}
+    keys = list(texts)
+    rows = licences.licence_scan(spark.createDataFrame([(i, texts[k]) for i, k in enumerate(keys)], "doc_id int, text string")).collect()
+    assert {keys[r.doc_id]: r.licences for r in rows} == {k: k[0] for k in keys}
+    apart = licences.licence_scan(spark.createDataFrame([(1, "a line\nLicensed under CC BY 4.0.\nAll rights\nreserved"), (2, "x licensed under\nCC BY 4.0")],
+                                                        "doc_id int, text string")).collect()
+    assert {r.doc_id: (r.licences, r.n_sentences) for r in apart} == {1: ("CC-BY-4.0,Proprietary", 4), 2: ("", 2)}
