@@ -211,19 +211,16 @@ def training_frame(spark, d):
     return materialize(ln.sample_weights(ln.walk_forward(ln.ordinals(materialize(rows))), "label_5m"))
 
 
-TREES = 30  # of the learners' 300: six queries fit on every given table; the library's default is 300
-
-
 @once
 def oof(spark, d):
     from barflow.operators.stage import materialize
-    return materialize(ln.out_of_fold(training_frame(spark, d), FEATURES, TREES))
+    return materialize(ln.out_of_fold(training_frame(spark, d), FEATURES))
 
 
 @once
 def importance(spark, d):
     """Importances of one fit, a row per feature."""
-    return ln.feature_importance(spark, ln.base_pipeline(FEATURES, TREES).fit(training_frame(spark, d)), FEATURES)
+    return ln.feature_importance(spark, ln.base_pipeline(FEATURES).fit(training_frame(spark, d)), FEATURES)
 
 
 @register("m05_out_of_fold")
@@ -239,20 +236,18 @@ def m06(spark, d):
 
 @register("m07_stacker_and_meta")
 def m07(spark, d):
-    # Both context models learn from the first three folds and are read on the last two.
-    rows = oof(spark, d).where("proba is not null").withColumn("meta", lb.meta_label(C("proba"), C("y")))
-    rows, held = rows.where("test_fold < 3"), rows.where("test_fold >= 3")
+    rows = oof(spark, d).withColumn("meta", lb.meta_label(C("proba"), C("y")))
     context = ["proba", "regime", "session_pct", "iv_proxy", "atr_14_pct", "adx_14", "dmi_diff"]
-    stack = ln.score_context(ln.fit_context_model(rows, context, "y", TREES, "weight"), held, "stacked")
-    return fx.rounded(ln.score_context(ln.fit_context_model(rows, context, "meta", TREES), stack, "meta_conf"), "symbol", "dt", "proba", "stacked", "meta_conf")
+    stack = ln.cross_fit_context(rows, context, "y", "stacked", weight="weight")
+    return fx.rounded(ln.cross_fit_context(stack, context, "meta", "meta_conf"), "symbol", "dt", "proba", "stacked", "meta_conf")
 
 
 @register("m09_regime_experts")
 def m09(spark, d):
     from barflow.plans.votes import blend_expert
     rows = training_frame(spark, d)
-    out = ln.soft_vote(ln.base_pipeline(FEATURES, TREES).fit(rows), rows, "p_global").withColumn("p_regime", F.lit(None).cast("double"))
-    for regime, model in ln.regime_experts(rows, FEATURES, TREES).items():
+    out = ln.soft_vote(ln.base_pipeline(FEATURES).fit(rows), rows, "p_global").withColumn("p_regime", F.lit(None).cast("double"))
+    for regime, model in ln.regime_experts(rows, FEATURES).items():
         out = ln.soft_vote(model, out, "_p").withColumn("p_regime", F.when(C("regime") == regime, C("_p")).otherwise(C("p_regime"))).drop("_p")
     return fx.rounded(out.withColumn("p", blend_expert(C("p_regime"), C("p_global"), F.lit(0.6))), "symbol", "dt", "regime", "p_global", "p_regime", "p")
 

@@ -161,6 +161,23 @@ def score_context(model: PipelineModel | None, df: DataFrame, name: str, neutral
     return model.transform(df).withColumn(name, vector_to_array("_q")[1]).drop("_x", "_p", "_q", "_r")
 
 
+def cross_fit_context(df: DataFrame, columns: Sequence[str], label: str, name: str, trees: int = 100, weight: str | None = None) -> DataFrame:
+    """Probability per row of a context model fitted on the other test folds.
+
+    Every row stays. Rows without ``proba``, or whose other folds have rows of fewer than two classes, have none.
+    """
+    known = df.where(C("proba").isNotNull() & C(label).isNotNull() & C("test_fold").isNotNull())
+    folds = {r["test_fold"]: (r["zeros"], r["ones"]) for r in known.groupBy("test_fold").agg(
+        F.count(F.when(C(label) == 0, 1)).alias("zeros"), F.count(F.when(C(label) == 1, 1)).alias("ones")).collect()}  # a few folds
+    fitted = {f for f in folds if all(sum(n[i] for g, n in folds.items() if g != f) for i in (0, 1))}
+    has = C("proba").isNotNull() & C("test_fold").isin(sorted(fitted))
+    out = df.where(~F.coalesce(has, F.lit(False))).withColumn(name, F.lit(None).cast("double"))
+    for f in sorted(fitted):
+        model = fit_context_model(known.where(C("test_fold") != f), columns, label, trees, weight)
+        out = out.unionByName(score_context(model, df.where(has & (C("test_fold") == f)), name))
+    return out
+
+
 def regime_experts(df: DataFrame, features: Sequence[str], trees: int = 300) -> dict[int, PipelineModel]:
     """One model per regime that has rows of both classes."""
     classes = {r["regime"]: r["n"] for r in df.groupBy("regime").agg(F.count_distinct("y").alias("n")).collect()}  # a few regimes

@@ -187,3 +187,32 @@ def test_flip_lock_state():
     f = ss.FlipLock()
     locked = [f.step(s)[0] for s in (1, 0, 1, 1, 1, 1, 0, 1)]
     assert locked == [0, 0, 3, 2, 1, 0, 0, 0]
+
+
+def test_context_models_score_every_row_held_out(spark, monkeypatch):
+    from barflow.plans import learn as ln
+    rows = spark.range(400).selectExpr("id", "case when id % 8 < 5 then cast(id % 8 as int) end as test_fold", "cast(id % 3 = 0 as int) as y",
+                                       "case when id % 8 between 1 and 4 then (id % 7) / 7.0D end as proba", "id % 11 / 11.0D as x")
+    seen, fit = [], ln.fit_context_model
+    monkeypatch.setattr(ln, "fit_context_model", lambda df, *a: seen.append({r.test_fold for r in df.select("test_fold").distinct().collect()}) or fit(df, *a))
+    out = {r.id: r for r in ln.cross_fit_context(rows, ["proba", "x"], "y", "p", 2).collect()}
+    assert len(out) == 400 and all((r.p is None) == (r.proba is None) for r in out.values())
+    assert seen == [{1, 2, 3, 4} - {f} for f in (1, 2, 3, 4)]
+
+
+def test_training_queries_use_the_default_number_of_trees(spark, monkeypatch):
+    from barflow.catalog import audits
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def record(features, trees=300, *a, **b):
+        asked.append(trees)
+        raise Stop
+    monkeypatch.setattr(audits.ln, "base_pipeline", record)
+    monkeypatch.setattr(audits, "training_frame", lambda s, d: s.sql("select 1 y, 0 train_from, 0 test_fold, 1 regime union all select 0, 0, 0, 1"))
+    for query in (audits.m05, audits.m09, audits.m13):
+        with pytest.raises(Stop):
+            query(spark, "nowhere")
+    assert asked == [300] * 3
