@@ -79,6 +79,8 @@ def load_tables(path: str) -> dict:
     spelling = {i: spelled(t) for t, i in vocab.items() if i in rank}
     added = {x["content"]: x["id"] for x in file["added_tokens"]}
     names = {i: t for t, i in (vocab | added).items()}
+    if max(names) >= 1 << 16:
+        raise ValueError(f"{path}: ids are kept as 16-bit numbers; this vocabulary goes up to {max(names)}")
     listed = [names.get(i, "") for i in range(max(names) + 1)]
     out = {"base": base, "parts": parts, "pairs": pairs, "rank": rank, "added": added, "fits": {},
            "tokens": offset_table([t.encode() + b" " for t in listed]), "decimals": offset_table([b"%d " % i for i in range(len(listed))])}

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barflow.llm import bpe, cascade, crf, licences, packing, sharding, superminhash, toxicity, tree_dedup, warc
+from barflow.llm import bestfit, bpe, cascade, collocations, crf, fptree, licences, packing, sharding, superminhash, toxicity, tree_dedup, warc
 
 
 def table(spark, sf_dir: str, name: str):
@@ -57,6 +57,19 @@ def op10_extendible_shards(spark, sf_dir):
     return sharding.extendible_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark, sf_dir):
+    pieces = bestfit.best_fit(table(spark, sf_dir, "documents"), vocabulary(), end_id=0)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op12_fp_tree_search(spark, sf_dir):
+    return fptree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_automaton_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 RULES_SQL = r"""
 t AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS x FROM {source}),
 d AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM t),
@@ -111,9 +124,39 @@ SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(sentence_ids, '
 FROM t LEFT JOIN g USING (rid) LEFT JOIN a USING (rid) LEFT JOIN b USING (rid) LEFT JOIN c USING (rid)"""
 
 
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SEARCH_SQL = rf"""WITH t AS (SELECT doc_id, row_number() OVER () AS rid,
+  regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT count(*) AS big_n, sum(len(w))::BIGINT AS big_l FROM t WHERE len(w) > 0),
+q AS (SELECT item_id, row_number() OVER () AS qid, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+qt AS (SELECT qid, item_id, term, count(*) AS times FROM (SELECT qid, item_id, unnest(w) AS term FROM q) GROUP BY ALL),
+tf AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM t) SEMI JOIN qt USING (term) GROUP BY ALL),
+wt AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, g GROUP BY term),
+m AS (SELECT rid, doc_id, 25 + (75 * len(w) * big_n) // big_l AS m FROM t, g WHERE len(w) > 0),
+sc AS (SELECT qid, item_id, doc_id, sum(times * wt.w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM qt JOIN tf USING (term) JOIN wt USING (term) JOIN m USING (rid) GROUP BY qid, item_id, rid, doc_id),
+r AS (SELECT item_id, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM sc WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10"""
+
+PHRASES_SQL = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+tot AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, w[i:i + k - 1] AS parts FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 5) AS s(k))),
+f AS (SELECT lang, phrase, k, count(*) AS f, any_value(parts) AS parts FROM g GROUP BY lang, phrase, k HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, k, f AS a, parts, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.k, a, c.parts, cut, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f + r.f))::BIGINT AS score FROM c
+  JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(c.parts[1:cut], ' ') JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(c.parts[cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, f, array_to_string(parts[j:j + z - 1], ' ') AS phrase FROM
+  (SELECT lang, f, parts, z, unnest(range(1, k - z + 2)) AS j FROM f, range(2, 4) AS s(z) WHERE k > z)),
+x AS (SELECT lang, phrase, max(f) AS whole FROM i GROUP BY lang, phrase),
+d AS (SELECT b.* FROM b LEFT JOIN x USING (lang, phrase) WHERE whole IS NULL OR 100 * whole < 80 * a)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM d JOIN tot USING (lang)) WHERE rank <= 2000"""
+
 QUERIES = {f.__name__: f for f in (
     op1_compression_toxicity, op2_superminhash, op3_warc_segments, op4_rule_cascade, op5_exact_dedup, op6_backtracking_bpe, op7_line_crf,
-    op8_retrieval_packing, op9_licence_scan, op10_extendible_shards)}
+    op8_retrieval_packing, op9_licence_scan, op10_extendible_shards, op11_best_fit_packing, op12_fp_tree_search, op13_automaton_collocations)}
 
 ORACLES = {
     "op4_rule_cascade": "WITH " + RULES_SQL.format(source="documents") + """
@@ -123,5 +166,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY s ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size FROM t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, s AS text_sha256 FROM k""",
     "op9_licence_scan": _licence_sql(),
+    "op12_fp_tree_search": SEARCH_SQL,
+    "op13_automaton_collocations": PHRASES_SQL,
     "op10_extendible_shards": SHARDS_SQL.format(limit=sharding.SHARD_BYTES),
 }
