@@ -38,7 +38,7 @@ C = F.col
 WORDS = 4
 LEAST = 30
 TOP = 2000
-SHARD_WORDS = 2 << 20
+SHARD_WORDS = 1 << 20
 RANGE_WORDS = 8 << 20
 FILTER_BITS = 28
 SEGMENT_BITS = 19
@@ -276,17 +276,20 @@ def shard_automata(number: np.ndarray, level: np.ndarray, lang: np.ndarray, lexi
     rank[by] = np.arange(1, len(by) + 1)
     ranks = np.concatenate([rank[number], np.zeros(WORDS, np.int64)])
     for here in np.unique(lang[level > 0]):
-        grams = []
+        parts = []
         for n in range(1, WORDS + 1):
             at = np.flatnonzero((level >= n) & (lang == here))
-            grams.append(np.column_stack([ranks[at + j] if j < n else np.zeros(len(at), np.int64) for j in range(WORDS)]))
-        grams = np.concatenate(grams)
-        front, back = grams[:, 0] << 32 | grams[:, 1], grams[:, 2] << 32 | grams[:, 3]
+            one, two, three, four = (ranks[at + j] if j < n else 0 for j in range(WORDS))
+            parts.append((one << 32 | two, np.zeros(len(at), np.int64) + (three << 32 | four)))
+        front, back = (np.concatenate(x) for x in zip(*parts))
+        del parts
         order = np.lexsort((back, front))
         front, back = front[order], back[order]
         first = np.flatnonzero(np.concatenate([[True], (front[1:] != front[:-1]) | (back[1:] != back[:-1])]))
         counts = np.diff(np.append(first, len(front)))
-        grams, front = grams[order[first]], front[first]
+        front, back = front[first], back[first]
+        del order, first
+        grams = np.column_stack([front >> 32, front & 0xFFFFFFFF, back >> 32, back & 0xFFFFFFFF])
         base, cuts = bisect_right(borders, (langs[here], b"", b"")), [0]
         for _, one, two in borders[base:bisect_left(borders, (langs[here] + b"\0", b"", b""))]:
             i = bisect_left(words, one)
