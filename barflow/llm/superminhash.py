@@ -27,11 +27,11 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.llm.blocks import BASE, SPACES, Block, blocks, byte_flags, mix, owners, salts, span_hashes, spans, windows
-from barflow.llm.groups import components, join_groups, keep_rows, positioned
+from barflow.llm.groups import at_rows, components, join_groups, keep_rows, positioned, stable
 from barflow.operators.stage import materialize
 
 C = F.col
@@ -158,17 +158,22 @@ def confirmed(texts: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> Dat
                 keep = pa.array(good)
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(begin, n).filter(keep) for c in (0, 1)], ["a", "b"])
                 begin += n
-    both = (pairs.join(texts.select(C("row").alias("b"), C("text").alias("text_b")), "b")
-            .join(texts.select(C("row").alias("a"), C("text").alias("text_a")), "a"))
+    # A row with many partners meets them in cells, so its text goes out once per cell; texts of rows in no pair don't move.
+    cells = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"))
+    dealt = join_groups(pairs, cells, ["a"], "cells").select("a", "b", F.pmod(F.xxhash64("b"), C("cells")).alias("cell"))
+    right = at_rows(texts, pairs.select("b")).select(C("row").alias("b"), C("text").alias("text_b"))
+    left = at_rows(texts, pairs.select("a")).select(C("row").alias("a"), C("text").alias("text_a")).join(cells, "a")
+    left = left.select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), C("cells") - 1)).alias("cell"))
+    both = dealt.join(right, "b").join(left, ["a", "cell"])
     return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a bigint, b bigint"))
 
 
 def bucket_members(reps: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one representative: bucket, rep, set size, sketches."""
-    keys = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where(C("lo") < C("hi")).select("bucket")
+    by = Window.partitionBy("bucket")
+    keys = reps.select("rep", F.explode("bands").alias("bucket")).withColumns({"lo": F.min("rep").over(by), "hi": F.max("rep").over(by)})
     # Sketches are fetched for these only: most buckets hold a single member.
-    return keys.join(shared, "bucket").join(reps.drop("bands"), "rep")
+    return keys.where(C("lo") < C("hi")).select("rep", "bucket").join(reps.drop("bands"), "rep")
 
 
 def may_link(other: str):
@@ -206,8 +211,8 @@ def crossing_pairs(members: DataFrame, cell: int = CELL) -> DataFrame:
 def linked(df: DataFrame, reps: DataFrame, text: str) -> DataFrame:
     """``node`` and ``component`` of all representatives that are linked with another."""
     members = materialize(bucket_members(reps))
-    # Whole texts of the members, dealt out of the input once for all rounds.
-    texts = materialize(positioned(df.select(C(text).alias("text"))).join(members.select(C("rep").alias("row")).distinct(), "row", "left_semi"))
+    # Whole texts of the members, found where they are once for all rounds.
+    texts = materialize(at_rows(positioned(df.select(C(text).alias("text"))), members.select("rep")))
     alone = members.withColumn("component", C("rep"))
     tried, links = None, None
     for _ in range(STAR_ROUNDS):
@@ -245,9 +250,10 @@ def grouped(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, set size, smallest key of its group, whether it is that one."""
-    return grouped(df, key, text).select("doc_id", "n_shingles", C("first.doc_id").alias("component_id"), C("doc_id").eqNullSafe(C("first.doc_id")).alias("kept"))
+    return grouped(stable(df), key, text).select("doc_id", "n_shingles", C("first.doc_id").alias("component_id"), C("doc_id").eqNullSafe(C("first.doc_id")).alias("kept"))
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group, with all its columns."""
+    df = stable(df)
     return keep_rows(df, grouped(df, key, text).where(C("row") == C("first.row")).select("row"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barflow.llm.groups import join_groups, keep_rows, positioned
+from barflow.llm.groups import join_groups, keep_rows, positioned, stable
 from barflow.operators.stage import materialize
 
 C = F.col
@@ -66,4 +66,5 @@ def duplicate_report(df: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of equal texts, with all its columns."""
+    df = stable(df)
     return keep_rows(df, tree_merge(materialize(digests(df, key, text))).select("best.row"))
