@@ -193,6 +193,7 @@ def once(make):
         if key not in known:
             known[key] = make(spark, d)
         return known[key]
+    get.known = known
     return get
 
 
@@ -204,8 +205,9 @@ def training_frame(spark, d):
     """Labelled feature rows with folds and weights, written once: every fit reads them many times."""
     from barflow.operators.stage import materialize
     from barflow.plans import features as ft
-    f = ft.add_features(fx.bars(spark, d), "returns", "atr", "rsi", "dmi", "vwap", "bollinger", "stochastic", "volatility", bars_per_day=24)
-    f = materialize(lb.triple_barrier(f.withColumn("known_regime", F.lit(1)), 5, bars_per_day=24))
+    f = ft.add_features(fx.bars(spark, d), "returns", "atr", "rsi", "dmi", "vwap", "bollinger", "stochastic", "volatility", "volume", "ticks", "macd",
+                        bars_per_day=24)
+    f = materialize(lb.triple_barrier(ft.crosses(f).withColumn("known_regime", F.lit(1)), 5, bars_per_day=24))
     rows = f.where("barrier_5m <> 0").na.drop(subset=FEATURES).withColumns({"y": F.when(C("barrier_5m") > 0, 1).otherwise(0), "ret": C("fut_ret_5m"),
                                                                             "regime": F.when(C("adx_14") > 20, 0).otherwise(1)})
     return materialize(ln.sample_weights(ln.walk_forward(ln.ordinals(materialize(rows))), "label_5m"))
@@ -220,7 +222,7 @@ def oof(spark, d):
 @once
 def importance(spark, d):
     """Importances of one fit, a row per feature."""
-    return ln.feature_importance(spark, ln.base_pipeline(FEATURES).fit(training_frame(spark, d)), FEATURES)
+    return ln.feature_importance(training_frame(spark, d), FEATURES)
 
 
 @register("m05_out_of_fold")
@@ -234,21 +236,28 @@ def m06(spark, d):
     return fx.rounded(ln.calibrate(ln.platt(rows), rows), "symbol", "dt", "y", "proba", "calibrated")
 
 
-@register("m07_stacker_and_meta")
-def m07(spark, d):
-    rows = oof(spark, d).withColumn("meta", lb.meta_label(C("proba"), C("y")))
+@once
+def stacked(spark, d):
+    from barflow.operators.stage import materialize
+    rows = ln.context_features(oof(spark, d).withColumn("meta", lb.meta_label(C("proba"), C("y"))), [c for c in ln.META_FEATURES if c != "proba"])
     context = ["proba", "regime", "session_pct", "iv_proxy", "atr_14_pct", "adx_14", "dmi_diff"]
     stack = ln.cross_fit_context(rows, context, "y", "stacked", weight="weight")
-    return fx.rounded(ln.cross_fit_context(stack, context, "meta", "meta_conf"), "symbol", "dt", "proba", "stacked", "meta_conf")
+    return materialize(ln.cross_fit_context(stack, ln.META_FEATURES, "meta", "meta_conf", weight="weight", neutral=ln.META_NEUTRAL))
+
+
+@register("m07_stacker_and_meta")
+def m07(spark, d):
+    return fx.rounded(stacked(spark, d), "symbol", "dt", "proba", "stacked", "meta_conf")
 
 
 @register("m09_regime_experts")
 def m09(spark, d):
+    """Global and regime models side by side, each row scored by models of folds that end before it."""
+    from barflow.operators.stage import materialize
     from barflow.plans.votes import blend_expert
-    rows = training_frame(spark, d)
-    out = ln.soft_vote(ln.base_pipeline(FEATURES).fit(rows), rows, "p_global").withColumn("p_regime", F.lit(None).cast("double"))
-    for regime, model in ln.regime_experts(rows, FEATURES).items():
-        out = ln.soft_vote(model, out, "_p").withColumn("p_regime", F.when(C("regime") == regime, C("_p")).otherwise(C("p_regime"))).drop("_p")
+    rows = oof(spark, d).withColumnRenamed("proba", "p_global").drop("n_train")
+    expert = F.when(C("regime").isin(*ln.EXPERT_REGIMES), C("regime"))
+    out = materialize(ln.out_of_fold(rows, FEATURES, by=expert, name="p_regime"))
     return fx.rounded(out.withColumn("p", blend_expert(C("p_regime"), C("p_global"), F.lit(0.6))), "symbol", "dt", "regime", "p_global", "p_regime", "p")
 
 

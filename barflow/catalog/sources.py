@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from barflow.catalog import fixtures as fx
+from barflow.catalog.joins import ORACLES as JOIN_ORACLES
 from barflow.catalog.market import regime_bars
 from barflow.catalog.quality import DIRTY, MAX_STEP_PCT, MAX_STEP_SECONDS, VALIDATED, dirty
 from barflow.catalog.trading import LV, REPEATS, ledger, signals
@@ -120,12 +121,9 @@ def tick_stream(spark, d):
     return e.select(C("event_type").alias("symbol"), C("ts").cast("timestamp").alias("ts"), C("event_id").alias("seq"), C("value").alias("price"))
 
 
-def bar_stream(spark, rows, columns):
-    """Rows written to the shared folder and opened as a stream."""
-    path = folder(spark)
-    out = rows.withColumn("dt", C("dt").cast("timestamp")).select(*columns)
-    out.repartition(4, "symbol").write.parquet(path)
-    return spark.readStream.schema(out.schema).parquet(path)
+def in_time(rows, columns, by="dt"):
+    """Rows as they arrive: their time as a zoned timestamp."""
+    return rows.withColumn(by, C(by).cast("timestamp")).select(*columns), by
 
 
 CLOSED = "dt + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ticks) - INTERVAL 10 MINUTE"
@@ -141,7 +139,7 @@ def r02(spark, d):
 SELECT symbol, date_trunc('hour', ts) AS dt, count(*) FILTER (s>0) AS up_ticks, count(*) FILTER (s<0) AS down_ticks FROM d GROUP BY 1,2""")
 def r03(spark, d):
     st.configure(spark)
-    t = st.run_available(st.tick_directions(tick_stream(spark, d)))
+    t = st.run_in_slices([in_time(fx.ticks(spark, d), ["symbol", "ts", "seq", "price"], "ts")], st.tick_directions)
     agg = t.groupBy("symbol", F.window(C("ts").cast("timestamp_ntz"), "1 hour").alias("_w")).agg(
         F.count(F.when(C("direction") > 0, 1)).alias("up_ticks"), F.count(F.when(C("direction") < 0, 1)).alias("down_ticks"))
     return agg.select("symbol", C("_w.start").alias("dt"), "up_ticks", "down_ticks")
@@ -150,24 +148,23 @@ def r03(spark, d):
 @register("r04_stream_tick_stats", f"{V('ticks')}, s AS (SELECT symbol, seq, CAST(count(*) OVER w AS BIGINT) AS n, max(price) OVER w AS high, min(price) OVER w AS low FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq ROWS 99 PRECEDING)) SELECT symbol, seq, n, {R('high', 'low')} FROM s")
 def r04(spark, d):
     st.configure(spark)
-    return fx.rounded(st.run_available(st.recent_ticks(tick_stream(spark, d))), "symbol", "seq", "n", "high", "low")
+    t = in_time(fx.ticks(spark, d), ["symbol", "ts", "seq", "price"], "ts")
+    return fx.rounded(st.run_in_slices([t], st.recent_ticks), "symbol", "seq", "n", "high", "low")
 
 
 @register("r06_stream_validation", VALIDATED)
 def r06(spark, d):
     st.configure(spark)
-    s = bar_stream(spark, dirty(spark, d), ["symbol", "dt", "open", "high", "low", "close", "volume"])
-    out = st.run_available(st.validated_bars(s, max_gap_seconds=MAX_STEP_SECONDS, max_gap_pct=MAX_STEP_PCT))
+    s = in_time(dirty(spark, d), ["symbol", "dt", "open", "high", "low", "close", "volume"])
+    out = st.run_in_slices([s], lambda x: st.validated_bars(x, max_gap_seconds=MAX_STEP_SECONDS, max_gap_pct=MAX_STEP_PCT))
     return out.select("symbol", C("dt").cast("timestamp_ntz").alias("dt"), "bar_valid", F.array_join("errors", ",").alias("errors"), "bad_in_row", "halt")
 
 
 def r09(spark, d):
     """The batch rule of ad4 as a stream: both must keep the same signals."""
     st.configure(spark)
-    path = folder(spark)
-    s = signals(spark, d).withColumn("ts", C("ts").cast("timestamp"))
-    s.write.parquet(path)
-    return st.run_available(st.marked_repeats(spark.readStream.schema(s.schema).parquet(path), 600)).select("seq", "hash", "kept")
+    s = in_time(signals(spark, d), ["seq", "hash", "ts"], "ts")
+    return st.run_in_slices([s], lambda x: st.marked_repeats(x, 600)).select("seq", "hash", "kept")
 
 
 QUERIES["r09_stream_duplicates"], ORACLES["r09_stream_duplicates"] = r09, REPEATS
@@ -176,26 +173,24 @@ QUERIES["r09_stream_duplicates"], ORACLES["r09_stream_duplicates"] = r09, REPEAT
 @register("r13_stream_hysteresis")
 def r13(spark, d):
     st.configure(spark)
-    s = bar_stream(spark, regime_bars(spark, d), ["symbol", "dt", "regime"])
-    out = st.run_available(st.confirmed_regimes(s))
+    out = st.run_in_slices([in_time(regime_bars(spark, d), ["symbol", "dt", "regime"])], st.confirmed_regimes)
     return out.select("symbol", C("dt").cast("timestamp_ntz").alias("dt"), "confirmed_regime", "bars_since_flip")
 
 
 @register("r14_stream_static", f"{V('bars', 'bars_1d')}, x AS (SELECT symbol, trade_date, close AS d_close FROM bars_1d) SELECT symbol, dt, floor((d_close)*1e6+0.5e0)/1e6 AS d_close FROM bars LEFT JOIN x USING (symbol, trade_date)")
 def r14(spark, d):
-    s = bar_stream(spark, fx.bars(spark, d), ["symbol", "dt", "trade_date"])
     table = fx.bars_1d(spark, d).select("symbol", "trade_date", C("close").alias("d_close"))
-    out = st.run_available(st.with_static(s, table, ["symbol", "trade_date"]))
+    out = st.run_in_slices([in_time(fx.bars(spark, d), ["symbol", "dt", "trade_date"])], lambda x: st.with_static(x, table, ["symbol", "trade_date"]))
     return fx.rounded(out.withColumn("dt", C("dt").cast("timestamp_ntz")), "symbol", "dt", "d_close")
 
 
 @register("r15_stream_htf", f"{V('bars', 'bars_1d')}, e AS (SELECT symbol, dt + INTERVAL 1 DAY AS ready, close FROM bars_1d) SELECT b.symbol, b.dt, floor((e.close)*1e6+0.5e0)/1e6 AS d_close FROM bars b ASOF LEFT JOIN e ON b.symbol=e.symbol AND b.dt >= e.ready")
 def r15(spark, d):
     st.configure(spark)
-    a = bar_stream(spark, fx.bars(spark, d), ["symbol", "dt"])
-    day = fx.bars_1d(spark, d).select("symbol", "dt", C("close").alias("d_close"))
-    b = bar_stream(spark, day, ["symbol", "dt", "d_close"]).withColumnRenamed("dt", "htf_dt")
-    out = st.run_available(st.with_higher_timeframe(a, b, "1 DAY", "d_close"))
+    a = in_time(fx.bars(spark, d), ["symbol", "dt"])
+    day = fx.bars_1d(spark, d).select("symbol", C("dt").alias("htf_dt"), C("close").alias("d_close"), (C("dt") + F.expr("INTERVAL 1 DAY")).alias("ready"))
+    b = in_time(day.withColumn("htf_dt", C("htf_dt").cast("timestamp")), ["symbol", "htf_dt", "d_close", "ready"], "ready")
+    out = st.run_in_slices([a, b], lambda x, y: st.with_higher_timeframe(x, y, "1 DAY", "d_close"))
     return fx.rounded(out.withColumn("dt", C("dt").cast("timestamp_ntz")), "symbol", "dt", "d_close")
 
 
@@ -211,3 +206,66 @@ def r07(spark, d):
     limit = F.when(h < 6, 7200).when(h < 12, 5400).otherwise(3600)
     return t.withColumn("g", gap).where(C("g") > limit).select("symbol", "ts", fx.tidy(C("g"), 3).alias("silent_seconds"))
 
+
+
+SILENCE = """g AS (SELECT symbol, ts, seq, lead(ts) OVER (PARTITION BY symbol ORDER BY ts, seq) AS nx FROM ticks), m AS (SELECT *, epoch(nx)-epoch(ts) AS gap, CASE WHEN extract(hour FROM ts)<6 THEN 7200 WHEN extract(hour FROM ts)<12 THEN 5400 ELSE 3600 END AS lim FROM g)"""
+
+
+@register("r07_stream_silence", f"""{V('ticks')}, {SILENCE} SELECT symbol, ts, floor((gap)*1e3+0.5e0)/1e3 AS silent_seconds FROM m WHERE gap > lim
+UNION ALL SELECT symbol, ts, NULL FROM m WHERE nx IS NULL AND epoch(ts) + lim < (SELECT epoch(max(ts)) FROM ticks) - 10""")
+def r07_stream(spark, d):
+    """Silences by event-time timers: those that ended as r07_silence_gaps finds them, and those still open at the end of the stream."""
+    st.configure(spark)
+    h = F.hour("ts")
+    limit = F.when(h < 6, 7200).when(h < 12, 5400).otherwise(3600)
+    t = in_time(fx.ticks(spark, d), ["symbol", "ts", "seq"], "ts")
+    out = st.run_in_slices([t], lambda x: st.silent_symbols(x, limit, "10 seconds")).withColumn("ts", C("ts").cast("timestamp_ntz"))
+    ended = out.where("silent_seconds is not null")
+    alarms = out.where("silent_seconds is null").join(ended.select("symbol", "ts"), ["symbol", "ts"], "left_anti")
+    return ended.unionByName(alarms).select("symbol", "ts", fx.tidy(C("silent_seconds"), 3).alias("silent_seconds"))
+
+
+@register("r08_stream_latency", f"""{V('ticks')}, l AS (SELECT symbol, ts, seq, CAST((seq*37)%2500 AS DOUBLE) AS lag_ms FROM ticks), m AS (SELECT *, median(lag_ms) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS 9 PRECEDING) AS med FROM l)
+SELECT symbol, seq, floor((med)*1e6+0.5e0)/1e6 AS median_lag_ms, CASE WHEN lag_ms>2000 THEN 'CRITICAL' WHEN lag_ms>500 THEN 'HIGH' ELSE 'OK' END AS level, med<2000 AS acceptable FROM m""")
+def r08(spark, d):
+    st.configure(spark)
+    t = in_time(fx.ticks(spark, d).withColumn("lag_ms", ((C("seq") * 37) % 2500).cast("double")), ["symbol", "ts", "seq", "lag_ms"], "ts")
+    return fx.rounded(st.run_in_slices([t], st.latencies), "symbol", "seq", "median_lag_ms", "level", "acceptable")
+
+
+@register("r12_stream_session_state", f"""{V('bars')}, w AS (SELECT *, row_number() OVER s AS bar_no, first_value(open) OVER s AS day_open, max(high) OVER s AS high_so_far, min(low) OVER s AS low_so_far FROM bars
+ WINDOW s AS (PARTITION BY symbol, trade_date ORDER BY dt ROWS UNBOUNDED PRECEDING)), n AS (SELECT *, CASE WHEN bar_no=1 OR high_so_far>lag(high_so_far) OVER (PARTITION BY symbol, trade_date ORDER BY dt) THEN bar_no END AS top FROM w)
+SELECT symbol, dt, bar_no, {R('day_open', 'high_so_far', 'low_so_far')}, bar_no - max(top) OVER (PARTITION BY symbol, trade_date ORDER BY dt ROWS UNBOUNDED PRECEDING) AS since_high FROM n""")
+def r12(spark, d):
+    st.configure(spark)
+    out = st.run_in_slices([in_time(fx.bars(spark, d), ["symbol", "dt", "trade_date", "open", "high", "low"])], st.session_values, trigger={"once": True})
+    return fx.rounded(out.withColumn("dt", C("dt").cast("timestamp_ntz")), "symbol", "dt", "bar_no", "day_open", "high_so_far", "low_so_far", "since_high")
+
+
+@register("r05_stream_upsert", JOIN_ORACLES["u02_upsert"])
+def r05(spark, d):
+    """Bars, then corrections of some of them, arrive as a stream; the second micro-batch is delivered twice."""
+    path = folder(spark)
+    b = fx.bars(spark, d).select("symbol", "dt", "trade_date", "close", "volume")
+    fresh = b.where("volume > 4").withColumn("close", C("close") * 1.01)
+    arriving = b.withColumn("at", F.lit(0)).unionByName(fresh.withColumn("at", F.lit(1)))
+    apply = st.upsert_into(path)
+
+    def twice(batch, number):
+        apply(batch.drop("at"), number)
+        if number:
+            apply(batch.drop("at"), number)
+    st.run_in_slices([(arriving, "at")], lambda x: x, each=twice)
+    return fx.rounded(st.read_upserted(spark, path), "symbol", "dt", "close", "volume")
+
+
+@register("r17_stream_late_rows", """WITH a AS (SELECT event_type AS symbol, event_id AS seq, ts, (event_id + CASE WHEN event_id%13=0 THEN 40 ELSE 0 END)*2 + CASE WHEN event_id%13=0 THEN 1 ELSE 0 END AS arrival FROM events),
+m AS (SELECT *, max(ts) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM a) SELECT symbol, seq, ts, coalesce(ts < newest - INTERVAL 1 HOUR, false) AS late FROM m""")
+def r17(spark, d):
+    """Every thirteenth tick arrives forty ticks late; rows that are over an hour behind go to the side table."""
+    path = folder(spark)
+    slow = C("seq") % 13 == 0
+    arrival = (C("seq") + F.when(slow, 40).otherwise(0)) * 2 + F.when(slow, 1).otherwise(0)
+    t = fx.ticks(spark, d).select("symbol", "seq", C("ts").cast("timestamp").alias("ts"), arrival.alias("arrival"))
+    st.run_in_slices([(t, "arrival")], lambda x: x, each=st.split_late(path, 3600, order="arrival"))
+    return spark.read.parquet(f"{path}/rows").select("symbol", "seq", C("ts").cast("timestamp_ntz").alias("ts"), C("late").cast("boolean").alias("late"))

@@ -1,8 +1,11 @@
 """Walk-forward training with Spark ML: rows, folds, weights, learners, calibration, experts, metrics, persistence."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -15,6 +18,14 @@ from barflow.functions.numeric import cut
 from barflow.operators.scans import drawdown, running
 
 C = F.col
+FITS_AT_ONCE = 8
+FIT_BYTES = 32 << 20
+#: What the correctness predictor sees beside the probability.
+META_FEATURES = ("proba", "regime", "session_pct", "iv_proxy", "atr_14_pct", "adx_14", "dmi_diff", "tick_imbalance", "vwap_dev_vel", "pressure_ratio",
+                 "bb_squeeze", "bb_width", "adx_rsi_trend", "vol_ratio")
+META_NEUTRAL = 0.55
+#: Regimes that have models of their own.
+EXPERT_REGIMES = (k.TRENDING, k.RANGING)
 
 
 # --- rows -----------------------------------------------------------------------------------------------------------
@@ -86,17 +97,59 @@ def drawdown_weights(oof: DataFrame, order=("dt", "symbol"), bucket: str = "day"
 
 
 # --- learners -------------------------------------------------------------------------------------------------------
-def base_pipeline(features: Sequence[str], trees: int = 300, seed: int = 42, weight: str = "weight") -> Pipeline:
-    """Boosted trees, forest and scaled logistic regression on one assembled vector; scaling is fitted inside the fold."""
-    parts = [VectorAssembler(inputCols=list(features), outputCol="raw", handleInvalid="keep"),
-             StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)]
+def in_parallel(spark, jobs: Sequence[Callable], at_once: int = FITS_AT_ONCE) -> list:
+    """Results of independent fits, a bounded number of them at a time: a small fit leaves most of the cluster idle, so fits fill it together."""
+    if not jobs:
+        return []
+    pool = ThreadPool(min(at_once, len(jobs)))
+    try:
+        return pool.map(lambda job: job(), [inheritable_thread_target(spark)(job) for job in jobs], chunksize=1)
+    finally:
+        pool.close()
+
+
+def fitting_frame(df: DataFrame, features: Sequence[str], name: str = "raw") -> DataFrame:
+    """Rows with the assembled vector, in partitions of about ``FIT_BYTES``. Every tree level is a job over them, so empty ones would cost most."""
+    rows = VectorAssembler(inputCols=list(features), outputCol=name, handleInvalid="keep").transform(df)
+    size = df.count() * (len(features) + 4) * 8
+    return rows.coalesce(max(1, -(-size // FIT_BYTES)))
+
+
+def base_learners(trees: int = 300, seed: int = 42, weight: str = "weight", total_weight: float = 1.0, C_: float = 0.1) -> list:
+    """Boosted trees, forest and logistic regression. ``total_weight`` is the sum of the weights: the penalty 1/C stands against the summed loss, while
+    Spark's stands against its mean."""
     common = dict(labelCol="y", weightCol=weight)
-    parts += [GBTClassifier(featuresCol="raw", maxIter=trees, maxDepth=4, stepSize=0.03, subsamplingRate=0.8, minInstancesPerNode=50, seed=seed,
-                            predictionCol="p0", **common).setProbabilityCol("q0").setRawPredictionCol("r0"),
-              RandomForestClassifier(featuresCol="raw", numTrees=trees, maxDepth=8, minInstancesPerNode=50, seed=seed, predictionCol="p1",
-                                     probabilityCol="q1", rawPredictionCol="r1", **common),
-              LogisticRegression(featuresCol="scaled", regParam=0.01, maxIter=50, predictionCol="p2", probabilityCol="q2", rawPredictionCol="r2", **common)]
-    return Pipeline(stages=parts)
+    return [GBTClassifier(featuresCol="raw", maxIter=trees, maxDepth=4, stepSize=0.03, subsamplingRate=0.8, minInstancesPerNode=50, seed=seed,
+                          predictionCol="p0", **common).setProbabilityCol("q0").setRawPredictionCol("r0"),
+            RandomForestClassifier(featuresCol="raw", numTrees=trees, maxDepth=8, minInstancesPerNode=50, seed=seed, predictionCol="p1",
+                                   probabilityCol="q1", rawPredictionCol="r1", **common),
+            LogisticRegression(featuresCol="scaled", regParam=1.0 / (C_ * max(total_weight, 1e-9)), standardization=False, maxIter=500, predictionCol="p2",
+                               probabilityCol="q2", rawPredictionCol="r2", **common)]
+
+
+def fit_base(spark, parts: dict, features: Sequence[str], trees: int = 300, weight: str = "weight") -> dict:
+    """A fitted soft-vote model for each part (name -> rows of :func:`fitting_frame`); all learners of all parts are fitted concurrently.
+
+    Scaling is fitted on the part itself, so on a fold's training rows only.
+    """
+    assembler = VectorAssembler(inputCols=list(features), outputCol="raw", handleInvalid="keep")
+    scaled, totals = {}, {}
+
+    def prepare(name):
+        rows = parts[name]
+        scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(rows)
+        frame = scaler.transform(rows).select("raw", "scaled", "y", weight).persist()
+        totals[name] = frame.agg(F.sum(weight)).first()[0]
+        scaled[name] = scaler, frame
+    try:
+        in_parallel(spark, [lambda n=n: prepare(n) for n in parts])
+        jobs = [(name, i) for i in range(3) for name in parts]  # the boosted trees, which take longest, go first
+        fits = in_parallel(spark, [lambda n=n, i=i: base_learners(trees, weight=weight, total_weight=totals[n])[i].fit(scaled[n][1]) for n, i in jobs])
+    finally:
+        for _, frame in scaled.values():
+            frame.unpersist()
+    found = dict(zip(jobs, fits))
+    return {name: PipelineModel(stages=[assembler, scaled[name][0], *(found[name, i] for i in range(3))]) for name in parts}
 
 
 TEMP = ("raw", "scaled", "p0", "q0", "r0", "p1", "q1", "r1", "p2", "q2", "r2")
@@ -108,29 +161,32 @@ def soft_vote(model: PipelineModel, df: DataFrame, name: str = "proba") -> DataF
     return scored.withColumn(name, mean).drop(*TEMP)
 
 
-def out_of_fold(df: DataFrame, features: Sequence[str], trees: int = 300, splits: int = 5) -> DataFrame:
-    """Held-out probability per row, and the number of rows its model was fitted on (``n_train``).  Five fits, each a distributed job.
+def out_of_fold(df: DataFrame, features: Sequence[str], trees: int = 300, splits: int = 5, by: Column | None = None, name: str = "proba") -> DataFrame:
+    """Held-out probability per row, and the number of rows its model was fitted on (``n_train``).
 
-    Every row stays.  Rows that are in no test fold, or whose fold has training rows of one class only, have no probability.
+    With ``by`` each fold has one model for each value of that column, fitted on that value's rows. Every row stays. Rows that are in no test fold, or
+    whose model would see one class only, have no probability. Rows are assembled once; all models are fitted concurrently.
     """
-    rows = df.persist()
+    spark, group = df.sparkSession, F.lit(0) if by is None else by
+    rows = fitting_frame(df.withColumn("_group", group), features).persist()
+    sizes = {}
     try:
-        sizes = rows.agg(*[F.count(F.when(C("train_from") <= f, 1)).alias(f"a{f}") for f in range(splits)],
-                         *[F.count_distinct(F.when(C("train_from") <= f, C("y"))).alias(f"c{f}") for f in range(splits)]).first()
-        parts = []
         for f in range(splits):
-            test = df.where(C("test_fold") == f).withColumn("n_train", F.lit(sizes[f"a{f}"]))
-            if sizes[f"c{f}"] < 2:
-                parts.append(test.withColumn("proba", F.lit(None).cast("double")))
-                continue
-            model = base_pipeline(features, trees).fit(rows.where(C("train_from") <= f))
-            parts.append(soft_vote(model, test))
+            for g, n, classes in rows.where(C("train_from") <= f).groupBy("_group").agg(F.count(F.lit(1)), F.count_distinct("y")).collect():  # a few groups
+                if classes == 2 and g is not None:
+                    sizes[f, g] = n
+        fitted = fit_base(spark, {(f, g): rows.where((C("train_from") <= f) & C("_group").eqNullSafe(F.lit(g))) for f, g in sizes}, features, trees)
     finally:
         rows.unpersist()
-    out = df.where(C("test_fold").isNull()).withColumns({"n_train": F.lit(0).cast("long"), "proba": F.lit(None).cast("double")})
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+    tagged = df.withColumn("_group", group)
+    mine = F.lit(False)
+    out = []
+    for (f, g), model in fitted.items():
+        here = F.coalesce(C("test_fold") == f, F.lit(False)) & C("_group").eqNullSafe(F.lit(g))
+        mine = mine | here
+        out.append(soft_vote(model, tagged.where(here).withColumn("n_train", F.lit(sizes[f, g]).cast("long")), name))
+    rest = tagged.where(~mine).withColumns({"n_train": F.lit(0).cast("long"), name: F.lit(None).cast("double")})
+    return reduce(DataFrame.unionByName, out, rest).drop("_group")
 
 
 def platt(oof: DataFrame) -> PipelineModel:
@@ -145,13 +201,16 @@ def calibrate(model: PipelineModel, df: DataFrame, name: str = "calibrated") ->
     return model.transform(df).withColumn(name, F.when(C("proba").isNotNull(), p)).drop("_x", "_p", "_q", "_r")
 
 
-def fit_context_model(df: DataFrame, columns: Sequence[str], label: str, trees: int = 100, weight: str | None = None) -> PipelineModel:
+def context_learner(label: str, trees: int = 100, weight: str | None = None) -> GBTClassifier:
     """Small boosted model on probability plus context: the stacker and the correctness predictor."""
     gbt = GBTClassifier(featuresCol="_x", labelCol=label, maxIter=trees, maxDepth=3, stepSize=0.05, subsamplingRate=0.8, minInstancesPerNode=20, seed=42,
                         predictionCol="_p").setProbabilityCol("_q").setRawPredictionCol("_r")
-    if weight:
-        gbt = gbt.setWeightCol(weight)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="keep"), gbt]).fit(df)
+    return gbt.setWeightCol(weight) if weight else gbt
+
+
+def fit_context_model(df: DataFrame, columns: Sequence[str], label: str, trees: int = 100, weight: str | None = None) -> PipelineModel:
+    return PipelineModel(stages=[VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="keep"),
+                                 context_learner(label, trees, weight).fit(fitting_frame(df, columns, "_x"))])
 
 
 def score_context(model: PipelineModel | None, df: DataFrame, name: str, neutral: float | None = None) -> DataFrame:
@@ -161,32 +220,36 @@ def score_context(model: PipelineModel | None, df: DataFrame, name: str, neutral
     return model.transform(df).withColumn(name, vector_to_array("_q")[1]).drop("_x", "_p", "_q", "_r")
 
 
-def cross_fit_context(df: DataFrame, columns: Sequence[str], label: str, name: str, trees: int = 100, weight: str | None = None) -> DataFrame:
-    """Probability per row of a context model fitted on the other test folds.
+def context_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The frame with all context columns: one that is absent, or a value that is missing, counts as 0."""
+    return df.withColumns({c: F.coalesce(F.nanvl(C(c).cast("double"), F.lit(0.0)), F.lit(0.0)) if c in df.columns else F.lit(0.0) for c in columns})
+
 
-    Every row stays. Rows without ``proba``, or whose other folds have rows of fewer than two classes, have none.
+def cross_fit_context(df: DataFrame, columns: Sequence[str], label: str, name: str, trees: int = 100, weight: str | None = None,
+                      neutral: float | None = None) -> DataFrame:
+    """Probability per row of a context model fitted on the other test folds; all folds are fitted concurrently.
+
+    Every row stays. Rows without ``proba``, or whose other folds have rows of fewer than two classes, get ``neutral``.
     """
     known = df.where(C("proba").isNotNull() & C(label).isNotNull() & C("test_fold").isNotNull())
     folds = {r["test_fold"]: (r["zeros"], r["ones"]) for r in known.groupBy("test_fold").agg(
         F.count(F.when(C(label) == 0, 1)).alias("zeros"), F.count(F.when(C(label) == 1, 1)).alias("ones")).collect()}  # a few folds
-    fitted = {f for f in folds if all(sum(n[i] for g, n in folds.items() if g != f) for i in (0, 1))}
-    has = C("proba").isNotNull() & C("test_fold").isin(sorted(fitted))
-    out = df.where(~F.coalesce(has, F.lit(False))).withColumn(name, F.lit(None).cast("double"))
-    for f in sorted(fitted):
-        model = fit_context_model(known.where(C("test_fold") != f), columns, label, trees, weight)
+    fitted = sorted(f for f in folds if all(sum(n[i] for g, n in folds.items() if g != f) for i in (0, 1)))
+    models = in_parallel(df.sparkSession, [lambda f=f: fit_context_model(known.where(C("test_fold") != f), columns, label, trees, weight) for f in fitted])
+    has = C("proba").isNotNull() & C("test_fold").isin(fitted)
+    out = df.where(~F.coalesce(has, F.lit(False))).withColumn(name, F.lit(neutral).cast("double"))
+    for f, model in zip(fitted, models):
         out = out.unionByName(score_context(model, df.where(has & (C("test_fold") == f)), name))
     return out
 
 
-def regime_experts(df: DataFrame, features: Sequence[str], trees: int = 300) -> dict[int, PipelineModel]:
-    """One model per regime that has rows of both classes."""
-    classes = {r["regime"]: r["n"] for r in df.groupBy("regime").agg(F.count_distinct("y").alias("n")).collect()}  # a few regimes
-    return {r: base_pipeline(features, trees).fit(df.where(C("regime") == r)) for r in (k.TRENDING, k.RANGING)
-            if classes.get(r) == 2}
-
-
-def feature_importance(spark, model: PipelineModel, features: Sequence[str], top: int | None = None) -> DataFrame:
-    weights = model.stages[2].featureImportances.toArray()
+def feature_importance(df: DataFrame, features: Sequence[str], trees: int = 300, top: int | None = None) -> DataFrame:
+    """Importances of the boosted trees fitted on all rows of ``df``, a row per feature."""
+    spark, rows = df.sparkSession, fitting_frame(df, features).persist()
+    try:
+        weights = base_learners(trees)[0].fit(rows).featureImportances.toArray()
+    finally:
+        rows.unpersist()
     out = spark.createDataFrame([(f, float(x)) for f, x in zip(features, weights)], "feature string, importance double")
     out = out.orderBy(F.desc("importance"), "feature")
     return out.limit(top) if top else out

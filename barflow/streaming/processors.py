@@ -1,4 +1,4 @@
-"""Stateful processors keyed by symbol: order-flow direction, bar validation, regime hysteresis, tick history, heartbeat."""
+"""Stateful processors: order-flow direction, bar validation, regime hysteresis, tick history, heartbeat, repeats, sessions, latency."""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -17,6 +17,8 @@ def _naive(ts):
 
 
 def _rows(frames: Iterator[pd.DataFrame], order) -> pd.DataFrame:
+    """A key's rows of one micro-batch, in order. Their number is bounded by what a trigger takes in (``streams.run_in_slices``, or a file source's
+    ``maxFilesPerTrigger`` and ``maxBytesPerTrigger``); what came before is in the state."""
     parts = list(frames)
     return pd.concat(parts).sort_values(order, kind="stable") if parts else pd.DataFrame()
 
@@ -133,53 +135,136 @@ class RecentTicks(StatefulProcessor):
         pass
 
 
+def _set_timer(handle: StatefulProcessorHandle, at_us: int) -> None:
+    """The one event-time timer of a key: it fires once the watermark has passed ``at_us``."""
+    for t in list(handle.listTimers()):
+        handle.deleteTimer(t)
+    handle.registerTimer(at_us // 1000 + 1)
+
+
 class Heartbeat(StatefulProcessor):
-    """A row when a symbol has been silent for longer than the limit (processing-time timer)."""
+    """Silences of a symbol beyond the limit of the tick before them. Rows in: ``us`` (time in microseconds), ``limit_us``.
 
-    SCHEMA = "symbol STRING, silent_seconds DOUBLE"
+    A silence that ends gives its length. One that has not ended when the watermark passes the limit gives a row without length, by an event-time
+    timer; the same silence gives its length later, if it ends.
+    """
 
-    def __init__(self, seconds: float = k.STALE_SECONDS):
-        self.seconds = seconds
+    SCHEMA = "symbol STRING, us BIGINT, silent_us BIGINT"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.last = handle.getValueState("last", "us BIGINT, limit_us BIGINT")
+
+    def _out(self, key, since: list[int], length: list) -> pd.DataFrame:
+        return pd.DataFrame({"symbol": pd.Series([key[0]] * len(since), dtype=str), "us": pd.Series(since, dtype="int64"),
+                             "silent_us": pd.Series(length, dtype="Int64")})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for _ in rows:
-            pass
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.seconds * 1000))
-        yield pd.DataFrame({"symbol": pd.Series(dtype=str), "silent_seconds": pd.Series(dtype=float)})
+        pdf = _rows(rows, ["us", "seq"])
+        last = tuple(self.last.get()) if self.last.exists() else None
+        since, length = [], []
+        for now in zip(pdf["us"].tolist(), pdf["limit_us"].tolist()):
+            if last and now[0] - last[0] > last[1]:
+                since.append(last[0])
+                length.append(now[0] - last[0])
+            last = now
+        self.last.update(last)
+        _set_timer(self.handle, sum(last))
+        yield self._out(key, since, length)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"symbol": [key[0]], "silent_seconds": [float(self.seconds)]})
+        yield self._out(key, [self.last.get()[0]], [None])
 
     def close(self) -> None:
         pass
 
 
 class RepeatGuard(StatefulProcessor):
-    """Whether a signal is kept: the last kept one of its hash is at least ``seconds`` older, which is all the state there is."""
+    """Whether a signal is kept: the last kept one of its hash is at least ``seconds`` older.
 
-    SCHEMA = "seq BIGINT, hash STRING, ts TIMESTAMP, kept BOOLEAN"
+    That time is all the state there is, and it goes when the watermark has passed it by ``seconds``: from then on it decides nothing.
+    """
+
+    SCHEMA = "seq BIGINT, hash STRING, us BIGINT, kept BOOLEAN"
 
     def __init__(self, seconds: float = k.DEDUP_SECONDS):
-        self.seconds = seconds
+        self.wait = int(seconds * 1e6)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts TIMESTAMP")
+        self.handle = handle
+        self.last = handle.getValueState("last", "us BIGINT")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _rows(rows, ["ts", "seq"])
-        last, kept = _naive(self.last.get()[0]) if self.last.exists() else None, []
-        for t in map(_naive, pdf["ts"]):
-            ok = last is None or (t - last).total_seconds() >= self.seconds
+        pdf = _rows(rows, ["us", "seq"])
+        last, kept = self.last.get()[0] if self.last.exists() else None, []
+        for t in pdf["us"].tolist():
+            ok = last is None or t - last >= self.wait
             kept.append(ok)
             last = t if ok else last
         pdf["kept"] = kept
-        self.last.update((last.to_pydatetime(),))
-        yield pdf[["seq", "hash", "ts", "kept"]]
+        self.last.update((int(last),))
+        _set_timer(self.handle, last + self.wait)
+        yield pdf[["seq", "hash", "us", "kept"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class SessionState(StatefulProcessor):
+    """Running values of one session (symbol and date): number of the bar, day open, high and low so far, bars since the high.
+
+    A new session is a new key, so nothing is carried over; the state of a past one goes ``ttl_seconds`` after its last bar came in.
+    """
+
+    SCHEMA = "symbol STRING, trade_date DATE, dt TIMESTAMP, bar_no BIGINT, day_open DOUBLE, high_so_far DOUBLE, low_so_far DOUBLE, since_high BIGINT"
+
+    def __init__(self, ttl_seconds: float = 86400):
+        self.ttl = int(ttl_seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.session = handle.getValueState("session", "n BIGINT, open DOUBLE, high DOUBLE, low DOUBLE, since BIGINT", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _rows(rows, ["dt"])
+        n, first, high, low, since = self.session.get() if self.session.exists() else (0, float(pdf["open"].iloc[0]), float("-inf"), float("inf"), 0)
+        out = []
+        for h, l in zip(pdf["high"].tolist(), pdf["low"].tolist()):
+            n, since = n + 1, 0 if h > high else since + 1
+            high, low = max(high, h), min(low, l)
+            out.append((n, first, high, low, since))
+        self.session.update((n, first, high, low, since))
+        for i, name in enumerate(("bar_no", "day_open", "high_so_far", "low_so_far", "since_high")):
+            pdf[name] = [o[i] for o in out]
+        yield pdf[["symbol", "trade_date", "dt", "bar_no", "day_open", "high_so_far", "low_so_far", "since_high"]]
+
+    def close(self) -> None:
+        pass
+
+
+class LatencyMonitor(StatefulProcessor):
+    """Median of the last lags and what it means; the state is the lags before the next one."""
+
+    SCHEMA = "symbol STRING, seq BIGINT, lag_ms DOUBLE, median_lag_ms DOUBLE, level STRING, acceptable BOOLEAN"
+
+    def __init__(self, n: int = k.LATENCY_WINDOW, warn: float = k.LATENCY_WARN_MS, halt: float = k.LATENCY_HALT_MS):
+        self.n, self.warn, self.halt = n, warn, halt
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.lags = handle.getListState("lags", "lag_ms DOUBLE")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _rows(rows, ["ts", "seq"])
+        old = [r[0] for r in self.lags.get()] if self.lags.exists() else []
+        every = pd.Series(old + pdf["lag_ms"].tolist())
+        pdf["median_lag_ms"] = every.rolling(self.n, min_periods=1).median().tolist()[len(old):]
+        pdf["level"] = ["CRITICAL" if x > self.halt else "HIGH" if x > self.warn else "OK" for x in pdf["lag_ms"]]
+        pdf["acceptable"] = pdf["median_lag_ms"] < self.halt
+        self.lags.put([(float(x),) for x in every.tolist()[-(self.n - 1):]])
+        yield pdf[["symbol", "seq", "lag_ms", "median_lag_ms", "level", "acceptable"]]
 
     def close(self) -> None:
         pass
@@ -211,8 +296,8 @@ class LastFinished(StatefulProcessor):
         pass
 
 
-def keyed(df: DataFrame, processor: StatefulProcessor, mode: str = "None", key: str = "symbol") -> DataFrame:
-    """Run a processor per key.  Needs the RocksDB state store provider, see ``streams.configure``."""
-    return df.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.SCHEMA, outputMode="append", timeMode=mode)
+def keyed(df: DataFrame, processor: StatefulProcessor, mode: str = "None", *keys: str) -> DataFrame:
+    """Run a processor per key.  Needs the RocksDB state store provider, see ``streams.configure``.  Event-time timers need a watermark."""
+    return df.groupBy(*(keys or ("symbol",))).transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.SCHEMA, outputMode="append", timeMode=mode)
 
 

@@ -2,15 +2,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barflow.operators.stage import materialize, shared_folder
 from barflow.plans.bars import keep_last
-from barflow.streaming.processors import BarValidator, Heartbeat, LastFinished, RecentTicks, RegimeConfirmer, RepeatGuard, TickDirection, keyed
+from barflow.streaming.processors import (BarValidator, Heartbeat, LastFinished, LatencyMonitor, RecentTicks, RegimeConfirmer, RepeatGuard, SessionState,
+                                          TickDirection, keyed)
 
 C = F.col
+SLICE_ROWS = 1 << 20
+LEAST_SLICES = 3
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -52,8 +56,20 @@ def recent_ticks(ticks: DataFrame, n: int = 100) -> DataFrame:
     return keyed(ticks, RecentTicks(n))
 
 
-def silent_symbols(ticks: DataFrame, seconds: float = 300) -> DataFrame:
-    return keyed(ticks, Heartbeat(seconds), "ProcessingTime")
+def silent_symbols(ticks: DataFrame, limit: Column, lateness: str = "10 seconds") -> DataFrame:
+    """Silences beyond ``limit`` seconds (a column of the tick before the silence): symbol, ts, silent_seconds; NULL where it has not ended yet."""
+    rows = ticks.select("symbol", "ts", "seq", F.unix_micros("ts").alias("us"), (limit.cast("double") * 1e6).cast("long").alias("limit_us"))
+    found = keyed(rows.withWatermark("ts", lateness), Heartbeat(), "EventTime")
+    return found.select("symbol", F.timestamp_micros("us").alias("ts"), (C("silent_us") / 1e6).alias("silent_seconds"))
+
+
+def session_values(bars: DataFrame, ttl_seconds: float = 86400) -> DataFrame:
+    """Values that restart with every session of a symbol; the state of a past session expires."""
+    return keyed(bars.select("symbol", "trade_date", "dt", "open", "high", "low"), SessionState(ttl_seconds), "ProcessingTime", "symbol", "trade_date")
+
+
+def latencies(ticks: DataFrame, **limits) -> DataFrame:
+    return keyed(ticks.select("symbol", "ts", "seq", "lag_ms"), LatencyMonitor(**limits))
 
 
 def without_repeats(signals: DataFrame, within: str = "30 seconds") -> DataFrame:
@@ -61,9 +77,10 @@ def without_repeats(signals: DataFrame, within: str = "30 seconds") -> DataFrame
     return signals.withWatermark("ts", within).dropDuplicatesWithinWatermark(["hash"])
 
 
-def marked_repeats(signals: DataFrame, seconds: float = 30) -> DataFrame:
+def marked_repeats(signals: DataFrame, seconds: float = 30, lateness: str = "10 seconds") -> DataFrame:
     """Every signal, and whether it is kept: repeats of a kept one of the same hash within ``seconds`` are not."""
-    return keyed(signals.select("seq", "hash", "ts"), RepeatGuard(seconds), key="hash")
+    rows = signals.select("seq", "hash", "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", lateness)
+    return keyed(rows, RepeatGuard(seconds), "EventTime", "hash").withColumn("ts", F.timestamp_micros("us")).drop("us")
 
 
 def with_static(stream: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
@@ -81,34 +98,95 @@ def with_higher_timeframe(bars: DataFrame, htf: DataFrame, width: str, column: s
     return keyed(both, LastFinished()).withColumnRenamed("value", column)
 
 
-def upsert_into(path: str, keys=("symbol", "dt"), by: str = "trade_date"):
-    """A ``foreachBatch`` function: corrected rows replace stored ones.  Only the dates of the batch are rewritten."""
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_upserted(spark: SparkSession, path: str, by: str = "trade_date") -> DataFrame | None:
+    """The table that :func:`upsert_into` keeps: of every date the version that was committed last. None before the first commit."""
+    if not exists(spark, f"{path}/commits"):
+        return None
+    current = spark.read.parquet(f"{path}/commits").groupBy(by).agg(F.max("version").alias("version"))
+    return spark.read.parquet(f"{path}/rows").join(current, [by, "version"], "left_semi").drop("version")
+
+
+def upsert_into(path: str, keys=("symbol", "dt"), by: str = "trade_date") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: corrected rows replace stored ones.  Only the dates of the batch are rewritten.
+
+    A batch writes a version of its dates beside the old one, then one small file that commits it; until then readers see the old version. A batch
+    that was committed before a restart is not applied again, and one that failed half way is written anew under its own number.
+    """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.withColumn("_src", F.lit(1))
-        days = [r[0] for r in batch.select(by).distinct().collect()]  # the dates of one micro-batch
-        try:
-            stored = spark.read.parquet(path).where(C(by).isin(days)).withColumn("_src", F.lit(0))
-            fresh = stored.unionByName(fresh, allowMissingColumns=True)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        merged = materialize(keep_last(fresh, list(keys), "_src").drop("_src"))
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+        spark, done = batch.sparkSession, f"{path}/commits/version={batch_id}"
+        if exists(spark, f"{done}/_SUCCESS"):
+            return
+        fresh = materialize(batch)
+        both, stored = fresh.withColumn("_src", F.lit(1)), read_upserted(spark, path, by)
+        days = fresh.select(by).distinct()
+        if stored is not None:
+            both = stored.join(days, by, "left_semi").withColumn("_src", F.lit(0)).unionByName(both, allowMissingColumns=True)
+        merged = keep_last(both, list(keys), "_src").drop("_src")
+        merged.write.mode("overwrite").partitionBy(by).parquet(f"{path}/rows/version={batch_id}")
+        days.coalesce(1).write.mode("overwrite").parquet(done)
     return apply
 
 
-def split_late(on_time: str, late: str, lateness_seconds: int, time: str = "ts"):
-    """A ``foreachBatch`` function: rows older than the lateness against the newest row go to a side table."""
+def split_late(path: str, lateness_seconds: float, time: str = "ts", order: str = "seq") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: a row that is older by more than the lateness than the newest row that arrived before it goes to a side table.
+
+    ``order`` numbers the arrivals. The newest time seen is kept per batch, so it is carried from batch to batch and a repeated batch finds
+    what it found before. Both tables are in ``rows``, the side table under ``late=true``.
+    """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.agg(F.max(time).alias("_max"))
-        tagged = batch.crossJoin(F.broadcast(newest))  # one row
-        old = F.unix_seconds("_max") - F.unix_seconds(C(time).cast("timestamp")) > lateness_seconds
-        for cond, path in ((~old, on_time), (old, late)):
-            tagged.where(cond).drop("_max").write.mode("append").parquet(path)
+        spark, seen = batch.sparkSession, f"{path}/seen"
+        before = None
+        if exists(spark, seen):
+            before = spark.read.parquet(seen).where(C("batch") < batch_id).agg(F.max("newest")).first()[0]  # one number
+        rows = materialize(batch.withColumns({"_us": F.unix_micros(C(time).cast("timestamp")), "_part": F.floor(C(order) / 65536)}))
+        inner = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        parts = rows.groupBy("_part").agg(F.max("_us").alias("_top"))  # a line for each 65,536 arrivals of the batch
+        carried = F.max("_top").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        tagged = rows.join(parts.select("_part", carried.alias("_carried")), "_part")
+        newest = F.greatest(F.max("_us").over(inner), C("_carried"), F.lit(before).cast("long"))
+        late = F.coalesce(C("_us") < newest - int(lateness_seconds * 1_000_000), F.lit(False))
+        tagged.withColumn("late", late).drop("_us", "_part", "_carried").write.mode("overwrite").partitionBy("late").parquet(f"{path}/rows/batch={batch_id}")
+        top = rows.agg(F.greatest(F.max("_us"), F.lit(before).cast("long")).alias("newest"))
+        top.coalesce(1).write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
     return apply
 
 
+def run_in_slices(inputs: Sequence[tuple[DataFrame, str]], build: Callable[..., DataFrame], slice_rows: int = SLICE_ROWS,
+                  each: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None) -> DataFrame | None:
+    """Tables as streams that arrive in time order: slices of about ``slice_rows`` rows (of the first table) are written one after the other, and after
+    each the query goes on from its checkpoint, so what a micro-batch holds does not grow with the tables.
+
+    ``inputs`` are tables with the column they arrive by; ``build`` makes the query of their streams. Rows go to a table in the shared folder, or to ``each``.
+    Queries with processing-time state (:func:`session_values`) always ask for one more batch, so they need ``trigger={"once": True}``.
+    """
+    spark = inputs[0][0].sparkSession
+    base = f"{shared_folder(spark).rstrip('/')}/barflow-stream-{uuid.uuid4().hex}"
+
+    def when(df: DataFrame, by: str) -> Column:
+        return F.unix_micros(C(by).cast("timestamp")) if "timestamp" in dict(df.dtypes)[by] else C(by).cast("long")
+    staged = [(materialize(df), by) for df, by in inputs]
+    first, by = staged[0]
+    slices = max(LEAST_SLICES, -(-first.count() // slice_rows))
+    cuts = first.agg(F.percentile_approx(when(first, by), [i / slices for i in range(1, slices)], 10 * slices)).first()[0] or []
+    edges = [None, *cuts, None]
+    for i, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
+        for j, (df, by) in enumerate(staged):
+            inside = F.lit(True)
+            inside = inside & (when(df, by) > low) if low is not None else inside
+            inside = inside & (when(df, by) <= high) if high is not None else inside
+            df.where(inside).write.mode("append").parquet(f"{base}/in{j}")
+        stream = build(*(spark.readStream.schema(df.schema).parquet(f"{base}/in{j}") for j, (df, _) in enumerate(staged)))
+        out = stream.writeStream.option("checkpointLocation", f"{base}/_state").outputMode("append").trigger(**(trigger or {"availableNow": True}))
+        query = out.foreachBatch(each).start() if each else out.format("parquet").start(f"{base}/rows")
+        query.awaitTermination()
+    return None if each else spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
 def run_available(df: DataFrame, path: str | None = None, mode: str = "append") -> DataFrame:
     """Process what is there, into a parquet table in the shared folder, and return it as a batch frame."""
     spark = df.sparkSession

@@ -200,19 +200,34 @@ def test_context_models_score_every_row_held_out(spark, monkeypatch):
     assert seen == [{1, 2, 3, 4} - {f} for f in (1, 2, 3, 4)]
 
 
-def test_training_queries_use_the_default_number_of_trees(spark, monkeypatch):
+def test_context_features_and_the_neutral_path(spark):
+    from barflow.plans import learn as ln
+    rows = spark.sql("SELECT 1 AS id, CAST('NaN' AS DOUBLE) AS vol_ratio, CAST(NULL AS DOUBLE) AS adx_14, 2D AS bb_width, 0.6D AS proba, 0 AS test_fold, 1 AS meta")
+    full = ln.context_features(rows, [c for c in ln.META_FEATURES if c != "proba"])
+    r = full.first()
+    assert (r.vol_ratio, r.adx_14, r.bb_width, r.pressure_ratio) == (0.0, 0.0, 2.0, 0.0) and set(ln.META_FEATURES) <= set(full.columns)
+    assert ln.cross_fit_context(full, ln.META_FEATURES, "meta", "p", 2, neutral=ln.META_NEUTRAL).first().p == 0.55
+
+
+def test_small_fits_of_the_training_queries(spark, data, monkeypatch):
+    """The queries as they are, but for the number of trees: every row comes back, held out, with a probability where its fold has one."""
     from barflow.catalog import audits
-    asked = []
-
-    class Stop(Exception):
-        pass
-
-    def record(features, trees=300, *a, **b):
-        asked.append(trees)
-        raise Stop
-    monkeypatch.setattr(audits.ln, "base_pipeline", record)
-    monkeypatch.setattr(audits, "training_frame", lambda s, d: s.sql("select 1 y, 0 train_from, 0 test_fold, 1 regime union all select 0, 0, 0, 1"))
-    for query in (audits.m05, audits.m09, audits.m13):
-        with pytest.raises(Stop):
-            query(spark, "nowhere")
-    assert asked == [300] * 3
+    from barflow.plans import learn as ln
+    asked, real = [], ln.base_learners
+    monkeypatch.setattr(ln, "base_learners", lambda trees=300, **kw: asked.append(trees) or real(4, **kw))
+    monkeypatch.setattr(ln, "context_learner", lambda label, trees=100, weight=None, real=ln.context_learner: asked.append(trees) or real(label, 3, weight))
+    for name in ("oof", "importance", "stacked", "training_frame"):
+        getattr(audits, name).known.clear()
+    rows = audits.training_frame(spark, data).count()
+    folds = {(r.symbol, r.dt): r.test_fold for r in audits.training_frame(spark, data).select("symbol", "dt", "test_fold").collect()}
+    found = audits.m05(spark, data).collect()
+    assert len(found) == rows and all((r.proba is None) == (folds[r.symbol, r.dt] is None) for r in found)
+    assert all(0 <= r.proba <= 1 for r in found if r.proba is not None)
+    for query in (audits.m06, audits.m07, audits.m09):
+        assert query(spark, data).count() == rows
+    assert audits.m07(spark, data).where("proba is not null and (stacked is null or meta_conf is null)").count() == 0
+    assert audits.m07(spark, data).where("proba is null and meta_conf <> 0.55").count() == 0
+    assert audits.m13(spark, data).count() == len(audits.FEATURES)
+    assert set(asked) == {300, 100}
+    for name in ("oof", "importance", "stacked", "training_frame"):
+        getattr(audits, name).known.clear()

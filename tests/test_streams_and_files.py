@@ -49,21 +49,79 @@ def test_require_rows(spark):
     assert [{(r.n_rows, r.too_few) for r in rd.require_rows(df, n).collect()} for n in (10, 11)] == [{(10, False)}, {(10, True)}]
 
 
-def test_upsert(spark, tmp_path):
+DAY = dt.datetime(2024, 1, 2)
+
+
+def bar_rows(*rows):
+    return [(s, t, t.date(), c) for s, t, c in rows]
+
+
+def test_upsert_is_safe_to_repeat(spark, tmp_path):
     path = str(tmp_path / "t")
     apply = st.upsert_into(path)
     schema = "symbol string, dt timestamp_ntz, trade_date date, close double"
-    day = dt.datetime(2024, 1, 2)
-    for i, batch in enumerate(([("a", day, day.date(), 1.0), ("a", day + dt.timedelta(days=1), (day + dt.timedelta(days=1)).date(), 2.0)], [("a", day, day.date(), 9.0)])):
-        apply(spark.createDataFrame(batch, schema), i)
-    assert sorted(r["close"] for r in spark.read.parquet(path).collect()) == [2.0, 9.0]
-
-
-def test_late_rows(spark, tmp_path):
-    t = dt.datetime(2024, 1, 2, 10)
-    df = spark.createDataFrame([(t,), (t - dt.timedelta(minutes=10),)], "ts timestamp")
-    st.split_late(str(tmp_path / "on"), str(tmp_path / "late"), 60)(df, 0)
-    assert (spark.read.parquet(str(tmp_path / "on")).count(), spark.read.parquet(str(tmp_path / "late")).count()) == (1, 1)
+    later = DAY + dt.timedelta(days=1)
+    frames = [spark.createDataFrame(bar_rows(*r), schema) for r in ([("a", DAY, 1.0), ("a", later, 2.0)], [("a", DAY, 9.0)], [("a", DAY, 10.0)])]
+    assert st.read_upserted(spark, path) is None
+    for number in (0, 1, 0, 1):  # after a restart both are delivered again
+        apply(frames[number], number)
+        assert sorted(r["close"] for r in st.read_upserted(spark, path).collect()) == ([1.0, 2.0] if number == 0 and not st.exists(spark, f"{path}/commits/version=1") else [2.0, 9.0])
+    # A batch that wrote its rows and failed before the commit is not seen, and is written anew.
+    frames[2].write.partitionBy("trade_date").parquet(f"{path}/rows/version=2")
+    assert sorted(r["close"] for r in st.read_upserted(spark, path).collect()) == [2.0, 9.0]
+    apply(frames[2], 2)
+    assert sorted(r["close"] for r in st.read_upserted(spark, path).collect()) == [2.0, 10.0]
+
+
+def test_late_rows_are_judged_across_batches(spark, tmp_path):
+    path, minute = str(tmp_path / "t"), dt.timedelta(minutes=1)
+    apply = st.split_late(path, 60)
+    batches = [[(1, DAY), (2, DAY + 5 * minute), (3, DAY + 3 * minute)], [(4, DAY + 2 * minute), (5, DAY + 4 * minute)], [(6, DAY + 9 * minute)]]
+    for number in (0, 1, 1, 2):
+        apply(spark.createDataFrame(batches[number], "seq bigint, ts timestamp"), number)
+    assert {r.seq: r.late == "true" for r in spark.read.parquet(f"{path}/rows").collect()} == {1: False, 2: False, 3: True, 4: True, 5: False, 6: False}
+
+
+def stepwise(spark, tmp_path, slices, build, schema, wait=0.0):
+    """Rows of each slice's micro-batches, and the number of state rows after it."""
+    import time
+    st.configure(spark)
+    base, seen, state = str(tmp_path), [], []
+    for rows_ in slices:
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        stream = build(spark.readStream.schema(schema).parquet(f"{base}/in"))
+        once = {"once": True} if wait else {"availableNow": True}
+        query = stream.writeStream.option("checkpointLocation", f"{base}/c").trigger(**once).format("parquet").start(f"{base}/out")
+        query.awaitTermination()
+        every = [tuple(r) for r in spark.read.schema(stream.schema).parquet(f"{base}/out").collect()]
+        seen.append([r for r in every if r not in sum(seen, [])])
+        state.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        time.sleep(wait)
+    return seen, state
+
+
+def test_heartbeat_timer_fires_before_the_silence_ends(spark, tmp_path):
+    second = dt.timedelta(seconds=1)
+    slices = [[("a", DAY, 1), ("b", DAY, 2)], [("b", DAY + 400 * second, 3)], [("a", DAY + 500 * second, 4), ("b", DAY + 501 * second, 5)]]
+    seen, _ = stepwise(spark, tmp_path, slices, lambda s: st.silent_symbols(s, F.lit(300), "1 second"), "symbol string, ts timestamp, seq bigint")
+    assert sorted(seen[0]) == [] and sorted(seen[1], key=str) == [("a", DAY, None), ("b", DAY, 400.0)] and seen[2] == [("a", DAY, 500.0)]
+
+
+def test_state_of_repeats_and_sessions_goes(spark, tmp_path):
+    minute = dt.timedelta(minutes=1)
+    slices = [[(i, f"h{i}", DAY) for i in range(50)], [(100, "x", DAY + 9 * minute)], [(101, "x", DAY + 10 * minute), (102, "h1", DAY + 10 * minute)]]
+    seen, state = stepwise(spark, tmp_path / "r", slices, lambda s: st.marked_repeats(s, 120, "1 second"), "seq bigint, hash string, ts timestamp")
+    assert state[0] >= 50 and state[2] < 20 and {r[0]: r[2] for r in seen[2]} == {101: False, 102: True}
+    bars = [[(s, DAY + i * minute, DAY.date(), 1.0, 2.0 + i, 0.5) for s in "abcdefghij" for i in range(2)], [("a", DAY + dt.timedelta(days=1), (DAY + dt.timedelta(days=1)).date(), 3.0, 4.0, 2.0)]]
+    seen, state = stepwise(spark, tmp_path / "s", bars, lambda s: st.session_values(s, 0.5), "symbol string, dt timestamp, trade_date date, open double, high double, low double", 2.0)
+    assert state[0] >= 10 and state[1] < state[0] / 2 and seen[1][0][3:] == (1, 3.0, 4.0, 2.0, 0)
+
+
+def test_many_slices_equal_few(spark):
+    schema = "symbol string, ts timestamp, seq bigint, price double"
+    ticks = spark.createDataFrame([("ab"[i % 2], DAY + dt.timedelta(seconds=i // 3), i, float(i * 7 % 5)) for i in range(60)], schema)
+    for build in (st.tick_directions, st.recent_ticks):
+        assert rows(st.run_in_slices([(ticks, "ts")], build, 8)) == rows(st.run_in_slices([(ticks, "ts")], build))
 
 
 def test_report_and_log_sinks(spark, data, tmp_path):
@@ -79,7 +137,7 @@ def test_report_and_log_sinks(spark, data, tmp_path):
 def test_model_round_trip(spark, tmp_path):
     from barflow.plans import learn as ln
     df = spark.range(200).select((C("id") % 7).cast("double").alias("a"), (C("id") % 5).cast("double").alias("b"), (C("id") % 7 > 3).cast("int").alias("y"), F.lit(1.0).alias("weight"))
-    model = ln.base_pipeline(["a", "b"], 2).fit(df)
+    model = ln.fit_base(spark, {"all": ln.fitting_frame(df, ["a", "b"])}, ["a", "b"], 2)["all"]
     ln.save_model(model, spark.createDataFrame([(5, 0.6)], "h int, accuracy double"), str(tmp_path / "m"))
     again, meta = ln.load_model(spark, str(tmp_path / "m"))
     assert meta.first()["accuracy"] == 0.6
