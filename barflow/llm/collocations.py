@@ -7,8 +7,8 @@
    sorted n-grams of a shard are added one by one to an acyclic count transducer: states whose right sides are equal, counts
    included, are stored once. It is cut at the borders of prefix ranges (language and first two words), which come from a sample of frequent
    pairs and only balance the work.
-3. The transducers of one range are united: paths that spell the same n-gram meet, level by level, and their weights are summed. What
-   stays below ``LEAST`` goes, and the rest is one transducer again.
+3. The transducers of one range are united, 8 partitions' at a time: paths that spell the same n-gram meet, level by level, and their weights are
+   summed. What stays below ``LEAST`` at the end goes, and the rest is one transducer again.
 4. Both parts of every cut of a candidate are looked up by composition: the parts asked for in one range are an acceptor of sorted phrases, which is
    walked in step with the range's transducer. Each distinct part is asked once.
 
@@ -26,6 +26,7 @@ from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,13 +40,15 @@ WORDS = 4
 LEAST = 30
 TOP = 2000
 SHARD_WORDS = 1 << 20
-RANGE_WORDS = 8 << 20
+RANGE_WORDS = 2 << 20
+MOST_RANGES = 1 << 14
+FAN_IN_BITS = 3
 FILTER_BITS = 28
 SEGMENT_BITS = 19
 SAMPLED = 256  # one in so many word pairs is known by name to the choice of borders
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 NO_LANG = "und"
-AUTOMATON = "bucket int, lang string, words array<string>, begin array<int>, label array<int>, weight array<bigint>, target array<int>"
+AUTOMATON = "bucket int, run int, lang string, words array<string>, begin array<int>, label array<int>, weight array<bigint>, target array<int>"
 
 
 class Automaton:
@@ -301,10 +304,10 @@ def shard_automata(number: np.ndarray, level: np.ndarray, lang: np.ndarray, lexi
                 yield base + j, langs[here], build(words, grams[a:b], counts[a:b])
 
 
-def automaton_batch(rows: list[tuple[int, bytes, Automaton]]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-    columns = list(zip(*((bucket, lang.decode(), *a.row()) for bucket, lang, a in rows))) or [()] * 7
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["bucket", "lang", "words", "begin", "label", "weight", "target"])
+def automaton_batch(rows: list[tuple[int, bytes, Automaton]], run: int) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    columns = list(zip(*((bucket, run, lang.decode(), *a.row()) for bucket, lang, a in rows))) or [()] * 8
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["bucket", "run", "lang", "words", "begin", "label", "weight", "target"])
 
 
 def automata_of(table: pa.Table) -> dict[bytes, list[Automaton]]:
@@ -326,7 +329,7 @@ def shard_transducers(docs: DataFrame, power: int, table: np.ndarray, borders: l
         def out():
             columns = [np.concatenate(x) for x in zip(*held)]
             for row in shard_automata(*columns, lexicon, list(langs), cuts):
-                yield automaton_batch([row])
+                yield automaton_batch([row], TaskContext.get().partitionId())
         for data, starts, ends, hashes, keys, joined, lang, langs in word_blocks(batches):
             if not len(starts):
                 continue
@@ -350,15 +353,22 @@ def shard_transducers(docs: DataFrame, power: int, table: np.ndarray, borders: l
 
 
 def united(shards: DataFrame, least: int) -> DataFrame:
-    """One transducer for each range and language."""
-    def work(table: pa.Table) -> pa.Table:
-        bucket, rows = table.column("bucket")[0].as_py(), []
-        for lang, parts in automata_of(table).items():
-            words, grams, counts = unite(parts, least)
-            if len(grams):
-                rows.append((bucket, lang, build(words, grams, counts)))
-        return pa.Table.from_batches([automaton_batch(rows)])
-    return shards.groupBy("bucket").applyInArrow(work, AUTOMATON)
+    """One transducer for each range and language: 8 neighbouring partitions' are united at a time, so no task holds those of all shards."""
+    def step(rows: DataFrame, at_least: int) -> DataFrame:
+        def work(table: pa.Table) -> pa.Table:
+            bucket, run, rows_ = table.column("bucket")[0].as_py(), table.column("run")[0].as_py() >> FAN_IN_BITS, []
+            for lang, parts in automata_of(table).items():
+                words, grams, counts = unite(parts, at_least)
+                if len(grams):
+                    rows_.append((bucket, lang, build(words, grams, counts)))
+            return pa.Table.from_batches([automaton_batch(rows_, run)])
+        return rows.groupBy("bucket", F.shiftright("run", FAN_IN_BITS)).applyInArrow(work, AUTOMATON)
+    last = shards.agg(F.max("run")).first()[0] or 0
+    while True:
+        last >>= FAN_IN_BITS
+        shards = materialize(step(shards, 0 if last else least))
+        if not last:
+            return shards
 
 
 def phrases(automata: DataFrame) -> DataFrame:
@@ -423,9 +433,9 @@ def collocations(df: DataFrame, least: int = LEAST, top: int = TOP, percent: int
     totals = counted.where(C("key").isNull()).select(C("name").alias("lang"), "n")
     frequent = counted.where(C("key").isNotNull() & C("name").isNull()).select("key")
     words = totals.agg(F.sum("n")).first()[0] or 0
-    borders = chosen_borders(counted, max(1, -(-words // range_words)))
+    borders = chosen_borders(counted, min(MOST_RANGES, max(1, -(-words // range_words))))
     power, table = filter_table(frequent, frequent.count())
-    automata = materialize(united(materialize(shard_transducers(docs, power, table, borders, shard_words)), least))
+    automata = united(materialize(shard_transducers(docs, power, table, borders, shard_words)), least)
     found = materialize(phrases(automata).withColumn("phrase", F.concat_ws(" ", "words")))
     size = F.size("words")
     cuts = found.select("lang", "phrase", "words", "a", F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
