@@ -10,6 +10,7 @@ from barflow.operators.stage import materialize
 
 C = F.col
 HEAVY_GROUPS = 256
+SALTS = 16
 
 
 SPLIT_BITS = 33
@@ -83,6 +84,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: s
     return found.unionByName(others)
 
 
+def salted(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links with the line of their node ``u``; the neighbours of a hub are dealt over ``SALTS`` tasks."""
+    return (links.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+            .join(nodes.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS))))), ["u", "_salt"]).drop("_salt"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``component`` (smallest node of its connected group) of every node of the edges ``a``, ``b``.
 
@@ -92,10 +99,10 @@ def components(edges: DataFrame) -> DataFrame:
     links = materialize(edges.where(C("a") != C("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while not links.isEmpty():
         both = links.unionByName(links.select(C("v").alias("u"), C("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "low").alias("low"), "n")
-        large = materialize(join_groups(both, low, ["u"], "n").where(C("v") > C("u")).select(C("v").alias("u"), C("low").alias("v")))
-        low = large.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n"))
-        small = join_groups(large, low, ["u"], "n").select(F.explode(F.array(F.struct(C("u"), C("low").alias("v")), F.struct(C("v").alias("u"), C("low").alias("v")))).alias("e"))
+        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        large = salted(both, low).where(C("v") > C("u")).select(C("v").alias("u"), C("low").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        small = salted(large, low).select(F.explode(F.array(F.struct(C("u"), C("low").alias("v")), F.struct(C("v").alias("u"), C("low").alias("v")))).alias("e"))
         links = materialize(small.select("e.u", "e.v").where(C("u") != C("v")).distinct())
         # Done when no node hangs below two others, and none that others hang below hangs itself.
         ends = links.select(C("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(

@@ -138,26 +138,25 @@ def confirmed(texts: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> Dat
     if pairs.isEmpty():
         return pairs
 
+    def sets_of(column: pa.Array):
+        for block in blocks(column):
+            sets, begin = shingle_sets(block)
+            yield from (sets[i:j] for i, j in zip(begin[:-1], begin[1:]))
+
     def work(batches):
+        hub = np.zeros(0, np.uint64)
         for batch in batches:
-            begin = 0
-            while begin < batch.num_rows:
-                # Both columns are cut alike: a slice ends where either side fills a block.
-                left = next(blocks(batch.column(2).slice(begin)))
-                right = next(blocks(batch.column(3).slice(begin)))
-                n = min(len(left), len(right))
-                (x, at), (y, to) = (shingle_sets(Block(s.data[:s.offsets[n]], s.offsets[:n + 1], 0)) for s in (left, right))
-                good = []
-                for i in range(n):
-                    p, q = x[at[i]:at[i + 1]], y[to[i]:to[i + 1]]
-                    p, q = (p, q) if len(p) <= len(q) else (q, p)
-                    place = np.searchsorted(q, p)
-                    place[place == len(q)] = 0
-                    shared = int((q[place] == p).sum()) if len(q) else 0
-                    good.append(bool(shared) and 100 * shared >= percent * (len(p) + len(q) - shared))
-                keep = pa.array(good)
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(begin, n).filter(keep) for c in (0, 1)], ["a", "b"])
-                begin += n
+            heads = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            hubs, good = sets_of(batch.column(2).drop_null()), []
+            for head, mine in zip(heads, sets_of(batch.column(3))):
+                hub = next(hubs) if head else hub
+                p, q = (hub, mine) if len(hub) <= len(mine) else (mine, hub)
+                place = np.searchsorted(q, p)
+                place[place == len(q)] = 0
+                shared = int((q[place] == p).sum()) if len(q) else 0
+                good.append(bool(shared) and 100 * shared >= percent * (len(p) + len(q) - shared))
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in (0, 1)], ["a", "b"])
     # A row with many partners meets them in cells, so its text goes out once per cell; texts of rows in no pair don't move.
     cells = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"))
     dealt = join_groups(pairs, cells, ["a"], "cells").select("a", "b", F.pmod(F.xxhash64("b"), C("cells")).alias("cell"))
@@ -165,6 +164,9 @@ def confirmed(texts: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> Dat
     left = at_rows(texts, pairs.select("a")).select(C("row").alias("a"), C("text").alias("text_a")).join(cells, "a")
     left = left.select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), C("cells") - 1)).alias("cell"))
     both = dealt.join(right, "b").join(left, ["a", "cell"])
+    # Only the first row of a cell carries the text that its rows share.
+    head = F.row_number().over(Window.partitionBy("a", "cell").orderBy("b")) == 1
+    both = both.withColumn("text_a", F.when(head, F.coalesce("text_a", F.lit(""))))
     return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a bigint, b bigint"))
 
 
