@@ -30,7 +30,7 @@ SELECT trade_no, count(*) AS bars, floor((max(high))*1e6+0.5e0)/1e6 AS highest,
 def j12(spark, d):
     pos = fx.trades(spark, d).where("exit_ts is not null").select("trade_no", C("regime").alias("symbol"), "entry_ts", "exit_ts")
     bars = fx.obars(spark, d).select("symbol", "dt", "high", "low")
-    return fx.rounded(rp.excursion_summary(rp.range_join(pos, bars, bucket="month")))
+    return fx.rounded(rp.range_extremes(pos, bars))
 
 
 # Option bars: the ticks of a user are one position's premium path, a bar a minute after its entry.
@@ -241,8 +241,11 @@ def stacked(spark, d):
     from barflow.operators.stage import materialize
     rows = ln.context_features(oof(spark, d).withColumn("meta", lb.meta_label(C("proba"), C("y"))), [c for c in ln.META_FEATURES if c != "proba"])
     context = ["proba", "regime", "session_pct", "iv_proxy", "atr_14_pct", "adx_14", "dmi_diff"]
-    stack = ln.cross_fit_context(rows, context, "y", "stacked", weight="weight")
-    return materialize(ln.cross_fit_context(stack, ln.META_FEATURES, "meta", "meta_conf", weight="weight", neutral=ln.META_NEUTRAL))
+    rows = materialize(rows)
+    stack, meta = ln.in_parallel(spark, [
+        lambda: materialize(ln.cross_fit_context(rows, context, "y", "stacked", weight="weight")),
+        lambda: materialize(ln.cross_fit_context(rows, ln.META_FEATURES, "meta", "meta_conf", weight="weight", neutral=ln.META_NEUTRAL))])
+    return materialize(stack.join(meta.select("symbol", "dt", "meta_conf"), ["symbol", "dt"]))
 
 
 @register("m07_stacker_and_meta")
@@ -255,9 +258,9 @@ def m09(spark, d):
     """Global and regime models side by side, each row scored by models of folds that end before it."""
     from barflow.operators.stage import materialize
     from barflow.plans.votes import blend_expert
-    rows = oof(spark, d).withColumnRenamed("proba", "p_global").drop("n_train")
-    expert = F.when(C("regime").isin(*ln.EXPERT_REGIMES), C("regime"))
-    out = materialize(ln.out_of_fold(rows, FEATURES, by=expert, name="p_regime"))
+    expert, frame = F.when(C("regime").isin(*ln.EXPERT_REGIMES), C("regime")), training_frame(spark, d)
+    whole, part = ln.in_parallel(spark, [lambda: oof(spark, d), lambda: materialize(ln.out_of_fold(frame, FEATURES, by=expert, name="p_regime"))])
+    out = part.join(whole.select("symbol", "dt", C("proba").alias("p_global")), ["symbol", "dt"])
     return fx.rounded(out.withColumn("p", blend_expert(C("p_regime"), C("p_global"), F.lit(0.6))), "symbol", "dt", "regime", "p_global", "p_regime", "p")
 
 

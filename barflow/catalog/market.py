@@ -77,15 +77,16 @@ def g03(spark, d):
     return out.select("symbol", "dt", rg.rule_regime_single(C("vol") / 30.0, C("adx"), C("n")).alias("regime"))
 
 
-MIXTURE_SPLIT = "1996-01-01"
+TRAIN_SHARE = 0.5
 
 
 @register("g04_mixture_regime")
 def g04(spark, d):
-    z = rg.standardize(rg.regime_inputs(fx.obars(spark, d)), causal=True)
-    # States and transitions come from the years before the split; only later rows are judged with them.
-    later = F.lit(MIXTURE_SPLIT).cast("date")
-    return rg.filter_states(z, rg.fit_states(z.where(C("dt") < later))).where(C("dt") >= later)
+    """States and transitions come from the first half of the dates; only later rows are judged with them, earlier ones stay without a regime."""
+    from barflow.operators.stage import materialize
+    z = materialize(rg.standardize(rg.regime_inputs(fx.obars(spark, d)), causal=True))
+    early = rg.first_share(z, TRAIN_SHARE)
+    return rg.filter_states(z, rg.fit_states(z.where(early)), ~early)
 
 
 # Bar-level inputs for the rule ladders, made from the bars by arithmetic both engines do alike.
@@ -173,12 +174,12 @@ def g12(spark, d):
     return rg.crisis_cooldowns(regime_bars(spark, d)).select("symbol", "dt", "entry_cooldown", "post_crisis_block")
 
 
-@register("g13_day_quality", f"""{PS}, l AS (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY symbol, trade_date ORDER BY dt)=6),
-i AS (SELECT *, {flag('conf<0.6e0')}+{flag('(adx+adx5)/2<30')}+{flag('(rsi>80 OR rsi<20) AND (rsi5>75 OR rsi5<25)')}+{flag('bbw<0.15e0')} AS n FROM l) SELECT symbol, trade_date, CASE WHEN n>=2 THEN 'BAD' ELSE 'GOOD' END AS quality FROM i""")
+@register("g13_day_quality", f"""{PS}, l AS (SELECT *, count(*) OVER (PARTITION BY symbol, trade_date) AS n_bars FROM ps QUALIFY row_number() OVER (PARTITION BY symbol, trade_date ORDER BY dt)=least(6, count(*) OVER (PARTITION BY symbol, trade_date))),
+i AS (SELECT *, {flag('conf<0.6e0')}+{flag('(adx+adx5)/2<30')}+{flag('(rsi>80 OR rsi<20) AND (rsi5>75 OR rsi5<25)')}+{flag('bbw<0.15e0')} AS n FROM l) SELECT symbol, trade_date, n_bars, n_bars<6 AS too_few, CASE WHEN n>=2 THEN 'BAD' ELSE 'GOOD' END AS quality FROM i""")
 def g13(spark, d):
-    from pyspark.sql import Window
-    p = pseudo(spark, d).withColumn("_n", F.row_number().over(Window.partitionBy("symbol", "trade_date").orderBy("dt"))).where("_n = 6")
-    return p.select("symbol", "trade_date", rg.day_quality(C("conf"), C("adx"), C("adx5"), C("rsi"), C("rsi5"), C("bbw")).alias("quality"))
+    """The sixth bar of every session decides; in a shorter one the last bar does, and ``too_few`` says so."""
+    p = rg.deciding_bars(pseudo(spark, d), 6)
+    return p.select("symbol", "trade_date", "n_bars", "too_few", rg.day_quality(C("conf"), C("adx"), C("adx5"), C("rsi"), C("rsi5"), C("bbw")).alias("quality"))
 
 
 @register("a18_regime_mix", f"""{REG}, m AS (SELECT symbol, dt, {over('avg(CASE WHEN regime=1 THEN 1e0 ELSE 0e0 END)', '9 PRECEDING', 'CURRENT ROW')} AS s, {over('count(*)', '9 PRECEDING', 'CURRENT ROW')} AS n FROM rp)
@@ -187,7 +188,15 @@ def a18(spark, d):
     return fx.rounded(rg.regime_mix(regime_bars(spark, d)), "symbol", "dt", "ranging_share", "conf_boost")
 
 
-@register("q02_hysteresis")
+HYST = f"""WITH RECURSIVE {REG[5:]}, x AS (SELECT symbol, trade_date, dt, regime AS r, row_number() OVER (PARTITION BY symbol ORDER BY dt) AS rn FROM rp),
+h AS (SELECT symbol, trade_date, dt, rn, 1 AS cur, 5 AS held, CASE WHEN r=1 THEN -9 ELSE r END AS pend, CASE WHEN r=1 THEN 0 ELSE 1 END AS cnt, 1::BIGINT AS since FROM x WHERE rn=1 UNION ALL
+ SELECT symbol, trade_date, dt, rn, CASE WHEN flip THEN p1 ELSE cur END, CASE WHEN flip THEN 0 ELSE held+1 END, CASE WHEN flip THEN -9 ELSE p1 END, CASE WHEN flip THEN 0 ELSE c1 END, CASE WHEN flip THEN 0 ELSE since+1 END FROM
+ (SELECT *, c1>=3 AND held >= CASE cur WHEN 0 THEN 6 WHEN 1 THEN 4 WHEN 2 THEN 1 ELSE 4 END AS flip FROM
+  (SELECT x.symbol, x.trade_date, x.dt, x.rn, cur, since, CASE WHEN x.trade_date<>h.trade_date THEN 0 ELSE held END AS held, CASE WHEN r=cur THEN -9 ELSE r END AS p1,
+   CASE WHEN r=cur THEN 0 WHEN x.trade_date=h.trade_date AND r=pend THEN cnt+1 ELSE 1 END AS c1 FROM h JOIN x ON x.symbol=h.symbol AND x.rn=h.rn+1)))"""
+
+
+@register("q02_hysteresis", f"""{HYST} SELECT symbol, dt, cur AS confirmed_regime, since AS bars_since_flip, floor((1-exp(-since/(5e0+1e-9)))*1e6+0.5e0)/1e6 AS conf_ramp FROM h""")
 def q02(spark, d):
     return fx.rounded(rg.hysteresis(regime_bars(spark, d)), "symbol", "dt", "confirmed_regime", "bars_since_flip", "conf_ramp")
 

@@ -112,11 +112,10 @@ def p15(spark, d):
     return fx.rounded(featured(spark, d).na.fill(0.0, FEATS), "symbol", "dt", *FEATS)
 
 
-@register("p10_usable_features", "SELECT * FROM (VALUES ('atr_14'), ('rsi_14'), ('adx_14')) AS t(feature)")
+@register("p10_usable_features", f"{V('bars')},\n{FT} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count({e}) AS n_known, count(*) AS n_rows, count({e})>0 AS usable FROM {FL}"
+                                                                           for c, e in (("atr_14", "atr_14"), ("rsi_14", "rsi_14"), ("adx_14", "adx_14"), ("empty", "CAST(NULL AS DOUBLE)"))))
 def p10(spark, d):
-    df = featured(spark, d).withColumn("empty", F.lit(None).cast("double"))
-    names = ql.usable_features(df, ["atr_14", "rsi_14", "adx_14", "empty"])
-    return df.select(*names).limit(0).select(F.lit("").alias("feature")).unionByName(spark.createDataFrame([(n,) for n in names], "feature string"))
+    return ql.feature_usability(featured(spark, d).withColumn("empty", F.lit(None).cast("double")), ["atr_14", "rsi_14", "adx_14", "empty"])
 
 
 @register("p16_column_plumbing", f"{V('bars')} SELECT symbol, dt AS bar_time, {R('close')}, session_open, floor((session_pct)*1e6+0.5e0)/1e6 AS session_pct, session_pm FROM bars")

@@ -139,16 +139,17 @@ def q03(spark, d):
     return ss.pullback_entry(f.join(v, ["symbol", "dt"])).select("symbol", "dt", "direction", "entry", "entry_state")
 
 
-@register("q06_horizon_weights", f"""WITH RECURSIVE {V('scored')[5:]}, x AS (SELECT symbol, trade_date, dt, h, CASE WHEN close>open THEN 1e0 ELSE 0e0 END AS won, row_number() OVER (PARTITION BY symbol, trade_date ORDER BY dt) AS rn
- FROM scored WHERE h = ([1, 5, 15, 30])[CAST(extract(hour FROM dt) AS INTEGER)%4+1]),
-s AS (SELECT symbol, trade_date, 0::BIGINT AS rn, NULL::TIMESTAMP AS dt, 0.05e0 AS w1, 0.20e0 AS w5, 0.45e0 AS w15, 0.30e0 AS w30 FROM x WHERE rn=1 UNION ALL
- SELECT symbol, trade_date, rn, dt, a/(((a+b)+c)+e+1e-9), b/(((a+b)+c)+e+1e-9), c/(((a+b)+c)+e+1e-9), e/(((a+b)+c)+e+1e-9) FROM
- (SELECT x.symbol, x.trade_date, x.rn, x.dt, CASE WHEN h=1 THEN 0.95e0*w1+0.05e0*won ELSE w1 END AS a, CASE WHEN h=5 THEN 0.95e0*w5+0.05e0*won ELSE w5 END AS b,
-  CASE WHEN h=15 THEN 0.95e0*w15+0.05e0*won ELSE w15 END AS c, CASE WHEN h=30 THEN 0.95e0*w30+0.05e0*won ELSE w30 END AS e FROM s JOIN x ON x.symbol=s.symbol AND x.trade_date=s.trade_date AND x.rn=s.rn+1) AS q)
-SELECT symbol, dt, {R('w1', 'w5', 'w15', 'w30')} FROM s WHERE rn>0""")
+@register("q06_horizon_weights", f"""WITH RECURSIVE {V('scored')[5:]}, x AS (SELECT symbol, trade_date, dt, h, CASE WHEN close>open THEN 1e0 ELSE 0e0 END AS won, row_number() OVER (PARTITION BY symbol, trade_date ORDER BY dt, h) AS rn
+ FROM scored),
+s AS (SELECT symbol, trade_date, 0::BIGINT AS rn, NULL::TIMESTAMP AS dt, 0::INTEGER AS h, 0.05e0 AS w1, 0.20e0 AS w5, 0.45e0 AS w15, 0.30e0 AS w30 FROM x WHERE rn=1 UNION ALL
+ SELECT symbol, trade_date, rn, dt, h, a/(((a+b)+c)+e+1e-9), b/(((a+b)+c)+e+1e-9), c/(((a+b)+c)+e+1e-9), e/(((a+b)+c)+e+1e-9) FROM
+ (SELECT x.symbol, x.trade_date, x.rn, x.dt, x.h, CASE WHEN x.h=1 THEN 0.95e0*w1+0.05e0*won ELSE w1 END AS a, CASE WHEN x.h=5 THEN 0.95e0*w5+0.05e0*won ELSE w5 END AS b,
+  CASE WHEN x.h=15 THEN 0.95e0*w15+0.05e0*won ELSE w15 END AS c, CASE WHEN x.h=30 THEN 0.95e0*w30+0.05e0*won ELSE w30 END AS e FROM s JOIN x ON x.symbol=s.symbol AND x.trade_date=s.trade_date AND x.rn=s.rn+1) AS q)
+SELECT symbol, dt, h, {R('w1', 'w5', 'w15', 'w30')} FROM s WHERE rn>0""")
 def q06(spark, d):
-    s = fx.scored(spark, d).where(C("h") == F.element_at(F.array(F.lit(1), F.lit(5), F.lit(15), F.lit(30)), (F.pmod(F.hour("dt"), F.lit(4)) + 1).cast("int")))
-    return fx.rounded(ss.horizon_weights(s.withColumn("won", C("close") > C("open"))), "symbol", "dt", "w1", "w5", "w15", "w30")
+    """Every scored row of every horizon moves the weights, in the order of time and horizon."""
+    s = fx.scored(spark, d).withColumn("won", C("close") > C("open"))
+    return fx.rounded(ss.horizon_weights(s, order=["dt", "h"]), "symbol", "dt", "h", "w1", "w5", "w15", "w30")
 
 
 # --- gates ----------------------------------------------------------------------------------------------------------

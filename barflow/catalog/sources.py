@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barflow.catalog import fixtures as fx
 from barflow.catalog.joins import ORACLES as JOIN_ORACLES
-from barflow.catalog.market import regime_bars
+from barflow.catalog.market import HYST, regime_bars
 from barflow.catalog.quality import DIRTY, MAX_STEP_PCT, MAX_STEP_SECONDS, VALIDATED, dirty
 from barflow.catalog.trading import LV, REPEATS, ledger, signals
 from barflow.operators.stage import shared_folder
@@ -170,7 +170,7 @@ def r09(spark, d):
 QUERIES["r09_stream_duplicates"], ORACLES["r09_stream_duplicates"] = r09, REPEATS
 
 
-@register("r13_stream_hysteresis")
+@register("r13_stream_hysteresis", f"{HYST} SELECT symbol, dt, cur AS confirmed_regime, since AS bars_since_flip FROM h")
 def r13(spark, d):
     st.configure(spark)
     out = st.run_in_slices([in_time(regime_bars(spark, d), ["symbol", "dt", "regime"])], st.confirmed_regimes)

@@ -18,7 +18,7 @@ from barflow.functions.numeric import cut
 from barflow.operators.scans import drawdown, running
 
 C = F.col
-FITS_AT_ONCE = 8
+FITS_AT_ONCE = 16
 FIT_BYTES = 32 << 20
 #: What the correctness predictor sees beside the probability.
 META_FEATURES = ("proba", "regime", "session_pct", "iv_proxy", "atr_14_pct", "adx_14", "dmi_diff", "tick_imbalance", "vwap_dev_vel", "pressure_ratio",

@@ -48,6 +48,13 @@ def usable_features(df: DataFrame, features: Sequence[str]) -> list[str]:
     return [c for c in features if row[c] > 0]
 
 
+def feature_usability(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """A row per feature: its known values, all rows, and whether any value is known."""
+    counts = df.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(c).alias(c) for c in features])
+    long = counts.unpivot("n_rows", list(features), "feature", "n_known")
+    return long.select("feature", "n_known", "n_rows", (C("n_known") > 0).alias("usable"))
+
+
 def live_features(features: Sequence[str], unavailable: Sequence[str]) -> list[str]:
     return [c for c in features if c not in set(unavailable)]
 

@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -89,28 +91,70 @@ def fit_states(z: DataFrame, columns=tuple(f"z_{c}" for c in INPUTS), seed: int
             "trans": (trans / trans.sum(axis=1, keepdims=True)).tolist(), "names": names, "columns": list(columns)}
 
 
-def filter_states(z: DataFrame, states: dict) -> DataFrame:
-    """Regime and confidence from the forward recursion: only rows up to t are used at t.  Runs on daily rows."""
+def first_share(df: DataFrame, share: float, order: str = "dt") -> Column:
+    """Whether a row lies in the first ``share`` of the distinct days of all symbols, which are bounded by the calendar."""
+    days = df.select(F.unix_date(F.to_date(order)).alias("d")).distinct()
+    cut = days.agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY d)")).first()[0]  # one date
+    return F.unix_date(F.to_date(order)) <= F.lit(cut)
+
+
+def filter_states(z: DataFrame, states: dict, scored: Column | None = None, rows_per_chunk: int | None = None) -> DataFrame:
+    """Regime and confidence from the forward recursion: only rows up to t are used at t.
+
+    A step is a product with a 3 x 3 matrix (transitions times the likelihoods of the row), so a chunk of rows is one matrix. Chunks report theirs,
+    scaled to a sum of one; those of a symbol are folded, and every chunk runs once from its true entry. The recursion begins with the first row
+    that is ``scored``; rows that are not, or that miss an input, stay with nulls.
+    """
+    from barflow.operators.chunks import CHUNK, HALO, with_chunks
     means, covs = [np.array(m) for m in states["means"]], [np.array(c) for c in states["covs"]]
     inv = [np.linalg.inv(c) for c in covs]
     norm = [-0.5 * np.linalg.slogdet(c)[1] for c in covs]
     trans, start, names, cols = np.array(states["trans"]), np.array(states["weights"]), states["names"], states["columns"]
-    schema = StructType([z.schema["symbol"], z.schema["dt"], StructField("regime", IntegerType()), StructField("confidence", DoubleType())])
+    known = reduce(and_, [C(c).isNotNull() & ~F.isnan(c) for c in cols])
+    wanted = F.coalesce(known & (F.lit(True) if scored is None else scored), F.lit(False))
+    sym, dt = z.schema["symbol"], z.schema["dt"]
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("dt", kind="stable")
+    def likelihoods(pdf: pd.DataFrame) -> np.ndarray:
         x = pdf[cols].to_numpy(float)
         like = np.stack([n - 0.5 * np.einsum("ij,jk,ik->i", x - m, i, x - m) for m, i, n in zip(means, inv, norm)], axis=1)
-        like = np.exp(like - like.max(axis=1, keepdims=True))
-        post, p = np.empty_like(like), start
-        for t in range(len(x)):
-            p = (p if t == 0 else p @ trans) * like[t]
+        return np.exp(like - like.max(axis=1, keepdims=True))
+
+    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Product of the chunk's steps, without the transition into its first row."""
+        like = likelihoods(pdf.sort_values("dt", kind="stable"))
+        m = np.diag(like[0])
+        for row in like[1:]:
+            m = (m @ trans) * row
+            m = m / m.sum()
+        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], CHUNK: [pdf[CHUNK].iloc[0]], "m": [m.ravel().tolist()]})
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, p, entries = pdf.sort_values(CHUNK), start, []
+        for i, m in enumerate(pdf["m"]):
+            p = p if i == 0 else p @ trans
+            entries.append((p / p.sum()).tolist())
+            p = p @ np.array(m).reshape(3, 3)
+            p = p / p.sum()
+        return pd.DataFrame({"symbol": pdf["symbol"].values, CHUNK: pdf[CHUNK].values, "_entry": entries})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("dt", kind="stable")
+        like, p = likelihoods(pdf), np.array(pdf["_entry"].iloc[0])
+        post = np.empty_like(like)
+        for t, row in enumerate(like):
+            p = (p if t == 0 else p @ trans) * row
             p = p / p.sum()
             post[t] = p
         best = post.argmax(axis=1)
-        return pd.DataFrame({"symbol": pdf["symbol"].values, "dt": pdf["dt"].values, "regime": [names[int(b)] for b in best],
-                             "confidence": post.max(axis=1)})
-    return z.na.drop(subset=cols).groupBy("symbol").applyInPandas(kernel, schema)
+        return pd.DataFrame({"symbol": pdf["symbol"].values, "dt": pdf["dt"].values, "regime": [names[int(b)] for b in best], "confidence": post.max(axis=1)})
+    rows = with_chunks(z.where(wanted).select("symbol", "dt", *cols), 0, bucket="year", rows_per_chunk=rows_per_chunk).where(~C(HALO)).drop(HALO)
+    part, vector = StructField(CHUNK, LongType()), ArrayType(DoubleType())
+    entries = (rows.groupBy("symbol", CHUNK).applyInPandas(summarize, StructType([sym, part, StructField("m", vector)]))
+               .groupBy("symbol").applyInPandas(fold, StructType([sym, part, StructField("_entry", vector)])))
+    out = rows.join(entries, ["symbol", CHUNK]).groupBy("symbol", CHUNK).applyInPandas(
+        run, StructType([sym, dt, StructField("regime", IntegerType()), StructField("confidence", DoubleType())]))
+    rest = z.where(~wanted).select("symbol", "dt", F.lit(None).cast("int").alias("regime"), F.lit(None).cast("double").alias("confidence"))
+    return out.unionByName(rest)
 
 
 # --- per-row rules --------------------------------------------------------------------------------------------------
@@ -221,6 +265,13 @@ def regime_mix(df: DataFrame, n: int = 10, bucket: str = "day", rows_per_chunk:
     return out.withColumn("conf_boost", F.when((C("_n") >= 5) & (C("ranging_share") >= 0.70), 0.05).otherwise(0.0)).drop("_n")
 
 
+def deciding_bars(bars: DataFrame, n: int) -> DataFrame:
+    """The ``n``-th bar of every session, or its last one where it has fewer (``too_few``), with the number of its bars."""
+    by = Window.partitionBy("symbol", "trade_date")
+    out = bars.withColumns({"_n": F.row_number().over(by.orderBy("dt")), "n_bars": F.count(F.lit(1)).over(by)})
+    return out.where(C("_n") == F.least(F.lit(n), C("n_bars"))).withColumn("too_few", C("n_bars") < n).drop("_n")
+
+
 def day_quality(conf: Column, adx: Column, adx5: Column, rsi: Column, rsi5: Column, bb_width: Column) -> Column:
     tired = ((rsi > 80) | (rsi < 20)) & ((rsi5 > 75) | (rsi5 < 25))
     issues = flag(conf < 0.60) + flag((adx + adx5) / 2 < 30) + flag(tired) + flag(bb_width < 0.15)

@@ -11,25 +11,75 @@ from pyspark.sql import functions as F
 
 from barflow import constants as k
 from barflow.functions import pricing
-
+from barflow.operators.stage import materialize
 
 C = F.col
 
 
-def range_join(positions: DataFrame, bars: DataFrame, *, key: str = "symbol", start: str = "entry_ts", end: str = "exit_ts", time: str = "dt",
-               bucket: str = "month") -> DataFrame:
-    """Positions with the bars of their key between start and end.  The range is cut into time buckets, so the join is an
-    equi-join on (key, bucket) that spreads a hot key over its buckets; AQE splits what is still skewed."""
-    step = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY", "month": "INTERVAL 1 MONTH"}[bucket]
-    lo, hi = F.date_trunc(bucket, start).cast("timestamp_ntz"), F.date_trunc(bucket, end).cast("timestamp_ntz")
-    left = positions.where(C(end) >= C(start)).withColumn("_b", F.explode(F.sequence(lo, hi, F.expr(step))))
-    right = bars.withColumn("_b", F.date_trunc(bucket, time).cast("timestamp_ntz"))
-    return left.join(right, [key, "_b"]).where(C(time).between(C(start), C(end))).drop("_b")
+def _ordinal(time: Column, bucket: str) -> Column:
+    """Number of the time bucket, without gaps."""
+    if bucket == "month":
+        return (F.year(time) * 12 + F.month(time)).cast("long")
+    if bucket == "day":
+        return F.unix_date(F.to_date(time)).cast("long")
+    return F.floor(F.unix_seconds(time.cast("timestamp")) / 3600)
+
+
+def _doubled(table: DataFrame, by: list[str], order: str, levels: int) -> DataFrame:
+    """Sparse table: at level k the maximum and minimum of 2^k consecutive rows from each row on."""
+    w = Window.partitionBy(*by).orderBy(order)
+    out = table.withColumns({"_h0": C("hi"), "_l0": C("lo")})
+    for n in range(1, levels):
+        step = 1 << (n - 1)
+        out = out.withColumns({f"_h{n}": F.greatest(f"_h{n - 1}", F.lead(f"_h{n - 1}", step).over(w)), f"_l{n}": F.least(f"_l{n - 1}", F.lead(f"_l{n - 1}", step).over(w))})
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), C(f"_h{n}").alias("hi"), C(f"_l{n}").alias("lo")) for n in range(levels)]))
+    return out.select(*by, C(order).alias("start"), cells.alias("_c")).select(*by, "start", "_c.*")
 
 
-def excursion_summary(joined: DataFrame, key: str = "trade_no") -> DataFrame:
-    """Bars held, highest high and lowest low of each position."""
-    return joined.groupBy(key).agg(F.count(F.lit(1)).alias("bars"), F.max("high").alias("highest"), F.min("low").alias("lowest"))
+def range_extremes(positions: DataFrame, bars: DataFrame, *, pos: str = "trade_no", key: str = "symbol", start: str = "entry_ts", end: str = "exit_ts",
+                   time: str = "dt", bucket: str = "month") -> DataFrame:
+    """Number of bars, highest high and lowest low between start and end of each position, by a two-level range index.
+
+    Bars are numbered within their (key, time bucket). A range is at most three runs: bars of its first bucket, whole buckets, bars of its last one.
+    Any run is covered by two overlapping blocks of a power of two, which sparse tables of bars and of buckets hold, so a position looks up six rows
+    at most, however many bars it spans. Positions find their bar numbers by a running count over bars and positions together: no pairs.
+    """
+    b = bars.select(key, C(time).alias("_t"), _ordinal(C(time), bucket).alias("part"), C("high").alias("hi"), C("low").alias("lo"))
+    p = positions.where(C(end) >= C(start)).select(pos, key, C(start).alias("_s"), C(end).alias("_e"), _ordinal(C(start), bucket).alias("_p0"), _ordinal(C(end), bucket).alias("_p1"))
+    # Bars before the start and up to the end, within their buckets.
+    events = (b.select(key, "part", "_t", F.lit(1).alias("kind"), F.lit(1).alias("one"), F.lit(None).cast(p.schema[pos].dataType).alias(pos))
+              .unionByName(p.select(key, C("_p0").alias("part"), C("_s").alias("_t"), F.lit(0).alias("kind"), F.lit(0).alias("one"), pos))
+              .unionByName(p.select(key, C("_p1").alias("part"), C("_e").alias("_t"), F.lit(2).alias("kind"), F.lit(0).alias("one"), pos)))
+    count = F.sum("one").over(Window.partitionBy(key, "part").orderBy("_t", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = events.withColumn("n", count).where("kind <> 1").groupBy(pos).agg(F.max(F.when(C("kind") == 0, C("n"))).alias("_i0"), F.max(F.when(C("kind") == 2, C("n"))).alias("_i1"))
+    # Buckets of each key, without gaps, and how many bars lie before them.
+    full = b.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n"), F.max("hi").alias("hi"), F.min("lo").alias("lo"))
+    span = full.groupBy(key).agg(F.min("part").alias("_first"), F.max("part").alias("_last"))
+    grid = span.select(key, F.explode(F.sequence("_first", "_last")).alias("part")).join(full, [key, "part"], "left")
+    so_far = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    grid = materialize(grid.withColumn("upto", so_far))
+    most = grid.agg(F.max("n").alias("rows"), F.max(C("part")).alias("hi"), F.min(C("part")).alias("lo")).first()  # three numbers
+    row_levels, top_levels = max(1, int(most["rows"] or 1).bit_length()), max(1, int((most["hi"] or 0) - (most["lo"] or 0) + 1).bit_length())
+    number = (F.row_number().over(Window.partitionBy(key, "part").orderBy("_t")) - 1).cast("long")
+    index = (_doubled(b.withColumn("i", number), [key, "part"], "i", row_levels).withColumn("top", F.lit(False))
+             .unionByName(_doubled(grid, [key], "part", top_levels).withColumns({"top": F.lit(True), "part": F.lit(0).cast("long")})))
+    here = (p.join(found, pos).join(span, key)
+            .join(grid.select(key, C("part").alias("_p0"), C("n").alias("_n0"), C("upto").alias("_u0")), [key, "_p0"], "left")
+            .withColumns({"_a": F.greatest(C("_p0") + 1, C("_first")), "_z": F.least(C("_p1") - 1, C("_last"))})
+            .join(grid.select(key, C("part").alias("_a"), (C("upto") - F.coalesce("n", F.lit(0))).alias("_ua")), [key, "_a"], "left")
+            .join(grid.select(key, C("part").alias("_z"), C("upto").alias("_uz")), [key, "_z"], "left"))
+    one_bucket, zero = C("_p0") == C("_p1"), F.lit(0).cast("long")
+
+    def run(top: bool, part: Column, low: Column, high: Column, when: Column, n: Column):
+        return F.when(when & (low <= high), F.struct(F.lit(top).alias("top"), part.alias("part"), low.cast("long").alias("low"), high.cast("long").alias("high"), n.cast("long").alias("n")))
+    runs = [run(False, C("_p0"), C("_i0"), F.when(one_bucket, C("_i1")).otherwise(C("_n0")) - 1, C("_n0").isNotNull(), F.when(one_bucket, C("_i1")).otherwise(C("_n0")) - C("_i0")),
+            run(True, zero, C("_a"), C("_z"), ~one_bucket, C("_uz") - C("_ua")), run(False, C("_p1"), zero, C("_i1") - 1, ~one_bucket, C("_i1"))]
+    asked = here.select(pos, key, F.explode(F.filter(F.array(*runs), lambda r: r.isNotNull())).alias("_r")).select(pos, key, "_r.*")
+    level = F.length(F.bin(C("high") - C("low") + 1)) - 1
+    blocks = asked.withColumn("level", level).select(pos, key, "top", "part", "level", F.explode(F.array(
+        F.struct(C("low").alias("start"), C("n")), F.struct((C("high") - F.expr("shiftleft(1L, level)") + 1).alias("start"), zero.alias("n")))).alias("_b")).select("*", "_b.*").drop("_b")
+    hits = blocks.join(index, [key, "top", "part", "level", "start"])
+    return hits.groupBy(pos).agg(F.sum("n").alias("bars"), F.max("hi").alias("highest"), F.min("lo").alias("lowest")).where("bars > 0")
 
 
 def position_state(marks: DataFrame) -> DataFrame:
