@@ -204,14 +204,43 @@ GATE_SQL = f"""{V('scored')}, {PSEUDO}, {vote_sql(False)}, {WIDE}, {GATE_IN}, g1
  g6 AS (SELECT *, CASE {' '.join(f"WHEN {c} THEN '{n}'" for n, c in GATES)} END AS block_reason FROM g5)"""
 
 
-@register("b01_gate_funnel_v4", f"{GATE_SQL} SELECT symbol, dt, floor((fc)*1e6+0.5e0)/1e6 AS final_conf, block_reason, block_reason IS NULL AS passes FROM g6")
+def pullback_sql(source: str, direction: str, strict: bool, tag: str) -> str:
+    """The pending-entry machine walked row by row over the rows of ``source`` that passed; ``out`` has the reason of every row."""
+    band = "greatest(vwap*0.003e0, atr*0.5e0)" if strict else "atr"
+    loose = "false" if strict else "flip AND near"
+    done = f"outcome='ENTRY' AND NOT ({loose})" + (" OR outcome='EXPIRED'" if strict else "")
+    return f"""pv AS (SELECT *, close+((prem%11)-5)*0.8e0 AS vwap, ar+1 AS atr, CASE WHEN {direction}='UP' THEN 1 ELSE -1 END AS sgn FROM {source}),
+x AS (SELECT symbol, trade_date, dt, {direction} AS side, vwap>0 AND abs(close-vwap)<={band} AS near, f5*0.4e0*sgn>0.08e0 AND slope*0.7e0*sgn>0.15e0 AS resuming, (close-vwap)*sgn>0 AS rightside,
+ row_number() OVER (PARTITION BY symbol, trade_date ORDER BY dt) AS rn FROM pv WHERE block_reason IS NULL AND NOT bypass AND {direction} IS NOT NULL),
+pb AS (SELECT symbol, trade_date, 0::BIGINT AS rn, NULL::TIMESTAMP AS dt, NULL::VARCHAR AS st, 0 AS age, false AS touched, '' AS outcome FROM x WHERE rn=1 UNION ALL
+ SELECT symbol, trade_date, rn, dt, CASE WHEN {done} THEN NULL ELSE side END, CASE WHEN {done} THEN 0 ELSE a2 END, CASE WHEN {done} THEN false ELSE t2 END, outcome FROM
+ (SELECT *, CASE WHEN {loose} THEN 'ENTRY' WHEN fresh AND NOT near THEN 'WAIT_PULLBACK' WHEN NOT t2 THEN 'WAIT_VWAP' WHEN NOT resuming AND a2<10 THEN 'WAIT_RESUME' WHEN NOT resuming AND NOT rightside THEN 'EXPIRED' ELSE 'ENTRY' END AS outcome FROM
+ (SELECT *, flip OR s1 IS NULL AS fresh, CASE WHEN flip OR s1 IS NULL THEN 0 ELSE a1 END AS a2, CASE WHEN flip OR s1 IS NULL THEN near ELSE t1 OR near END AS t2 FROM
+ (SELECT *, coalesce(s1<>side, false) AS flip FROM
+ (SELECT x.*, CASE WHEN age+1>12 THEN NULL ELSE st END AS s1, age+1 AS a1, touched AS t1 FROM pb JOIN x ON x.symbol=pb.symbol AND x.trade_date=pb.trade_date AND x.rn=pb.rn+1))))),
+out AS (SELECT pv.* EXCLUDE (block_reason), coalesce(pv.block_reason, CASE WHEN outcome<>'ENTRY' THEN '{tag}' END) AS block_reason, coalesce(outcome, '') AS entry_state FROM pv LEFT JOIN pb USING (symbol, trade_date, dt))"""
+
+
+def entry_inputs(df):
+    """VWAP, ATR, its drift and the tick imbalance beside the gate inputs."""
+    return df.withColumns({"vwap": C("close") + ((C("atm_premium") % 11) - 5) * 0.8, "atr_14": C("atr_ratio") + 1, "vwap_dev_vel": C("ret5m_fd") * 0.4, "tick_imbalance": C("adx_slope") * 0.7})
+
+
+def funnel_v4(spark, d):
+    return gt.entry_gate(entry_inputs(gt.gate_funnel_v4(gate_inputs(spark, d))), "EntryV4", strict=False)
+
+
+FUNNEL4 = f"WITH RECURSIVE {GATE_SQL[5:]}, {pullback_sql('g6', 'direction', False, 'EntryV4')}"
+
+
+@register("b01_gate_funnel_v4", f"{FUNNEL4} SELECT symbol, dt, floor((fc)*1e6+0.5e0)/1e6 AS final_conf, entry_state, block_reason, block_reason IS NULL AS passes FROM out")
 def b01(spark, d):
-    return fx.rounded(gt.gate_funnel_v4(gate_inputs(spark, d)), "symbol", "dt", "final_conf", "block_reason", "passes")
+    return fx.rounded(funnel_v4(spark, d), "symbol", "dt", "final_conf", "entry_state", "block_reason", "passes")
 
 
-@register("b01_funnel_counts", f"{GATE_SQL} SELECT regime, coalesce(block_reason,'PASS') AS outcome, count(*) AS n FROM g6 GROUP BY 1,2")
+@register("b01_funnel_counts", f"{FUNNEL4} SELECT regime, coalesce(block_reason,'PASS') AS outcome, count(*) AS n FROM out GROUP BY 1,2")
 def b01c(spark, d):
-    return gt.funnel(gt.gate_funnel_v4(gate_inputs(spark, d)), ("regime",))
+    return gt.funnel(funnel_v4(spark, d), ("regime",))
 
 
 @register("b02_penalty_ledger", f"{GATE_SQL} SELECT symbol, dt, floor((raw)*1e6+0.5e0)/1e6 AS raw_conf, floor((ev)*1e6+0.5e0)/1e6 AS ev_net, floor((tot)*1e6+0.5e0)/1e6 AS penalty_total, "
@@ -226,14 +255,15 @@ G5 = [("V5-Gate1", "NOT bypass AND regime<>0"), ("V5-Gate2", "NOT bypass AND (mo
       ("V5-Inputs", "NOT okin"), ("V5-ML", "a5<0.6e0"), ("V5-Align", "NOT bypass AND sw<>'NEUTRAL' AND sw<>d5")]
 
 
-@register("b03_gate_funnel_v5", f"""{V('scored')}, {PSEUDO}, {vote_sql(False)}, {WIDE}, {V5}, {GATE_IN}, g AS (SELECT gi.*, v5.direction AS d5, v5.agreement AS a5, CASE WHEN sq=1 AND ta>0 THEN 'UP' WHEN sq=1 AND ta<0 THEN 'DOWN' ELSE 'NEUTRAL' END AS sw
-FROM gi JOIN v5 USING (symbol, dt)), h AS (SELECT *, CASE {' '.join(f"WHEN {c} THEN '{n}'" for n, c in G5)} END AS block_reason FROM g) SELECT symbol, dt, d5 AS direction, block_reason, block_reason IS NULL AS passes FROM h""")
+@register("b03_gate_funnel_v5", f"""WITH RECURSIVE {V('scored')[5:]}, {PSEUDO}, {vote_sql(False)}, {WIDE}, {V5}, {GATE_IN}, g AS (SELECT gi.*, v5.direction AS d5, v5.agreement AS a5, CASE WHEN sq=1 AND ta>0 THEN 'UP' WHEN sq=1 AND ta<0 THEN 'DOWN' ELSE 'NEUTRAL' END AS sw
+FROM gi JOIN v5 USING (symbol, dt)), h AS (SELECT *, CASE {' '.join(f"WHEN {c} THEN '{n}'" for n, c in G5)} END AS block_reason FROM g),
+{pullback_sql('h', 'd5', True, 'V5-Pullback')} SELECT symbol, dt, d5 AS direction, entry_state, block_reason, block_reason IS NULL AS passes FROM out""")
 def b03(spark, d):
     g = gate_inputs(spark, d).drop("direction", "agreement", "mean_conf")
     v = vt.horizon_vote_v5(fx.scored(spark, d)).select("symbol", "dt", "direction", "agreement")
     sw = F.when((C("bb_squeeze") == 1) & (C("ta_overall_score") > 0), "UP").when((C("bb_squeeze") == 1) & (C("ta_overall_score") < 0), "DOWN").otherwise("NEUTRAL")
     df = g.join(v, ["symbol", "dt"]).withColumns({"iv_rank": C("atm_premium"), "event_day": F.when(C("trades_dir") == 0, 1).otherwise(0), "risk_ok": C("trades_today") != 1, "regime_direction": sw})
-    return gt.gate_funnel_v5(df).select("symbol", "dt", "direction", "block_reason", "passes")
+    return gt.entry_gate(entry_inputs(gt.gate_funnel_v5(df)), "V5-Pullback", strict=True).select("symbol", "dt", "direction", "entry_state", "block_reason", "passes")
 
 
 OF = [("SESSION_NO_TRADE", "NOT bypass AND sr='NO_TRADE'"), ("SESSION_RANGING", "NOT bypass AND sr='RANGING'"), ("AGAINST_OPEN", "NOT bypass AND mod<=120 AND ((direction='UP' AND vo<-0.005e0) OR (direction='DOWN' AND vo>0.005e0))"),

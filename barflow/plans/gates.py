@@ -151,6 +151,16 @@ def gate_funnel_v5(df: DataFrame) -> DataFrame:
     return out.withColumn("passes", C("block_reason").isNull())
 
 
+def entry_gate(gated: DataFrame, tag: str, strict: bool) -> DataFrame:
+    """The pullback entry behind a funnel: rows that passed every gate and are no crisis bypass go through the session's pending-entry machine in order;
+    those it keeps waiting, or expires, are blocked under ``tag``. ``entry_state`` says why. Rows stopped before don't move the machine."""
+    from barflow.plans.sessions import pullback_entry
+    asked = C("block_reason").isNull() & ~C("crisis_bypass")
+    moved = pullback_entry(gated.withColumns({"_side": C("direction"), "direction": F.when(asked, C("direction"))}), strict).withColumn("direction", C("_side")).drop("_side")
+    out = moved.withColumn("block_reason", F.coalesce("block_reason", F.when(asked & ~C("entry"), tag)))
+    return out.withColumn("passes", C("block_reason").isNull()).drop("entry")
+
+
 def funnel(gated: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows per outcome: how many each gate stopped and how many passed."""
     return gated.groupBy(*by, F.coalesce("block_reason", F.lit("PASS")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
