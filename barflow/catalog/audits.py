@@ -66,7 +66,7 @@ def q07(spark, d):
 WINDOW w AS (PARTITION BY position ORDER BY bar ROWS UNBOUNDED PRECEDING)""")
 def l07(spark, d):
     m = marks(spark, d).withColumn("move", C("ltp") - C("entry"))
-    return fx.rounded(lb.excursions(m, ("position",), ("bar",)), "position", "bar", "mfe", "mae")
+    return fx.rounded(lb.excursions(m, ("position",), ("bar",), 4096), "position", "bar", "mfe", "mae")
 
 
 def paper_case(stop, partial):

@@ -142,7 +142,7 @@ m AS (SELECT *, max(cum) OVER (PARTITION BY regime ORDER BY exit_ts, trade_no RO
 SELECT trade_no, floor((cum/100e0)*1e6+0.5e0)/1e6 AS cum, floor((peak/100e0)*1e6+0.5e0)/1e6 AS peak, floor(((cum-peak)/100e0)*1e6+0.5e0)/1e6 AS drawdown FROM m""")
 def w47(spark, d):
     from barflow.operators.scans import drawdown
-    out = drawdown(ledger(spark, d).where("is_closed"), C("net_p"), keys=["regime"], order=["exit_ts", "trade_no"], bucket="month")
+    out = drawdown(ledger(spark, d).where("is_closed"), C("net_p"), keys=["regime"], order=["exit_ts", "trade_no"], bucket="day")
     return fx.rounded(out.withColumns({c: C(c) / 100.0 for c in ("cum", "peak", "drawdown")}), "trade_no", "cum", "peak", "drawdown")
 
 

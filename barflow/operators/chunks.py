@@ -16,12 +16,13 @@ CHUNK, HALO, BUCKET = "_chunk", "_halo", "_bucket"
 ROWS_PER_CHUNK = 200_000
 
 
-def time_bucket(order: str, unit: str) -> Column:
-    return F.date_trunc(unit, F.col(order))
+def time_bucket(order: str, unit: str | int) -> Column:
+    """Bucket of a time (``hour``, ``day``, ``month``, ...) or of a number (so many values each)."""
+    return F.floor(F.col(order) / unit) if isinstance(unit, int) else F.date_trunc(unit, F.col(order))
 
 
 def with_chunks(df: DataFrame, halo: int, *, keys: Sequence[str] = ("symbol",), order: str = "dt",
-                bucket: str = "day", rows_per_chunk: int | None = None, forward: bool = False) -> DataFrame:
+                bucket: str | int = "day", rows_per_chunk: int | None = None, forward: bool = False) -> DataFrame:
     """Add ``_chunk`` and ``_halo``; halo rows are copies to be dropped after the windows have run.
 
     ``forward=True`` sends the rows *after* a chunk to it (labels look ahead).  Chunks hold about

@@ -1,7 +1,7 @@
 """Unbounded running values (sum, max, drawdown, streaks, fills) as two-level scans.
 
 Level one runs inside a time bucket; level two runs over the table of bucket totals, which has one row per bucket and
-is therefore bounded by the calendar.  No task ever holds a whole key.
+is therefore bounded by the calendar.  No task ever holds a whole key.  A bucket is a unit of time, or a number of values of an integer order.
 """
 from __future__ import annotations
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barflow import constants as k
 from barflow.operators.chunks import CHUNK, chunked
 from barflow.operators.rolling import Roller, flag
+from barflow.operators.scans import running
 
 C = F.col
 
@@ -125,7 +126,7 @@ def meta_label(proba: Column, truth: Column) -> Column:
     return F.when(proba.isNotNull(), flag(F.when(proba > 0.5, 1).otherwise(0) == truth))
 
 
-def excursions(marks: DataFrame, keys=("trade_no",), order=("ts",)) -> DataFrame:
-    """Running best and worst move of each trade so far, floored at zero.  A trade has one session's bars at most."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return marks.withColumns({"mfe": F.greatest(F.lit(0.0), F.max("move").over(w)), "mae": F.least(F.lit(0.0), F.min("move").over(w))})
+def excursions(marks: DataFrame, keys=("trade_no",), order=("ts",), bucket: str | int = "day") -> DataFrame:
+    """Running best and worst move of each trade so far, floored at zero, for trades of any length: two-level scans over parts of a trade."""
+    out = running(marks, maxes={"_best": C("move"), "_worst": -C("move")}, keys=list(keys), order=list(order), bucket=bucket)
+    return out.withColumns({"mfe": F.greatest(F.lit(0.0), C("_best")), "mae": F.least(F.lit(0.0), -C("_worst"))}).drop("_best", "_worst")

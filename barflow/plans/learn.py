@@ -51,7 +51,7 @@ def noise_filter(df: DataFrame, horizon: int, min_move: float = 0.0005, min_adx:
 
 
 # --- folds and weights ----------------------------------------------------------------------------------------------
-def ordinals(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str] = ("dt", "symbol"), bucket: str = "day") -> DataFrame:
+def ordinals(df: DataFrame, keys: Sequence[str] = (), order: Sequence[str] = ("dt", "symbol"), bucket: str = "hour") -> DataFrame:
     """Zero-based position ``i`` of each row in time and the number of rows ``n``."""
     pos = running(df, {"_p": F.lit(1)}, keys=list(keys), order=list(order), bucket=bucket)
     total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -88,7 +88,7 @@ def sample_weights(df: DataFrame, ev: str, decay: float = k.TRAIN_DECAY) -> Data
     return out.crossJoin(F.broadcast(mean)).withColumn("weight", C("_w") / C("_mean")).drop("_w", "_mean")  # one row
 
 
-def drawdown_weights(oof: DataFrame, order=("dt", "symbol"), bucket: str = "day") -> DataFrame:
+def drawdown_weights(oof: DataFrame, order=("dt", "symbol"), bucket: str = "hour") -> DataFrame:
     """Down-weight rows inside drawdowns of the held-out equity curve."""
     right = F.when(C("proba") > 0.5, 1).otherwise(0) == C("y")
     pnl = F.when(C("proba").isNull(), 0.0).when(right, C("ret")).otherwise(-F.abs("ret"))
@@ -274,7 +274,7 @@ def confident_trades(preds: DataFrame, min_conf: float = k.CONF_MODERATE) -> Dat
                             "win": F.when((C("ret") > 0) == (C("pred") == 1), 1.0).otherwise(0.0)})
 
 
-def backtest_metrics(trades: DataFrame, keys: Sequence[str] = ("h",), order=("dt", "symbol"), bucket: str = "day") -> DataFrame:
+def backtest_metrics(trades: DataFrame, keys: Sequence[str] = ("h",), order=("dt", "symbol"), bucket: str = "hour") -> DataFrame:
     """Counts, win rate, profit factor, daily Sharpe, drawdown and Calmar per key, for any number of trades."""
     keys = list(keys)
     dd = drawdown(trades, "pnl", keys=keys, order=list(order), bucket=bucket)

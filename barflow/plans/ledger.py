@@ -84,7 +84,7 @@ def daily_pnl(ledger: DataFrame, capital: float = k.CAPITAL) -> DataFrame:
     return day.withColumn("equity", rupees(F.sum("net_p").over(w)) + capital)
 
 
-def rolling_win_rate(ledger: DataFrame, n: int = 5, keys: tuple[str, ...] = ("regime",), bucket: str = "month",
+def rolling_win_rate(ledger: DataFrame, n: int = 5, keys: tuple[str, ...] = ("regime",), bucket: str = "day",
                      rows_per_chunk: int | None = None) -> DataFrame:
     """Win rate of the last n closed trades in exit order, with the two guard flags."""
     from barflow.operators.chunks import CHUNK, chunked
@@ -106,7 +106,7 @@ def end_of_day(ledger: DataFrame, capital: float = k.CAPITAL) -> DataFrame:
     """Paper-session statistics per day: win rate, P&L parts, per-trade Sharpe, worst drawdown from the equity peak."""
     closed = ledger.where("is_closed")
     dd = drawdown(closed.withColumn("_net", rupees(C("net_p"))), C("net_p"), keys=["file_date"], order=["exit_ts", "trade_no"],
-                  bucket="month", floor=0.0)
+                  bucket="day", floor=0.0)
     fall = C("drawdown") / (C("peak") + capital * 100 + 1e-7)
     agg = dd.groupBy("file_date").agg(
         F.count(F.lit(1)).alias("trades"), F.avg(F.when(C("net_p") > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.sum("gross_p").alias("gross_p"),
@@ -120,7 +120,7 @@ def session_totals(ledger: DataFrame) -> DataFrame:
     """Running trades, wins, losses and net within each session, in exit order."""
     won = F.when(C("net_p") > 0, 1).otherwise(0)
     return running(ledger.where("is_closed"), {"n_trades": F.lit(1), "n_wins": won, "n_losses": 1 - won, "net_so_far_p": C("net_p")},
-                   keys=["file_date"], order=["exit_ts", "trade_no"], bucket="month")
+                   keys=["file_date"], order=["exit_ts", "trade_no"], bucket="day")
 
 
 def trade_report(ledger: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -157,7 +157,7 @@ def feature_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def feature_stability(df: DataFrame, columns: Sequence[str], baseline_rows: int, window_rows: int, order: Sequence[str] = ("dt", "symbol"),
-                      bucket: str = "day") -> DataFrame:
+                      bucket: str = "hour") -> DataFrame:
     """Shift of the recent mean in baseline deviations, by row position (two-level row number, no global sort)."""
     from barflow.operators.scans import running
     pos = running(df, {"_pos": F.lit(1)}, keys=[], order=list(order), bucket=bucket)

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from barflow import constants as k
 from barflow.functions import pricing
+from barflow.operators.chunks import CHUNK, chunked
+from barflow.operators.scans import running
 from barflow.operators.stage import materialize
 
 C = F.col
+BARS_PER_PART = 4096
 
 
 def _ordinal(time: Column, bucket: str) -> Column:
@@ -82,12 +85,14 @@ def range_extremes(positions: DataFrame, bars: DataFrame, *, pos: str = "trade_n
     return hits.groupBy(pos).agg(F.sum("n").alias("bars"), F.max("hi").alias("highest"), F.min("lo").alias("lowest")).where("bars > 0")
 
 
-def position_state(marks: DataFrame) -> DataFrame:
-    """Bars held, peak, gains and previous ATR ratio per row.  A position lives one session, so its rows are few."""
-    w = Window.partitionBy("position").orderBy("bar")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = marks.withColumns({"bars_held": F.row_number().over(w), "peak": F.greatest(C("entry"), F.max("ltp").over(so_far)),
-                             "_prev_ratio": F.coalesce(F.lag("atr_ratio").over(w), F.lit(1.0))})
+def position_state(marks: DataFrame, bars_per_part: int = BARS_PER_PART) -> DataFrame:
+    """Bars held, peak, gains and previous ATR ratio per row.  A position is cut into parts of so many bar numbers: a part's maximum and count go to the
+    later ones by a table of parts, and the row before a part comes along as halo, so a position of any length is no task of its own."""
+    part = dict(keys=["position"], order="bar", bucket=bars_per_part)
+    out = running(marks, {"_n": F.lit(1)}, {"_top": C("ltp")}, **part)
+    before = F.lag("atr_ratio").over(Window.partitionBy("position", CHUNK).orderBy("bar"))
+    out = chunked(out, lambda d: d.withColumn("_prev_ratio", F.coalesce(before, F.lit(1.0))), 1, rows_per_chunk=bars_per_part, **part)
+    out = out.withColumns({"bars_held": C("_n").cast("int"), "peak": F.greatest("entry", "_top")}).drop("_n", "_top")
     return out.withColumns({"gain": C("ltp") - C("entry"), "pnl_pct": F.try_divide(C("ltp") - C("entry"), C("entry")),
                             "mfe": F.greatest(F.lit(0.0), C("peak") - C("entry")), "peak_gain": F.try_divide(C("peak") - C("entry"), C("entry"))})
 
@@ -135,7 +140,7 @@ def exit_replay(marks: DataFrame, table: str = "paper") -> DataFrame:
 
     Rows need position, bar, ltp, entry, stop, target, contracts, is_expiry, hold_mins, minute_of_day, atr_14, atr_ratio.
     """
-    state = position_state(marks)
+    state = materialize(position_state(marks))
     if table == "live":
         return _first_exit(state, _live_rules(C("stop"), F.lit(False))).withColumn("partial_bar", F.lit(None).cast("int"))
     plain = _first_exit(state, _paper_rules(C("stop"), F.lit(False)))

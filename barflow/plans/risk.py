@@ -24,7 +24,7 @@ ORDER = ["ts", "kind", "trade_no"]
 
 
 def loss_streaks(ledger: DataFrame, scope: tuple[str, ...] = ("account",), trigger: int = k.V5_LOSSES, minutes: int = k.V5_COOLDOWN,
-                 daily: bool = False, bucket: str = "month") -> DataFrame:
+                 daily: bool = False, bucket: str = "day") -> DataFrame:
     """Consecutive losses after each exit and the cool-down a streak of ``trigger`` starts."""
     keys = [*scope, "day"] if daily else list(scope)
     closed = timeline(ledger, scope).where("kind = 0")
@@ -33,7 +33,7 @@ def loss_streaks(ledger: DataFrame, scope: tuple[str, ...] = ("account",), trigg
 
 
 def state_at_entries(ledger: DataFrame, scope: tuple[str, ...] = ("account",), trigger: int = k.V5_LOSSES, minutes: int = k.V5_COOLDOWN,
-                     bucket: str = "month", window: int = k.V5_WR_WINDOW) -> DataFrame:
+                     bucket: str = "day", window: int = k.V5_WR_WINDOW) -> DataFrame:
     """One row per entry with the day's trades, wins, losses and net so far, loss streak, cool-down end, recent win rate and exposure.
 
     Everything is a two-level scan over the merged timeline, so no trade is joined with all trades before it.
@@ -115,6 +115,6 @@ def period_drawdown(ledger: DataFrame, capital: float = k.CAPITAL) -> DataFrame:
 
 def setup_fatigue(trades: DataFrame, limit: int = 2) -> DataFrame:
     """Losses so far of the same setup and regime that day; disabled after two."""
-    out = running(trades, {"_l": F.when(C("net_p") < 0, 1).otherwise(0)}, keys=["file_date", "setup", "regime"], order=["exit_ts", "trade_no"], bucket="month")
+    out = running(trades, {"_l": F.when(C("net_p") < 0, 1).otherwise(0)}, keys=["file_date", "setup", "regime"], order=["exit_ts", "trade_no"], bucket="day")
     prior = C("_l") - F.when(C("net_p") < 0, 1).otherwise(0)
     return out.withColumn("prior_losses", prior.cast("int")).withColumn("disabled", C("prior_losses") >= limit).drop("_l")

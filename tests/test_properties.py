@@ -285,3 +285,29 @@ def test_forward_filter_by_chunks_equals_the_plain_recursion(spark):
             for got in (few[s, t], many[s, t]):
                 assert got[0] == states["names"][int(p.argmax())] and abs(got[1] - p.max()) < 1e-9
     assert few["a", dt.datetime(2020, 1, 1)] == (None, None)
+
+
+def test_positions_that_span_parts(spark):
+    from barflow.plans.labels import excursions
+    from barflow.plans.replay import position_state
+    rows = [(p, b, float((b * 37 + p * 11) % 23), 10.0, 0.5 + (b * p) % 7 / 10) for p in (1, 2) for b in range(1, 120)]
+    marks = spark.createDataFrame(rows, "position long, bar long, ltp double, entry double, atr_ratio double").withColumn("move", C("ltp") - C("entry"))
+    names = ["position", "bar", "bars_held", "peak", "_prev_ratio", "mfe"]
+    small, whole = ({tuple(r) for r in position_state(marks, n).select(*names).collect()} for n in (7, 4096))
+    assert small == whole and len(small) == 238
+    one, two = ({tuple(r) for r in excursions(marks, ("position",), ("bar",), n).select("position", "bar", "mfe", "mae").collect()} for n in (5, 1000))
+    assert one == two and len(one) == 238
+
+
+def test_one_account_in_one_month_is_several_parts(spark):
+    """Running values of one key do not depend on how time is cut, and no part holds the month."""
+    import datetime as dt
+
+    from barflow.operators.scans import drawdown, running, streaks
+    rows = [("a", dt.datetime(2024, 3, 1) + dt.timedelta(minutes=37 * i), i, (i * 7919) % 13 - 6) for i in range(1000)]
+    df = spark.createDataFrame(rows, "account string, ts timestamp_ntz, n long, v long")
+    for scan in (lambda d, b: running(d, {"s": C("v")}, {"m": C("v")}, keys=["account"], order=["ts", "n"], bucket=b),
+                 lambda d, b: drawdown(d, C("v"), keys=["account"], order=["ts", "n"], bucket=b),
+                 lambda d, b: streaks(d, {"k": C("v") > 0}, keys=["account"], order=["ts", "n"], bucket=b)):
+        assert len({frozenset(tuple(r) for r in scan(df, b).select(*sorted(scan(df, b).columns)).collect()) for b in ("month", "day", "hour")}) == 1
+    assert df.select(F.date_trunc("day", "ts")).distinct().count() > 20
