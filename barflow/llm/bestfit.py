@@ -119,9 +119,9 @@ def place(pieces: Iterator[tuple], bins: OpenBins, out: Writer, ahead: int) -> I
     yield go()
 
 
-def first_level(df: DataFrame, path: str, end_id: int, window: int, limit: int, ahead: int, key: str, text: str) -> DataFrame:
-    """Every partition encoded and packed; what is open at its end is marked."""
-    tables, kind = shared_tables(df.sparkSession, path), df.schema[key].dataType.simpleString()
+def first_level(df: DataFrame, tables, end_id: int, window: int, limit: int, ahead: int, key: str, text: str) -> DataFrame:
+    """Every partition encoded and packed; what is open at its end is marked. ``tables`` is the encoder's broadcast."""
+    kind = df.schema[key].dataType.simpleString()
     last = np.uint16(end_id)
 
     def pieces(batches):
@@ -162,7 +162,9 @@ def next_level(left: DataFrame, level: int, last: bool, window: int, limit: int,
 def best_fit(df: DataFrame, path: str, end_id: int = 0, window: int = WINDOW, limit: int = OPEN, ahead: int = AHEAD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per piece: key, number of the piece, ids of the document before it (``start``), ``length``, its ids (little-endian 32-bit numbers), sequence
     and offset in it."""
-    placed = materialize(first_level(df, path, end_id, window, limit, ahead, key, text))
+    tables = shared_tables(df.sparkSession, path)
+    placed = materialize(first_level(df, tables, end_id, window, limit, ahead, key, text))
+    tables.unpersist()  # later levels needn't hold the encoder
     last = placed.agg(F.max("run")).first()[0] or 0
     done, left, level = placed.where(~C("open")), placed.where("open"), 0
     while True:

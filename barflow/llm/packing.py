@@ -29,9 +29,9 @@ K1, B = 1.2, 0.75
 VOCABULARY = 1 << 16
 
 
-def tokenised(df: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, position in the input, ids with the end token, as little-endian 16-bit numbers."""
-    tables, kind = shared_tables(df.sparkSession, path), df.schema[key].dataType.simpleString()
+def tokenised(df: DataFrame, tables, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: key, position in the input, ids with the end token, as little-endian 16-bit numbers. ``tables`` is the encoder's broadcast."""
+    kind = df.schema[key].dataType.simpleString()
     last = np.uint16(end_id).tobytes()
 
     def work(batches):
@@ -157,7 +157,9 @@ def pack_shard(docs: list[np.ndarray], frequency: np.ndarray, documents: int, me
 def packed(df: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, key: str = "doc_id", text: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Per piece: key, ids of the document before it (``start``), ``length``, its ids (little-endian 32-bit numbers), the document's
     tokens, sequence and offset in it."""
-    docs = materialize(tokenised(df, path, end_id, key, text))
+    tables = shared_tables(df.sparkSession, path)
+    docs = materialize(tokenised(df, tables, end_id, key, text))
+    tables.unpersist()  # workers needn't hold the encoder while they pack
     documents, tokens = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)) / 2).first()
     frequency = docs.sparkSession.sparkContext.broadcast(document_frequencies(docs))  # VOCABULARY numbers
     shards, mean = max(1, -(-int(tokens) // shard_tokens)), max(1.0, tokens / max(1, documents))
@@ -170,6 +172,7 @@ def packed(df: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, key:
         pieces = pack_shard(ids, frequency.value, documents, mean, window)
         doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces))
         body = [ids[d][s:s + n].astype("<u4").tobytes() for d, s, n, _, _ in pieces]
+        pa.default_memory_pool().release_unused()
         return pa.table({"doc_id": table.column("doc_id").take(pa.array(doc)), "start": start, "length": length, "ids": pa.array(body, pa.binary()),
                          "doc_tokens": np.array([len(x) for x in ids], np.int64)[doc], "sequence_id": (shard << 32) + sequence, "offset": offset})
     dealt = docs.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
