@@ -1,17 +1,22 @@
 """Toxic texts by the lengths that their windows compress to with two Zstandard dictionaries.
 
 Windows are runs of words that end where a word's hash says so, four words on average, so copies of a passage fall into equal windows. The ordinary
-dictionary is trained on windows of ordinary texts. The toxic one is found in two steps: a dictionary trained on one half of the toxic texts'
-distinct windows shows, by shorter output, which windows of the other half share something with it that ordinary text lacks; leaving out
-one word of these at a time shows what the gain is due to. The words that gain in several windows, and far more often than in ordinary
-text, are the toxic dictionary, put after the ordinary one so that ordinary text compresses alike with both.
+dictionary is trained on windows of ordinary texts. The toxic one is trained on the windows of toxic texts that share something with other toxic texts
+which ordinary text lacks: those that come out ``LEAST_GAIN`` bytes shorter when the other half of the toxic texts' distinct windows stands before
+the ordinary ones. It is laid before the ordinary dictionary, so that ordinary text compresses alike with both.
 
-A window's gain is its length with the ordinary dictionary less that with both. A text is described by how many of its windows reach each
-gain; the thresholds' weights and the scale of the score are calibrated on the fitting texts. All windows of the whole text count.
+A further list holds the words that these gains are due to, found by leaving out one word of a window at a time: those that gain in several windows,
+and far more often than in ordinary text. It takes the place of the trained dictionary for a second gain of each window.
+
+A window's gain is its length with the ordinary dictionary less that with a toxic one before it. A text is described by how many of its windows reach
+each gain, for the trained dictionary and for the list; the thresholds' weights and the scale of the score are calibrated on the fitting texts. All
+windows of the whole text count. Parameters of the fit, not of the scoring: of each side the last ``BROAD_BYTES`` of distinct windows are the
+background that windows are compared with, and listed words have ``LEAST_LETTERS`` bytes, ``LEAST_WINDOWS`` windows and fill ``TOXIC_BYTES`` at most.
+Where the windows are too few for the trainer, they are the dictionary themselves.
 
 Defined cases: null and empty texts have no windows and get the score of a text without any gain; rows are scored one by one, so repeated
 rows and null keys give rows of their own; without fitting texts of both classes every score is the share of toxic ones among them (0 when there
-are none); an empty table gives an empty result; only key and text are read.
+are none); a text of any length is scored whole; an empty table gives an empty result; only key and text are read.
 """
 from __future__ import annotations
 
@@ -35,6 +40,10 @@ ORDINARY_BYTES = 32 << 10
 BROAD_BYTES = 2 << 20
 LEAST_GAIN = 3
 TOXIC_BYTES = 8 << 10
+TOXIC_SEGMENT, TOXIC_MATCH = 32, 8  # segments that the trainer picks, and the runs of bytes it counts in them
+LEAST_DICTIONARY = 256  # bytes; the trainer makes no smaller one
+LEAST_LETTERS = 4
+LEAST_WINDOWS = 3
 TAIL = 16
 GAINS = (1, 2, 3, 4, 5, 6, 8)
 
@@ -68,15 +77,15 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 class Gains:
-    """Bytes saved by the toxic dictionary."""
+    """Bytes saved by each toxic dictionary."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.plain, self.both = compressor(ordinary), compressor(toxic + ordinary)
+    def __init__(self, ordinary: bytes, *toxic: bytes):
+        self.plain, self.with_toxic = compressor(ordinary), [compressor(t + ordinary) for t in toxic]
 
     def of(self, data: np.ndarray, segments: np.ndarray) -> np.ndarray:
-        """Gain of each (start, length) segment."""
+        """Gains of each (start, length) segment, a row per toxic dictionary."""
         if not len(segments):
-            return np.zeros(0, np.int64)
+            return np.zeros((len(self.with_toxic), 0), np.int64)
         # The compressor looks for no match that begins in the last 16 bytes, so each window is followed by as many blanks.
         start, size = segments[:, 0], segments[:, 1]
         room = size + TAIL
@@ -85,8 +94,8 @@ class Gains:
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         padded[np.repeat(place, size) + at] = data[np.repeat(start, size) + at]
         frames = zstandard.BufferWithSegments(padded.tobytes(), np.stack([place, room], axis=1).astype(np.uint64).tobytes())
-        plain, both = (by.multi_compress_to_buffer(frames, threads=0) for by in (self.plain, self.both))
-        return np.fromiter((len(x) - len(y) for x, y in zip(plain, both)), np.int64, len(segments))
+        plain, *toxic = (np.fromiter(map(len, by.multi_compress_to_buffer(frames, threads=0)), np.int64, len(segments)) for by in (self.plain, *self.with_toxic))
+        return plain - np.stack(toxic)
 
     def of_list(self, windows: list[bytes]) -> np.ndarray:
         sizes = np.array([len(w) for w in windows], np.int64)
@@ -102,31 +111,31 @@ def distinct_windows(texts: list[str]) -> list[bytes]:
     return sorted(out, key=lambda w: (zlib.crc32(w, 1), w))  # no order of letters: the end of a dictionary is nearer than its start
 
 
-def culprits(windows: list[bytes], gains: Gains, least: int) -> Counter:
-    """For every window that gains ``least`` bytes, the word without which most of the gain is gone."""
-    found = np.flatnonzero(gains.of_list(windows) >= least)
-    parts = [windows[i].split() for i in found]
+def culprits(windows: list[bytes], gains: Gains, least: int) -> tuple[Counter, list[bytes]]:
+    """For every window that gains ``least`` bytes, the word without which most of the gain is gone; and these windows."""
+    found = [windows[i] for i in np.flatnonzero(gains.of_list(windows)[0] >= least)]
+    parts = [w.split() for w in found]
     cut = [b" ".join(p[:j] + p[j + 1:]) or b" " for p in parts for j in range(len(p))]
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     words = [w for p in parts for w in p]
-    drop = np.repeat(gains.of_list([windows[i] for i in found]), [len(p) for p in parts]) - gains.of_list(cut)
+    drop = np.repeat(gains.of_list(found)[0], [len(p) for p in parts]) - gains.of_list(cut)[0]
     best: dict[int, tuple[int, bytes]] = {}
     for o, d, w in zip(owner.tolist(), drop.tolist(), words):
         if d >= 2 and d > best.get(o, (0, b""))[0]:
             best[o] = d, w
-    return Counter(w.strip(b".,;:!?%&$*#|\"'()") for _, w in best.values())
+    return Counter(w.strip(b".,;:!?%&$*#|\"'()") for _, w in best.values()), found
 
 
-def trained(windows: list[bytes], size: int) -> bytes:
+def trained(windows: list[bytes], size: int, **settings: int) -> bytes:
     """A trained dictionary, or the windows themselves where they are too few for the trainer."""
     try:
-        return zstandard.train_dictionary(size, windows, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, windows, **(settings or {"level": LEVEL})).as_bytes()
     except zstandard.ZstdError:
         return b" ".join(windows)[-size:] or b" "
 
 
-def fit_dictionaries(texts: list[str], toxic: np.ndarray) -> tuple[bytes, bytes]:
-    """The ordinary and the toxic dictionary."""
+def fit_dictionaries(texts: list[str], toxic: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """The ordinary dictionary, the toxic one, and the list of toxic words."""
     plain = distinct_windows([t for t, y in zip(texts, toxic) if not y])
     seen = set(plain)
     marked = [w for w in distinct_windows([t for t, y in zip(texts, toxic) if y]) if w not in seen]
@@ -134,14 +143,19 @@ def fit_dictionaries(texts: list[str], toxic: np.ndarray) -> tuple[bytes, bytes]
     known, fresh = ([w for w, h in zip(plain, half) if h == k] for k in (1, 0))
     ordinary, broad = trained(known, ORDINARY_BYTES), b" ".join(known)[-BROAD_BYTES:]
     sides = [[w for w in marked if zlib.crc32(w) % 2 == k] for k in (0, 1)]
-    hits, false = Counter(), Counter()
+    hits, false, telling = Counter(), Counter(), []
     for k in (0, 1):
         gains = Gains(broad, b" ".join(sides[1 - k])[-BROAD_BYTES:])
-        hits += culprits(sides[k], gains, LEAST_GAIN)
-        false += culprits(fresh, gains, LEAST_GAIN)
+        words, windows = culprits(sides[k], gains, LEAST_GAIN)
+        hits += words
+        telling += windows
+        false += culprits(fresh, gains, LEAST_GAIN)[0]
+    # At most an eighth of what it is trained on: it must hold what recurs, not the samples, or the fitting texts gain more than others.
+    size = min(TOXIC_BYTES, max(LEAST_DICTIONARY, sum(map(len, telling)) // 8))
+    toxic_dictionary = trained(telling, size, k=TOXIC_SEGMENT, d=TOXIC_MATCH)
     # Both sides were shown the fresh windows; a hit must be far more frequent than that.
     share = len(marked) / max(1, 2 * len(fresh))
-    good = sorted((n, w) for w, n in hits.items() if n >= 3 and len(w) >= 4 and n >= 10 * (false[w] + 0.1) * share)
+    good = sorted((n, w) for w, n in hits.items() if n >= LEAST_WINDOWS and len(w) >= LEAST_LETTERS and n >= 10 * (false[w] + 0.1) * share)
     kept, size = [], 0
     for n, w in reversed(good):
         if size + len(w) + 1 > TOXIC_BYTES:
@@ -150,39 +164,39 @@ def fit_dictionaries(texts: list[str], toxic: np.ndarray) -> tuple[bytes, bytes]
         size += len(w) + 1
     found = b" " + b" ".join(reversed(kept)) + b" "
     for _ in range(2):  # ordinary windows that gain by chance go into the ordinary dictionary, so that they gain no more
-        chance = np.flatnonzero(Gains(ordinary, found).of_list(fresh) >= 2)
+        chance = np.flatnonzero(Gains(ordinary, toxic_dictionary, found).of_list(fresh).max(axis=0) >= 2)
         ordinary = b" ".join([fresh[i] for i in chance])[-ORDINARY_BYTES:] + ordinary
-    return ordinary, found
+    return ordinary, toxic_dictionary, found
 
 
 def profiles(block: Block, gains: Gains) -> np.ndarray:
-    """How many windows of each text reach each gain, on a log scale."""
+    """How many windows of each text reach each gain with each toxic dictionary, on a log scale."""
     data, segments, first = text_windows(block)
     saved = gains.of(data, segments)
-    reach = [np.concatenate([[0], np.cumsum(saved >= g)]) for g in GAINS]
+    reach = [np.concatenate([[0], np.cumsum(by >= g)]) for by in saved for g in GAINS]
     counts = np.stack([r[first[1:]] - r[first[:-1]] for r in reach] + [np.diff(first)], axis=1)
     return np.log1p(counts)
 
 
 def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray | None = None) -> dict:
-    """The model as plain data: both dictionaries, and the calibrated weights."""
+    """The model as plain data: the dictionaries, and the calibrated weights."""
     if not len(texts) or toxic.min() == toxic.max():
         share = float(toxic.mean()) if len(texts) else 0.0
         return {"share": share}
-    ordinary, found = fit_dictionaries(texts, toxic)
-    gains = Gains(ordinary, found)
+    found = fit_dictionaries(texts, toxic)
+    gains = Gains(*found)
     x = np.concatenate([profiles(b, gains) for b in blocks(pa.array(texts, pa.string()))])
-    return {"ordinary": ordinary, "toxic": found, "weights": fit_logistic(x, toxic, weight=weight)}
+    return {"dictionaries": found, "weights": fit_logistic(x, toxic, weight=weight)}
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> DataFrame:
     """Per row: key, whether it is held out, score, predicted class."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(*labelled(docs, labels, label, fit_rows, FIT_CHARS, key, text)))  # two dictionaries
+    model = docs.sparkSession.sparkContext.broadcast(fit(*labelled(docs, labels, label, fit_rows, FIT_CHARS, key, text)))  # three dictionaries of bounded size
     kind = docs.schema[key].dataType.simpleString()
 
     def work(batches):
         known = model.value
-        gains = Gains(known["ordinary"], known["toxic"]) if "weights" in known else None
+        gains = Gains(*known["dictionaries"]) if "weights" in known else None
         for batch in batches:
             for block in blocks(batch.column(1)):
                 out = score(profiles(block, gains), known["weights"]) if gains else np.full(len(block), known["share"])

@@ -72,6 +72,36 @@ def test_marginals_equal_enumeration():
     assert np.allclose(got, want) and np.allclose(counts, pairs)
 
 
+def test_profiles_equal_one_window_at_a_time():
+    """Gains and counts against plain compression of every window by itself; one text is longer than a block."""
+    rng = random.Random(9)
+    ordinary, trained, listed = (sentence(rng, n).encode() for n in (300, 40, 10))
+    texts = [None, "", sentence(rng, 30) + " " + trained.decode() + " " + listed.decode(), sentence(rng, 5), " ".join([sentence(rng, 2000), listed.decode()] * 260)]
+    gains = toxicity.Gains(ordinary, trained, listed)
+    by = [toxicity.compressor(d + ordinary) for d in (b"", trained, listed)]
+    got = np.concatenate([toxicity.profiles(b, gains) for b in blocks(pa.array(texts, pa.string()))])
+    assert len(texts[-1]) > 2 << 20 and len(got) == len(texts)
+    for text, row in zip(texts, got):
+        windows = []
+        for block in blocks(pa.array([text], pa.string())):
+            data, segments, _ = toxicity.text_windows(block)
+            windows = [data[a:a + n].tobytes() + b" " * toxicity.TAIL for a, n in segments]
+        size = {w: [len(c.compress(w)) for c in by] for w in set(windows)}
+        want = [sum(size[w][0] - size[w][k] >= g for w in windows) for k in (1, 2) for g in toxicity.GAINS] + [len(windows)]
+        assert np.allclose(row, np.log1p(want))
+
+
+def test_toxic_dictionary_is_trained():
+    """With windows enough the trainer makes it (its magic number comes first), and toxic phrases gain by it alone."""
+    rng = random.Random(4)
+    phrase = "zqwkfool vrmscumm kkljerkq"
+    texts = [sentence(rng, 40) + (f" {phrase} " if i % 2 else " ") + sentence(rng, 40) for i in range(1200)]
+    ordinary, trained, _ = toxicity.fit_dictionaries(texts, np.arange(1200) % 2)
+    assert trained[:4] == bytes.fromhex("37a430ec") and len(trained) <= toxicity.TOXIC_BYTES
+    gain = toxicity.Gains(ordinary, trained).of_list([phrase.encode(), sentence(rng, 4).encode()])[0]
+    assert gain[0] >= 4 and gain[1] <= 2
+
+
 def test_windows_cover_every_word():
     rng = random.Random(2)
     texts = [sentence(rng, n) for n in (0, 1, 7, 300)] + ["", None]
