@@ -10,6 +10,7 @@ from barflow.catalog.sqltext import P, lag
 from barflow.operators.chunks import chunked
 from barflow.operators.rolling import Roller
 from barflow.plans import bars as bp
+from barflow.plans import daily as dp
 from barflow.plans import features as ft
 from barflow.plans import flow
 from barflow.plans import gates as gt
@@ -361,6 +362,13 @@ def b19(spark, d):
     return bar_log_rows(f.join(v, ["symbol", "dt"], "left"))
 
 
+def session_bars(bars):
+    """One bar per symbol and session."""
+    return bars.groupBy("symbol", "trade_date").agg(
+        F.min("dt").alias("dt"), F.min_by("open", "dt").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "dt").alias("close"), F.sum("volume").alias("volume"))
+
+
 def signal_pipeline(spark, d):
     """Flagship: ticks, bars, features, votes, session state, gates."""
     f = pipeline_rows(spark, d)
@@ -369,9 +377,9 @@ def signal_pipeline(spark, d):
     w = vt.by_horizon(s).select("symbol", "dt", "p5", "p15", "p30")
     j = f.join(v, ["symbol", "dt"]).join(w, ["symbol", "dt"])
     j = ss.stale_penalty(j).withColumn("side", F.when(C("p5") > 0.5, 1).otherwise(0))
-    j = ss.temporal_lock(j, "side")
+    j = dp.attach_daily(ss.temporal_lock(j, "side"), session_bars(f))
     neutral = {"regime": F.when(C("adx_14") > 15, 0).otherwise(1), "regime_conf": F.lit(0.6), "crisis_bypass": F.lit(False), "ret5m_fd": C("ret_5m"), "ret15m_fd": C("ret_15m") + 1e-9,
-               "tf5_adx": C("adx_14"), "gap_pct": F.lit(0.0), "day_atr_pct": F.lit(1.0), "inputs_valid": C("rsi_14").isNotNull(), "meta_conf": F.lit(0.55), "in_pullback": F.lit(False),
+               "tf5_adx": C("adx_14"), "day_atr_pct": F.when(C("day_atr_pct") > 0, C("day_atr_pct")).otherwise(0.5), "inputs_valid": C("rsi_14").isNotNull(), "meta_conf": F.lit(0.55), "in_pullback": F.lit(False),
                "extra_floor": F.lit(0.0), "trades_dir": F.lit(0), "trades_today": F.lit(0)}
     return gt.gate_funnel_v4(gt.with_atm_premium(j.withColumns(neutral)))
 

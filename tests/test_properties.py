@@ -311,3 +311,28 @@ def test_one_account_in_one_month_is_several_parts(spark):
                  lambda d, b: streaks(d, {"k": C("v") > 0}, keys=["account"], order=["ts", "n"], bucket=b)):
         assert len({frozenset(tuple(r) for r in scan(df, b).select(*sorted(scan(df, b).columns)).collect()) for b in ("month", "day", "hour")}) == 1
     assert df.select(F.date_trunc("day", "ts")).distinct().count() > 20
+
+
+def test_signal_pipeline_gaps_are_those_of_its_bars(spark):
+    """Gap of the first open to the last session's close, and that session's range, against plain loops over the bars."""
+    from barflow.catalog import fixtures, signals
+    from barflow.plans.daily import attach_daily
+    bars = fixtures.bars(spark, "/root/testdata/sf0.001")
+    got = attach_daily(bars, signals.session_bars(bars)).select("symbol", "dt", "trade_date", "gap_pct", "day_atr_pct").toPandas()
+    plain = bars.select("symbol", "dt", "trade_date", "open", "high", "low", "close").toPandas().sort_values(["symbol", "dt"])
+    assert len(got) == len(plain)
+    want = {}
+    for symbol, rows in plain.groupby("symbol"):
+        last, ranges = None, []
+        for date, session in rows.groupby("trade_date"):
+            gap = 0.0 if last is None else (session.open.iloc[0] - last) / (last + 1e-9) * 100
+            atr = sum(ranges[-14:]) / 14 / (last + 1e-9) * 100 if len(ranges) >= 14 else 0.0  # the first session has no gap in its range
+            want[symbol, date] = gap, atr
+            high, low = session.high.max(), session.low.min()
+            ranges.append(high - low if last is None else max(high - low, abs(high - last), abs(low - last)))
+            last = session.close.iloc[-1]
+    gaps = [abs(r.gap_pct - want[r.symbol, r.trade_date][0]) for r in got.itertuples()]
+    assert max(gaps) < 1e-6 and (got.gap_pct != 0).any()
+    off = [(r.symbol, r.trade_date, r.day_atr_pct, want[r.symbol, r.trade_date][1]) for r in got.itertuples()
+           if abs(r.day_atr_pct - want[r.symbol, r.trade_date][1]) > 1e-6]
+    assert not off, off[:3]
