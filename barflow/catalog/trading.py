@@ -42,16 +42,14 @@ LV = f"{V('trades')}, {EVENTS}, {PAIRS}, {LEDGER}"
 
 
 def events(spark, d):
-    t = fx.trades(spark, d)
-    base = dict(file_date=F.to_date("entry_ts"))
-    cols = ["event", "file_date", "trade_no", "seq", "ts", "direction", "option_type", "price", "contracts", "exit_reason", "confidence", "regime"]
-
-    def part(df, event, seq, ts, price, reason):
-        return df.withColumns({**base, "event": F.lit(event), "seq": F.lit(seq), "ts": ts, "price": price, "exit_reason": reason}).select(*cols)
-    none = F.lit(None).cast("string")
-    return (part(t.where("trade_no % 97 <> 0"), "ENTRY", 0, C("entry_ts"), C("entry_price"), none)
-            .unionByName(part(t.where("trade_no % 89 = 0"), "ENTRY", 1, C("entry_ts"), C("entry_price") * 1.1, none))
-            .unionByName(part(t.where("exit_ts is not null"), "EXIT", 2, C("exit_ts"), C("exit_price"), C("exit_reason"))))
+    """The log in one pass over the trades: a row for each event that a trade has."""
+    n, is_exit = C("trade_no"), C("seq") == 2
+    t = fx.trades(spark, d).withColumn("seq", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    t = t.where(((C("seq") == 0) & (n % 97 != 0)) | ((C("seq") == 1) & (n % 89 == 0)) | (is_exit & C("exit_ts").isNotNull()))
+    price = F.when(is_exit, C("exit_price")).when(C("seq") == 1, C("entry_price") * 1.1).otherwise(C("entry_price"))
+    return t.select(F.when(is_exit, "EXIT").otherwise("ENTRY").alias("event"), F.to_date("entry_ts").alias("file_date"), "trade_no", "seq",
+                    F.when(is_exit, C("exit_ts")).otherwise(C("entry_ts")).alias("ts"), "direction", "option_type", price.alias("price"), "contracts",
+                    F.when(is_exit, C("exit_reason")).alias("exit_reason"), "confidence", "regime")
 
 
 def ledger(spark, d):

@@ -20,14 +20,16 @@ def pair_entry_exit(events: DataFrame, seq: str = "seq") -> DataFrame:
     """Match each ENTRY with the EXIT that follows it under the same session and trade number.
 
     A later ENTRY replaces an unmatched earlier one, an EXIT without an ENTRY is dropped, an ENTRY nothing follows stays
-    open.  One window per (session, trade number), no join: the next event of the key decides.
+    open.  One window per (session, trade number), no join: the next event of the key decides.  Its fields are looked up one by one, so that
+    those nobody reads are not carried through the shuffle.
     """
     w = Window.partitionBy("file_date", "trade_no").orderBy(seq)
-    nxt = F.lead(F.struct("event", "ts", "price", "exit_reason")).over(w)
-    entry = events.withColumn("_n", nxt).where((C("event") == "ENTRY") & (C("_n").isNull() | (C("_n.event") == "EXIT")))
+    none = ""  # stands for the next event where there is none
+    nxt = events.withColumns({"_event": F.lead("event", 1, none).over(w), **{f"_{c}": F.lead(c).over(w) for c in ("ts", "price", "exit_reason")}})
+    entry = nxt.where((C("event") == "ENTRY") & C("_event").isin(none, "EXIT"))
     return entry.select("file_date", "trade_no", C("ts").alias("entry_ts"), "direction", "option_type", C("price").alias("entry_price"),
-                        "contracts", "confidence", "regime", C("_n.ts").alias("exit_ts"), C("_n.price").alias("exit_price"),
-                        F.when(C("_n").isNull(), "OPEN").otherwise(F.coalesce(C("_n.exit_reason"), F.lit("UNKNOWN"))).alias("exit_reason"))
+                        "contracts", "confidence", "regime", C("_ts").alias("exit_ts"), C("_price").alias("exit_price"),
+                        F.when(C("_event") == none, "OPEN").otherwise(F.coalesce(C("_exit_reason"), F.lit("UNKNOWN"))).alias("exit_reason"))
 
 
 def trade_ledger(pairs: DataFrame, lot: int | Column = k.LOT_NEW, is_expiry: Column | None = None) -> DataFrame:

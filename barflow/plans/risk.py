@@ -1,26 +1,46 @@
 """Risk audits: for each entry, which limit was in force, from the closed trades known by then."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow import constants as k
 from barflow.functions.costs import rupees
-from barflow.operators.scans import forward_fill, running, streaks
+from barflow.operators.chunks import BUCKET, time_bucket
+from barflow.operators.scans import running, streaks
 from barflow.operators.stage import materialize
 
 C = F.col
 
 
+ORDER = ["ts", "kind", "trade_no"]
+
+
 def timeline(ledger: DataFrame, scope: tuple[str, ...] = ("account",)) -> DataFrame:
-    """Entries and exits of a scope in one time order (an exit comes before an entry at the same instant)."""
-    value = C("entry_price") * C("qty")
-    entry = ledger.select(*scope, C("entry_ts").alias("ts"), F.lit(1).alias("kind"), "trade_no", F.lit(0).cast("bigint").alias("net_p"), value.alias("value"), "direction")
-    exit_ = ledger.where("is_closed").select(*scope, C("exit_ts").alias("ts"), F.lit(0).alias("kind"), "trade_no", "net_p", (-value).alias("value"), "direction")
-    return entry.unionByName(exit_).withColumn("day", F.to_date("ts"))
+    """Entries and exits of a scope in one time order (an exit comes before an entry at the same instant), in one pass over the ledger."""
+    value, is_entry = C("entry_price") * C("qty"), C("kind") == 1
+    both = ledger.select(*scope, "trade_no", "entry_ts", "exit_ts", "net_p", value.alias("value"), "is_closed", F.explode(F.array(F.lit(1), F.lit(0))).alias("kind"))
+    return both.where(is_entry | C("is_closed")).select(
+        *scope, F.when(is_entry, C("entry_ts")).otherwise(C("exit_ts")).alias("ts"), "kind", "trade_no",
+        F.when(is_entry, F.lit(0).cast("bigint")).otherwise(C("net_p")).alias("net_p"),
+        F.when(is_entry, C("value")).otherwise(-C("value")).alias("value")).withColumn("day", F.to_date("ts"))
 
 
-ORDER = ["ts", "kind", "trade_no"]
+def _levels(line: DataFrame, scope, bucket: str, order) -> tuple:
+    """Rows with their bucket, the keys of a part (a bucket within a day), the window inside parts, and the one over the parts before a part."""
+    part = [*scope, "day", BUCKET]
+    inner = Window.partitionBy(*part).orderBy(*order)
+    before = Window.partitionBy(*scope).orderBy(F.asc_nulls_last("day"), F.asc_nulls_last(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    return line.withColumn(BUCKET, time_bucket("ts", bucket)), part, inner, before
+
+
+def _with_carry(rows: DataFrame, carry: DataFrame, part: list[str]) -> DataFrame:
+    """Rows beside what came before their part. The table of parts is bounded by the calendar; it is written, so that its size is known to the join."""
+    carry = materialize(carry.withColumnsRenamed({p: f"_in_{p}" for p in part}))
+    same = reduce(lambda x, y: x & y, [C(p).eqNullSafe(C(f"_in_{p}")) for p in part])
+    return rows.join(carry, same, "left").drop(*[f"_in_{p}" for p in part])
 
 
 def loss_streaks(ledger: DataFrame, scope: tuple[str, ...] = ("account",), trigger: int = k.V5_LOSSES, minutes: int = k.V5_COOLDOWN,
@@ -36,30 +56,59 @@ def state_at_entries(ledger: DataFrame, scope: tuple[str, ...] = ("account",), t
                      bucket: str = "day", window: int = k.V5_WR_WINDOW) -> DataFrame:
     """One row per entry with the day's trades, wins, losses and net so far, loss streak, cool-down end, recent win rate and exposure.
 
-    Everything is a two-level scan over the merged timeline, so no trade is joined with all trades before it.
+    The timeline is dealt and sorted once, by parts (buckets within days). Inside a part all is counted as if nothing had come before; entries and
+    the last row of each part are written. What came before a part (sums, loss streak, last results, cool-down) is a scan over those last rows,
+    and is put to the entries where they lie. So no trade is joined with the trades before it, and nothing is shuffled a second time.
     """
-    from barflow.operators.chunks import CHUNK, chunked
-    # The scans below read the trades several times; pairing and charging them is done once.
-    ledger = materialize(ledger.select(*scope, "trade_no", "direction", "entry_ts", "exit_ts", "entry_price", "qty", "net_p", "is_closed"))
-    closed = materialize(loss_streaks(ledger, scope, trigger, minutes, bucket=bucket))
-    w = Window.partitionBy(*scope, CHUNK).orderBy("ts", "trade_no").rowsBetween(-(window - 1), 0)
-    win = F.when(C("net_p") > 0, 1.0).otherwise(0.0)
-    rate = F.when(F.count(F.lit(1)).over(w) >= window, F.avg(win).over(w))
-    closed = chunked(closed, lambda d: d.withColumn("recent_wr", rate), window - 1, keys=scope, order="ts", bucket=bucket)
-    line = timeline(ledger, scope)
-    carried = ["consec_losses", "cooldown_until", "recent_wr"]
-    marks = closed.select(*scope, "ts", F.lit(0).alias("kind"), "trade_no", "net_p", "value", "direction", "day", *carried)
-    entries = line.where("kind = 1")
-    both = marks.unionByName(entries, allowMissingColumns=True)
-    both = materialize(forward_fill(both, carried, keys=scope, order=ORDER, bucket=bucket))
+    tagged, part, inner, before = _levels(timeline(ledger, scope), scope, bucket, ORDER)
+    so_far = inner.rowsBetween(Window.unboundedPreceding, 0)
     is_exit, is_entry = C("kind") == 0, C("kind") == 1
-    both = running(both, {"open_positions": F.when(is_entry, 1).otherwise(-1), "exposure": C("value")}, keys=scope, order=ORDER, bucket=bucket)
-    day = {"trades_closed": F.when(is_exit, 1).otherwise(0), "wins": F.when(is_exit & (C("net_p") > 0), 1).otherwise(0),
-           "losses": F.when(is_exit & (C("net_p") <= 0), 1).otherwise(0), "day_net_p": C("net_p"), "entries": F.when(is_entry, 1).otherwise(0)}
-    both = running(both, day, keys=[*scope, "day"], order=ORDER, bucket="hour")
-    out = both.where(is_entry)
-    return out.withColumns({"open_positions": C("open_positions") - 1, "exposure": C("exposure") - C("value"), "entries": C("entries") - 1,
-                            "consec_losses": F.coalesce("consec_losses", F.lit(0))})
+    won = F.coalesce(C("net_p") > 0, F.lit(False))
+    kept = ~F.coalesce(C("net_p") <= 0, F.lit(False))
+    over = f"OVER (PARTITION BY {', '.join(f'`{p}`' for p in part)} ORDER BY {', '.join(ORDER)})"
+    results = [F.expr(f"lag(_result, {i}) IGNORE NULLS {over}") for i in range(window - 1, 0, -1)]
+    local = tagged.withColumn("_result", F.when(is_exit, F.when(won, "1").otherwise("0"))).withColumns({
+        "trades_closed": F.count(F.when(is_exit, 1)).over(so_far), "wins": F.count(F.when(is_exit & won, 1)).over(so_far),
+        "losses": F.count(F.when(is_exit & (C("net_p") <= 0), 1)).over(so_far), "entries": F.count(F.when(is_entry, 1)).over(so_far),
+        "day_net_p": F.sum("net_p").over(so_far), "open_positions": F.sum(F.when(is_entry, 1).otherwise(-1)).over(so_far),
+        "exposure": F.sum("value").over(so_far), "_is_last": F.lead(F.lit(1)).over(inner).isNull(),
+        **{f"_r{i}": r for i, r in enumerate(results)}})
+    # Number of the part's last and first exit that was no loss, and the latest results as a text of 0 and 1.
+    stop = F.when(is_exit & kept, C("trades_closed"))
+    mine = F.when(is_exit, F.concat(*[F.coalesce(f"_r{i}", F.lit("")) for i in range(window - 1)], "_result"))
+    local = local.withColumns({"_stop": F.max(stop).over(so_far), "_first": F.min(stop).over(so_far), "_tail": F.last(mine, True).over(so_far)})
+    # Last exit that closes a streak of its own part, and last one before any win, whose streak may have begun before the part.
+    streak = C("trades_closed") - F.coalesce("_stop", F.lit(0))
+    local = local.withColumns({"_cool": F.max(F.when(is_exit & (streak >= trigger), C("ts"))).over(so_far),
+                               "_open": F.max(F.when(is_exit & C("_first").isNull(), C("ts"))).over(so_far)})
+    local = materialize(local.where(is_entry | C("_is_last")).drop("net_p", "_result", *[f"_r{i}" for i in range(window - 1)]))
+
+    def cooled(entering: Column) -> Column:
+        """Last exit with a streak of ``trigger``, where ``entering`` losses in a row came before the part."""
+        leading = F.coalesce(C("_first") - 1, C("trades_closed"))
+        return F.greatest(C("_cool"), F.when(entering + leading >= trigger, C("_open")))
+
+    totals = local.where("_is_last")
+    today = Window.partitionBy(*scope, "day").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("trades_closed").over(before), F.lit(0))
+    totals = totals.withColumn("_c_start", start).withColumn("_c_stop", F.coalesce(F.max(C("_c_start") + C("_stop")).over(before), F.lit(0)))
+    # Each part with exits has one result at least, so those of the parts just before it suffice.
+    near = Window.partitionBy(*scope, C("_tail").isNull()).orderBy(F.asc_nulls_last("day"), F.asc_nulls_last(BUCKET)).rowsBetween(-(window - 1), 0)
+    totals = totals.withColumn("_end", F.when(C("_tail").isNotNull(), F.right(F.array_join(F.collect_list("_tail").over(near), ""), F.lit(window))))
+    daily, overall = ["trades_closed", "wins", "losses", "entries", "day_net_p"], ["open_positions", "exposure"]
+    carry = totals.select(
+        *part, "_c_start", "_c_stop", F.max(cooled(C("_c_start") - C("_c_stop"))).over(before).alias("_c_cool"),
+        F.coalesce(F.last("_end", True).over(before), F.lit("")).alias("_c_tail"), *[F.sum(c).over(today).alias(f"_c_{c}") for c in daily],
+        *[F.sum(c).over(before).alias(f"_c_{c}") for c in overall])
+    out = _with_carry(local.where(is_entry), carry, part)
+    recent = F.right(F.concat("_c_tail", F.coalesce("_tail", F.lit(""))), F.lit(window))
+    rate = F.when(F.length(recent) >= window, F.length(F.replace(recent, F.lit("0"), F.lit(""))).cast("double") / window)
+    out = out.withColumns({
+        "consec_losses": (C("_c_start") + C("trades_closed") - F.greatest(C("_c_stop"), C("_c_start") + C("_stop"))).cast("int"),
+        "cooldown_until": F.greatest(C("_c_cool"), cooled(C("_c_start") - C("_c_stop"))) + F.expr(f"INTERVAL {minutes} MINUTE"), "recent_wr": rate})
+    out = out.withColumns({c: F.coalesce(C(f"_c_{c}"), F.lit(0)) + C(c) for c in (*daily, *overall)})
+    out = out.withColumns({"open_positions": C("open_positions") - 1, "exposure": C("exposure") - C("value"), "entries": C("entries") - 1})
+    return out.drop(BUCKET, *[c for c in out.columns if c.startswith("_")])
 
 
 def audit_v5(state: DataFrame, gap_day: Column) -> DataFrame:

@@ -336,3 +336,62 @@ def test_signal_pipeline_gaps_are_those_of_its_bars(spark):
     off = [(r.symbol, r.trade_date, r.day_atr_pct, want[r.symbol, r.trade_date][1]) for r in got.itertuples()
            if abs(r.day_atr_pct - want[r.symbol, r.trade_date][1]) > 1e-6]
     assert not off, off[:3]
+
+
+def random_ledger(spark, n=160):
+    """Trades of two accounts over few instants (many ties), some open, on days with and without exits."""
+    r, t0, rows = random.Random(7), dt.datetime(2024, 1, 30, 9), []
+    for i in range(n):
+        entry = t0 + dt.timedelta(hours=3 * r.randrange(40))
+        closed = r.random() < 0.7
+        rows.append((r.choice("ab"), i, entry, entry + dt.timedelta(minutes=r.choice([0, 10, 180, 3000])) if closed else None,
+                     float(r.randrange(1, 9)), 1, r.choice([-3, -1, 0, 2]) if closed else None, closed))
+    return rows, spark.createDataFrame(rows, "account string, trade_no long, entry_ts timestamp_ntz, exit_ts timestamp_ntz, entry_price double, qty int, net_p long, is_closed boolean")
+
+
+def plain_state(rows, trigger=2, minutes=15, window=5):
+    line = sorted([(e, 1, n, a, 0, p) for a, n, e, x, p, q, net, c in rows] + [(x, 0, n, a, net, -p) for a, n, e, x, p, q, net, c in rows if c])
+    seen, streaks = {}, {}
+    for ts, kind, n, a, net, value in line:
+        s = seen.setdefault(a, {"run": 0, "cool": None, "last": [], "open": 0, "exposure": 0.0, "day": None})
+        if s["day"] != ts.date():
+            s.update(day=ts.date(), closed=0, wins=0, net=0)
+        if kind == 0:
+            s["run"] = s["run"] + 1 if net <= 0 else 0
+            s["cool"] = ts + dt.timedelta(minutes=minutes) if s["run"] >= trigger else s["cool"]
+            s["last"] = (s["last"] + [net > 0])[-window:]
+            s.update(closed=s["closed"] + 1, wins=s["wins"] + (net > 0), net=s["net"] + net)
+            streaks[n] = s["run"]
+        else:
+            wr = sum(s["last"]) / window if len(s["last"]) == window else None
+            yield n, s["closed"], s["wins"], s["net"], s["run"], s["cool"], wr, s["open"], s["exposure"]
+        s["open"] += 1 if kind else -1
+        s["exposure"] += value
+    yield streaks
+
+
+@pytest.mark.parametrize("bucket", ["hour", "day", "month"])
+def test_risk_state_is_that_of_a_plain_loop(spark, bucket):
+    from barflow.plans import risk as rk
+    rows, ledger = random_ledger(spark)
+    *want, _ = plain_state(rows)
+    got = rk.state_at_entries(ledger, bucket=bucket).select("trade_no", "trades_closed", "wins", "day_net_p", "consec_losses", "cooldown_until", "recent_wr",
+                                                            "open_positions", "exposure")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+
+
+def cost(monkeypatch, module, run):
+    """Scans of the line items and shuffles, in the plans that were written on the way and in the last one."""
+    plans, real = [], module.materialize
+    with monkeypatch.context() as m:
+        m.setattr(module, "materialize", lambda df: (plans.append(df), real(df))[1])
+        plans.append(run())
+    text = [p._jdf.queryExecution().sparkPlan().toString() for p in plans], [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    return sum(t.count("lineitem.parquet") for t in text[0]), sum(t.count("Exchange hashpartitioning") for t in text[1])
+
+
+def test_risk_state_reads_line_items_once(spark, data, monkeypatch):
+    from barflow.catalog.audits import accounts
+    from barflow.plans import risk as rk
+    scans, shuffles = cost(monkeypatch, rk, lambda: rk.state_at_entries(accounts(spark, data)))
+    assert scans == 1 and shuffles <= 7  # line items, orders, pairs, timeline; the rest is the table of parts
