@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barflow import constants as k
 from barflow.functions.costs import rupees
 from barflow.operators.chunks import BUCKET, time_bucket
-from barflow.operators.scans import running, streaks
+from barflow.operators.scans import running
 from barflow.operators.stage import materialize
 
 C = F.col
@@ -45,11 +45,25 @@ def _with_carry(rows: DataFrame, carry: DataFrame, part: list[str]) -> DataFrame
 
 def loss_streaks(ledger: DataFrame, scope: tuple[str, ...] = ("account",), trigger: int = k.V5_LOSSES, minutes: int = k.V5_COOLDOWN,
                  daily: bool = False, bucket: str = "day") -> DataFrame:
-    """Consecutive losses after each exit and the cool-down a streak of ``trigger`` starts."""
-    keys = [*scope, "day"] if daily else list(scope)
-    closed = timeline(ledger, scope).where("kind = 0")
-    out = streaks(closed, {"consec_losses": C("net_p") <= 0}, keys=keys, order=["ts", "trade_no"], bucket=bucket)
-    return out.withColumn("cooldown_until", F.when(C("consec_losses") >= trigger, C("ts") + F.expr(f"INTERVAL {minutes} MINUTE")))
+    """Consecutive losses after each exit and the cool-down a streak of ``trigger`` starts.
+
+    Exits are numbered inside their part and written once; the parts say how many came before and which of them was no loss.
+    """
+    closed = ledger.where("is_closed").select(*scope, C("exit_ts").alias("ts"), F.lit(0).alias("kind"), "trade_no", "net_p",
+                                              (-C("entry_price") * C("qty")).alias("value"), F.to_date("exit_ts").alias("day"))
+    tagged, part, inner, before = _levels(closed, scope, bucket, ["ts", "trade_no"])
+    if daily:
+        before = Window.partitionBy(*scope, "day").orderBy(F.asc_nulls_last(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    local = tagged.withColumn("_pos", F.row_number().over(inner).cast("bigint"))
+    held = F.when(F.coalesce(C("net_p") <= 0, F.lit(False)), None).otherwise(C("_pos"))
+    local = materialize(local.withColumn("_kept", F.max(held).over(inner)))
+    totals = local.groupBy(*part).agg(F.max("_pos").alias("_n"), F.max("_kept").alias("_top"))
+    start = F.coalesce(F.sum("_n").over(before), F.lit(0))
+    carry = totals.withColumn("_start", start).select(*part, "_start", F.max(C("_start") + C("_top")).over(before).alias("_stop"))
+    out = _with_carry(local, carry, part)
+    out = out.withColumn("consec_losses", (C("_start") + C("_pos") - F.coalesce(F.greatest(C("_stop"), C("_start") + C("_kept")), F.lit(0))).cast("int"))
+    return (out.withColumn("cooldown_until", F.when(C("consec_losses") >= trigger, C("ts") + F.expr(f"INTERVAL {minutes} MINUTE")))
+            .drop(BUCKET, "_pos", "_kept", "_start", "_stop"))
 
 
 def state_at_entries(ledger: DataFrame, scope: tuple[str, ...] = ("account",), trigger: int = k.V5_LOSSES, minutes: int = k.V5_COOLDOWN,

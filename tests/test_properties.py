@@ -395,3 +395,20 @@ def test_risk_state_reads_line_items_once(spark, data, monkeypatch):
     from barflow.plans import risk as rk
     scans, shuffles = cost(monkeypatch, rk, lambda: rk.state_at_entries(accounts(spark, data)))
     assert scans == 1 and shuffles <= 7  # line items, orders, pairs, timeline; the rest is the table of parts
+
+
+@pytest.mark.parametrize("bucket", ["hour", "day", "month"])
+def test_loss_streaks_are_those_of_a_plain_loop(spark, bucket):
+    from barflow.plans import risk as rk
+    rows, ledger = random_ledger(spark)
+    *_, want = plain_state(rows)
+    got = rk.loss_streaks(ledger, bucket=bucket).select("trade_no", "consec_losses", "ts", "cooldown_until").collect()
+    assert {r[0]: r[1] for r in got} == want
+    assert all(r[3] == (r[2] + dt.timedelta(minutes=15) if r[1] >= 2 else None) for r in got)
+
+
+def test_loss_streaks_read_line_items_once(spark, data, monkeypatch):
+    from barflow.catalog.audits import accounts
+    from barflow.plans import risk as rk
+    scans, shuffles = cost(monkeypatch, rk, lambda: rk.loss_streaks(accounts(spark, data)))
+    assert scans == 1 and shuffles <= 8
