@@ -177,7 +177,8 @@ def period_drawdown(ledger: DataFrame, capital: float = k.CAPITAL) -> DataFrame:
 
 
 def setup_fatigue(trades: DataFrame, limit: int = 2) -> DataFrame:
-    """Losses so far of the same setup and regime that day; disabled after two."""
+    """Losses so far of the same setup and regime that day; disabled after two. The scan reads the trades twice, so they are written first."""
+    trades = materialize(trades.select("trade_no", "file_date", "setup", "regime", "exit_ts", "net_p"))
     out = running(trades, {"_l": F.when(C("net_p") < 0, 1).otherwise(0)}, keys=["file_date", "setup", "regime"], order=["exit_ts", "trade_no"], bucket="day")
     prior = C("_l") - F.when(C("net_p") < 0, 1).otherwise(0)
     return out.withColumn("prior_losses", prior.cast("int")).withColumn("disabled", C("prior_losses") >= limit).drop("_l")

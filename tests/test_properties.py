@@ -412,3 +412,10 @@ def test_loss_streaks_read_line_items_once(spark, data, monkeypatch):
     from barflow.plans import risk as rk
     scans, shuffles = cost(monkeypatch, rk, lambda: rk.loss_streaks(accounts(spark, data)))
     assert scans == 1 and shuffles <= 8
+
+
+def test_setup_fatigue_reads_line_items_once(spark, data, monkeypatch):
+    from barflow.catalog.trading import ledger
+    from barflow.plans import risk as rk
+    scans, _ = cost(monkeypatch, rk, lambda: rk.setup_fatigue(ledger(spark, data).where("is_closed").withColumn("setup", (F.col("trade_no") % 4).cast("int"))))
+    assert scans == 1
