@@ -102,7 +102,7 @@ def s10(spark, d):
 @register("s11_write_trade_events", f"{V('trades')} SELECT trade_no, direction, {R('entry_price')} FROM trades")
 def s11(spark, d):
     path = folder(spark)
-    sinks.write_trade_events(fx.trades(spark, d), path)
+    sinks.write_trade_events(fx.trades(spark, d), path, compression="gzip")
     return fx.rounded(spark.read.schema("trade_no BIGINT, direction STRING, entry_price DOUBLE").json(path))
 
 

@@ -157,3 +157,14 @@ def test_sql_functions(spark):
     register_sql(spark)
     r = spark.sql("SELECT bf_lot_size(DATE'2025-04-26') AS lot, bf_theta(90D) AS theta, bf_charges(400D, 400D, 65, false) AS charges, bf_atm_strike(21774D) AS atm").first()
     assert (r["lot"], round(r["theta"], 4), round(r["charges"], 2), r["atm"]) == (65, 0.4330, 101.54, 21750)
+
+
+def test_trade_events_are_written_compressed_in_bounded_files(spark, data, tmp_path):
+    from barflow.catalog import fixtures as fx
+    trades = fx.trades(spark, data)
+    sinks.write_trade_events(trades, str(tmp_path / "plain"))
+    sinks.write_trade_events(trades, str(tmp_path / "gz"), "gzip", 500)
+    plain, packed = spark.read.text(str(tmp_path / "plain")), spark.read.text(str(tmp_path / "gz"))
+    assert rows(plain) == rows(packed)
+    files = list((tmp_path / "gz").glob("*.txt.gz"))
+    assert len(files) >= plain.count() / 500 and max(spark.read.text(str(f)).count() for f in files) <= 500
