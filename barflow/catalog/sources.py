@@ -9,8 +9,9 @@ from barflow.catalog import fixtures as fx
 from barflow.catalog.joins import ORACLES as JOIN_ORACLES
 from barflow.catalog.market import HYST, regime_bars
 from barflow.catalog.quality import DIRTY, MAX_STEP_PCT, MAX_STEP_SECONDS, VALIDATED, dirty
-from barflow.catalog.trading import LV, REPEATS, ledger, signals
+from barflow.catalog.trading import LV, REPEATS, events, signals
 from barflow.operators.stage import shared_folder
+from barflow.plans import ledger as lg
 from barflow.sources import readers as rd
 from barflow.sources import sinks
 from barflow.streaming import streams as st
@@ -94,8 +95,9 @@ def s08(spark, d):
 @register("s10_write_trades", f"{LV} SELECT trade_no, net_p, exit_reason, file_date FROM ledger WHERE is_closed")
 def s10(spark, d):
     path = folder(spark)
-    rows = ledger(spark, d).withColumn("file_month", F.date_format("file_date", "yyyy-MM"))
-    sinks.write_trades(rows.repartition("file_month"), path, by="file_month")
+    # Pairs are dealt by month while they are narrow (a large month is split), and only then charged.
+    pairs = lg.pair_entry_exit(events(spark, d)).where("exit_price is not null").withColumn("file_month", F.date_format("file_date", "yyyy-MM"))
+    sinks.write_trades(lg.trade_ledger(pairs.hint("rebalance", "file_month")), path, by="file_month")
     return spark.read.parquet(path).select("trade_no", "net_p", "exit_reason", "file_date")
 
 

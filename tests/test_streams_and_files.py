@@ -168,3 +168,12 @@ def test_trade_events_are_written_compressed_in_bounded_files(spark, data, tmp_p
     assert rows(plain) == rows(packed)
     files = list((tmp_path / "gz").glob("*.txt.gz"))
     assert len(files) >= plain.count() / 500 and max(spark.read.text(str(f)).count() for f in files) <= 500
+
+
+def test_trades_are_written_from_one_pass_and_large_months_split(spark, data, monkeypatch):
+    from barflow.catalog import sources
+    seen = []
+    monkeypatch.setattr(sources.sinks, "write_trades", lambda df, path, by: (seen.append(df), df.where("is_closed").write.partitionBy(by).parquet(path)))
+    sources.QUERIES["s10_write_trades"](spark, data)
+    plan = seen[0]._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and "RebalancePartitions" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
