@@ -221,7 +221,8 @@ def r07_stream(spark, d):
     h = F.hour("ts")
     limit = F.when(h < 6, 7200).when(h < 12, 5400).otherwise(3600)
     t = in_time(fx.ticks(spark, d), ["symbol", "ts", "seq"], "ts")
-    out = st.run_in_slices([t], lambda x: st.silent_symbols(x, limit, "10 seconds")).withColumn("ts", C("ts").cast("timestamp_ntz"))
+    # A slice costs two micro-batches however small it is; here it may be larger, since few of its ticks go to a symbol's state.
+    out = st.run_in_slices([t], lambda x: st.silent_symbols(x, limit, "10 seconds", 3600), 4 * st.SLICE_ROWS).withColumn("ts", C("ts").cast("timestamp_ntz"))
     ended = out.where("silent_seconds is not null")
     alarms = out.where("silent_seconds is null").join(ended.select("symbol", "ts"), ["symbol", "ts"], "left_anti")
     return ended.unionByName(alarms).select("symbol", "ts", fx.tidy(C("silent_seconds"), 3).alias("silent_seconds"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -155,22 +156,20 @@ class Heartbeat(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "us BIGINT, limit_us BIGINT")
 
-    def _out(self, key, since: list[int], length: list) -> pd.DataFrame:
+    def _out(self, key, since, length) -> pd.DataFrame:
         return pd.DataFrame({"symbol": pd.Series([key[0]] * len(since), dtype=str), "us": pd.Series(since, dtype="int64"),
                              "silent_us": pd.Series(length, dtype="Int64")})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _rows(rows, ["us", "seq"])
-        last = tuple(self.last.get()) if self.last.exists() else None
-        since, length = [], []
-        for now in zip(pdf["us"].tolist(), pdf["limit_us"].tolist()):
-            if last and now[0] - last[0] > last[1]:
-                since.append(last[0])
-                length.append(now[0] - last[0])
-            last = now
+        before = [self.last.get()] if self.last.exists() else []
+        us, limit = (np.concatenate([np.array([r[i] for r in before], dtype="int64"), pdf[c].to_numpy("int64")]) for i, c in enumerate(("us", "limit_us")))
+        gap = np.diff(us)
+        ended = gap > limit[:-1]
+        last = int(us[-1]), int(limit[-1])
         self.last.update(last)
         _set_timer(self.handle, sum(last))
-        yield self._out(key, since, length)
+        yield self._out(key, us[:-1][ended], gap[ended])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield self._out(key, [self.last.get()[0]], [None])

@@ -2,10 +2,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from barflow.operators.stage import materialize, shared_folder
 from barflow.plans.bars import keep_last
@@ -56,9 +58,32 @@ def recent_ticks(ticks: DataFrame, n: int = 100) -> DataFrame:
     return keyed(ticks, RecentTicks(n))
 
 
-def silent_symbols(ticks: DataFrame, limit: Column, lateness: str = "10 seconds") -> DataFrame:
-    """Silences beyond ``limit`` seconds (a column of the tick before the silence): symbol, ts, silent_seconds; NULL where it has not ended yet."""
-    rows = ticks.select("symbol", "ts", "seq", F.unix_micros("ts").alias("us"), (limit.cast("double") * 1e6).cast("long").alias("limit_us"))
+def edge_ticks(width_us: int, most: int = 1 << 17) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Of the ticks of a task, the first and the last of each symbol and span of ``width_us``. No silence of that length lies between ticks of one span."""
+    def thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for pdf in frames:
+            pdf = (pdf if kept is None else pd.concat([kept, pdf])).sort_values(["symbol", "us", "seq"], kind="stable")
+            span = pdf["us"] // width_us
+            first = (pdf["symbol"] != pdf["symbol"].shift()) | (span != span.shift())
+            kept = pdf[first | first.shift(-1, fill_value=True)]
+            if len(kept) > most:
+                yield kept
+                kept = None
+        if kept is not None:
+            yield kept
+    return thin
+
+
+def silent_symbols(ticks: DataFrame, limit: Column, lateness: str = "10 seconds", least_seconds: float | None = None) -> DataFrame:
+    """Silences beyond ``limit`` seconds (a column of the tick before the silence): symbol, ts, silent_seconds; NULL where it has not ended yet.
+
+    Where no limit is below ``least_seconds``, only the ticks at the edges of spans of that length go to a symbol's state: the others neither begin nor end a silence.
+    """
+    rows = ticks.select("symbol", "seq", F.unix_micros("ts").alias("us"), (limit.cast("double") * 1e6).cast("long").alias("limit_us"))
+    if least_seconds:
+        rows = rows.mapInPandas(edge_ticks(int(least_seconds * 1e6)), rows.schema)
+    rows = rows.withColumn("ts", F.timestamp_micros("us"))
     found = keyed(rows.withWatermark("ts", lateness), Heartbeat(), "EventTime")
     return found.select("symbol", F.timestamp_micros("us").alias("ts"), (C("silent_us") / 1e6).alias("silent_seconds"))
 
@@ -173,13 +198,14 @@ def run_in_slices(inputs: Sequence[tuple[DataFrame, str]], build: Callable[...,
     first, by = staged[0]
     slices = max(LEAST_SLICES, -(-first.count() // slice_rows))
     cuts = first.agg(F.percentile_approx(when(first, by), [i / slices for i in range(1, slices)], 10 * slices)).first()[0] or []
-    edges = [None, *cuts, None]
-    for i, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
-        for j, (df, by) in enumerate(staged):
-            inside = F.lit(True)
-            inside = inside & (when(df, by) > low) if low is not None else inside
-            inside = inside & (when(df, by) <= high) if high is not None else inside
-            df.where(inside).write.mode("append").parquet(f"{base}/in{j}")
+    # The tables are cut in one pass: a slice reads its own files, not the table again.
+    sliced = []
+    for j, (df, by) in enumerate(staged):
+        df.withColumn("_slice", sum(((when(df, by) > c).cast("int") for c in cuts), F.lit(0))).write.partitionBy("_slice").parquet(f"{base}/cut{j}")
+        sliced.append(spark.read.schema(StructType([*df.schema.fields, StructField("_slice", IntegerType())])).parquet(f"{base}/cut{j}"))
+    for i in range(len(cuts) + 1):
+        for j, df in enumerate(sliced):
+            df.where(C("_slice") == i).drop("_slice").write.mode("append").parquet(f"{base}/in{j}")
         stream = build(*(spark.readStream.schema(df.schema).parquet(f"{base}/in{j}") for j, (df, _) in enumerate(staged)))
         out = stream.writeStream.option("checkpointLocation", f"{base}/_state").outputMode("append").trigger(**(trigger or {"availableNow": True}))
         query = out.foreachBatch(each).start() if each else out.format("parquet").start(f"{base}/rows")
