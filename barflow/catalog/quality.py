@@ -175,10 +175,16 @@ def t02(spark, d):
     return fx.rounded(bp.last_rows(fx.bars(spark, d), 100, "week"), "symbol", "dt", "close")
 
 
+def extreme_times(bars):
+    """Time of each symbol's highest and lowest bar, the earliest of equal ones; bars without the value do not count."""
+    early = -F.unix_seconds(C("dt").cast("timestamp"))
+    return bars.groupBy("symbol").agg(F.max_by("dt", F.when(C("high").isNotNull(), F.struct("high", early))).alias("dt_high"),
+                                      F.min_by("dt", F.when(C("low").isNotNull(), F.struct("low", "dt"))).alias("dt_low"))
+
+
 @register("t06_argmax", f"{V('bars')} SELECT symbol, arg_max(dt, high) AS dt_high, arg_min(dt, low) AS dt_low FROM bars GROUP BY 1")
 def t06(spark, d):
-    return fx.bars(spark, d).groupBy("symbol").agg(F.max_by("dt", F.struct("high", -F.unix_seconds(C("dt").cast("timestamp")))).alias("dt_high"),
-                                                   F.min_by("dt", F.struct("low", "dt")).alias("dt_low"))
+    return extreme_times(fx.bars(spark, d))
 
 
 @register("u01_union", V("bars", "bars_1d") + f" SELECT symbol, dt, {R('close')}, '1h' AS timeframe FROM bars UNION ALL SELECT symbol, dt, {R('close')}, '1d' FROM bars_1d")

@@ -419,3 +419,11 @@ def test_setup_fatigue_reads_line_items_once(spark, data, monkeypatch):
     from barflow.plans import risk as rk
     scans, _ = cost(monkeypatch, rk, lambda: rk.setup_fatigue(ledger(spark, data).where("is_closed").withColumn("setup", (F.col("trade_no") % 4).cast("int"))))
     assert scans == 1
+
+
+def test_extreme_times_pass_over_missing_prices(spark):
+    from barflow.catalog.quality import extreme_times
+    at = [dt.datetime(2024, 1, 1, h) for h in range(4)]
+    rows = [("a", at[0], None, None), ("a", at[1], 5.0, 2.0), ("a", at[2], 5.0, 1.0), ("a", at[3], 4.0, 1.0)]
+    got = extreme_times(spark.createDataFrame(rows, "symbol string, dt timestamp_ntz, high double, low double")).collect()
+    assert [tuple(r) for r in got] == [("a", at[1], at[2])]
