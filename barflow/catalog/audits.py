@@ -185,12 +185,13 @@ def b15(spark, d):
 
 # --- model training -------------------------------------------------------------------------------------------------
 def once(make):
-    """Staged result of ``make`` for each table folder, shared by the queries of one application."""
+    """Staged result of ``make`` for each table folder, shared by the queries of one application as long as its files are there."""
+    from barflow.streaming.streams import exists
     known = {}
 
     def get(spark, d):
         key = spark.sparkContext.applicationId, d
-        if key not in known:
+        if key not in known or not all(exists(spark, f) for f in known[key].inputFiles()):
             known[key] = make(spark, d)
         return known[key]
     get.known = known

@@ -189,14 +189,18 @@ def out_of_fold(df: DataFrame, features: Sequence[str], trees: int = 300, splits
     return reduce(DataFrame.unionByName, out, rest).drop("_group")
 
 
-def platt(oof: DataFrame) -> PipelineModel:
-    """Sigmoid from raw held-out probability to calibrated probability."""
+def platt(oof: DataFrame) -> PipelineModel | None:
+    """Sigmoid from raw held-out probability to calibrated probability; none where no row has a probability."""
+    if oof.where(C("proba").isNotNull()).isEmpty():
+        return None
     return Pipeline(stages=[VectorAssembler(inputCols=["proba"], outputCol="_x", handleInvalid="keep"),
                             LogisticRegression(featuresCol="_x", labelCol="y", regParam=0.0, predictionCol="_p", probabilityCol="_q",
                                                rawPredictionCol="_r")]).fit(oof.where(C("proba").isNotNull()))
 
 
-def calibrate(model: PipelineModel, df: DataFrame, name: str = "calibrated") -> DataFrame:
+def calibrate(model: PipelineModel | None, df: DataFrame, name: str = "calibrated") -> DataFrame:
+    if model is None:
+        return df.withColumn(name, F.lit(None).cast("double"))
     p = F.least(F.lit(k.PROBA_CLIP[1]), F.greatest(F.lit(k.PROBA_CLIP[0]), vector_to_array("_q")[1]))
     return model.transform(df).withColumn(name, F.when(C("proba").isNotNull(), p)).drop("_x", "_p", "_q", "_r")
 

@@ -427,3 +427,19 @@ def test_extreme_times_pass_over_missing_prices(spark):
     rows = [("a", at[0], None, None), ("a", at[1], 5.0, 2.0), ("a", at[2], 5.0, 1.0), ("a", at[3], 4.0, 1.0)]
     got = extreme_times(spark.createDataFrame(rows, "symbol string, dt timestamp_ntz, high double, low double")).collect()
     assert [tuple(r) for r in got] == [("a", at[1], at[2])]
+
+
+def test_calibration_without_probabilities_and_without_staged_files(spark, data):
+    import shutil
+
+    from barflow.catalog.audits import once
+    from barflow.operators.stage import materialize
+    from barflow.plans import learn as ln
+    rows = spark.sql("SELECT 1 AS y, CAST(NULL AS DOUBLE) AS proba")
+    assert ln.calibrate(ln.platt(rows), rows).first()["calibrated"] is None
+    made = []
+    get = once(lambda s, d: (made.append(d), materialize(s.range(3)))[1])
+    folder = get(spark, data).inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert get(spark, data).count() == 3 and len(made) == 1
+    shutil.rmtree(folder)
+    assert get(spark, data).count() == 3 and len(made) == 2
